@@ -1,0 +1,4 @@
+"""Registered queries of the knowledge store."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
