@@ -2,59 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 
-def _sum_words(run: Column) -> Column:
-    return F.aggregate(run, F.lit(0), lambda a, x: a + x["w"])
-
-
-def _windows(lines: Column, min_words: int) -> Column:
-    """The winnowing windows of a document: for each line, the shortest run that starts (or ends) there and has
-    ``min_words`` words, as (first, last, fingerprint, key). A line with a word adds one at least, so a run
-    spans ``min_words`` lines at most. The fingerprint is the window's least line hash."""
-
-    def one(i: Column, ahead: bool) -> Column:
-        start = i if ahead else F.greatest(F.lit(1), i - (min_words - 1))
-        near = F.slice(lines, start, F.lit(min_words) if ahead else i - start + 1)
-        near = near if ahead else F.reverse(near)
-        # (lines taken, words so far): stops adding once there are enough words
-        taken = F.aggregate(
-            near,
-            F.struct(F.lit(0).alias("n"), F.lit(0).alias("w")),
-            lambda a, x: F.when(a["w"] >= min_words, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["w"] + x["w"]).alias("w"))),
-        )
-        return F.struct((i if ahead else i - taken["n"] + 1).alias("first"), taken["n"].alias("n"), (taken["w"] >= min_words).alias("full"))
+def _lines(text: Column) -> Column:
+    """The lines that hold a word, in order: (at, h, w, m) with place among all lines, hash, words and digest."""
+    split = F.transform(
+        F.split(F.coalesce(text, F.lit("")), "\n"),
+        lambda l, i: F.struct(
+            i.alias("at"), F.xxhash64(l).alias("h"), F.size(F.filter(F.split(l, r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"), F.md5(l.cast("binary")).alias("m")
+        ),
+    )
+    return F.filter(split, lambda x: x["w"] > 0)
 
-    both = F.flatten(F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.array(one(i, True), one(i, False))))
-    whole = F.array_distinct(F.filter(both, lambda x: x["full"]))
 
-    def described(x: Column) -> Column:
-        run = F.slice(lines, x["first"], x["n"])
-        return F.struct(
-            x["first"].alias("first"),
-            (x["first"] + x["n"] - 1).alias("last"),
-            F.array_min(F.transform(run, lambda r: r["h"])).alias("fingerprint"),
-            F.unhex(F.md5(F.array_join(F.transform(run, lambda r: r["l"]), "\n").cast("binary"))).alias("key"),
-        )
+def _window(near: Column, min_words: int) -> Column:
+    """The shortest run from the start of ``near`` with ``min_words`` words, as its lines; null if there are too few."""
+    taken = F.aggregate(
+        near,
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("w")),
+        lambda a, x: F.when(a["w"] >= min_words, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["w"] + x["w"]).alias("w"))),
+        lambda a: F.when(a["w"] >= min_words, a["n"]),
+    )
+    return F.slice(near, F.lit(1), taken)
 
-    return F.when(F.size(lines) > 0, F.transform(whole, described)).otherwise(F.array().cast("array<struct<first:int,last:int,fingerprint:bigint,key:binary>>"))
 
+def _windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """(id, tag, at, lines, fingerprint, key): the winnowing windows of ``docs`` (id, tag, text).
 
-def _lines(text: Column) -> Column:
-    """The lines that hold a word, in order: (at, l, h, w) with their place among all lines."""
-    split = F.transform(
-        F.split(F.coalesce(text, F.lit("")), "\n"),
-        lambda l, i: F.struct(i.alias("at"), l.alias("l"), F.xxhash64(l).alias("h"), F.size(F.filter(F.split(l, r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w")),
+    From each line on, forwards and backwards, the shortest run with ``min_words`` words; a line with a word adds
+    one at least, so a run spans ``min_words`` lines at most. The fingerprint is the window's least line hash.
+    """
+    order = Window.partitionBy("id", "tag").orderBy("at")
+    lines = docs.select("id", "tag", F.explode(_lines(F.col("text"))).alias("x")).select("id", "tag", "x.*")
+    # Rows that repeat both id and text are one document here.
+    lines = lines.withColumn("before", F.lag("at").over(order)).where("before IS NULL OR before != at").drop("before")
+    line = F.struct("at", "h", "w", "m")
+    lines = lines.select(
+        "id",
+        "tag",
+        line.alias("line"),
+        F.collect_list(line).over(order.rowsBetween(0, min_words - 1)).alias("ahead"),
+        F.collect_list(line).over(order.rowsBetween(1 - min_words, 0)).alias("behind"),
+    )
+    alone = F.col("line.w") >= min_words
+    runs = F.when(alone, F.array(F.array("line"))).otherwise(F.array(_window(F.col("ahead"), min_words), F.reverse(_window(F.reverse("behind"), min_words))))
+    runs = lines.select("id", "tag", F.explode(F.array_distinct(F.filter(runs, lambda r: r.isNotNull()))).alias("run"))
+    return runs.select(
+        "id",
+        "tag",
+        F.col("run")[0]["at"].alias("at"),
+        F.transform("run", lambda r: r["at"]).alias("lines"),
+        F.array_min(F.transform("run", lambda r: r["h"])).alias("fingerprint"),
+        F.unhex(F.md5(F.array_join(F.transform("run", lambda r: r["m"]), "").cast("binary"))).alias("key"),
     )
-    return F.filter(split, lambda x: x["w"] > 0)
 
 
 def later_runs(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
-    """(id, tag, lines): for each document with repeated runs, the places (from 0) of the lines to delete.
+    """(id, tag, gone): for each document with repeated runs, the places (from 0) of the lines to delete.
 
     A line goes if it lies in a run of consecutive lines (blank ones left out) with ``min_words`` words or more
     that also stands, line for line, at an earlier place: in a document of smaller id, or further up. Two copies of such
@@ -62,26 +70,14 @@ def later_runs(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_
     occurs at two places need comparing (winnowing's guarantee). Windows reach forwards and backwards from
     every line, so their union is each match extended both ways to its ends.
     """
-    own = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("tag"), _lines(F.col(text)).alias("lines"))
-    own = own.select("id", "tag", F.transform("lines", lambda x: x["at"]).alias("at"), _windows(F.col("lines"), min_words).alias("windows"))
-    own = materialise(own.where(F.size("windows") > 0), "lines")
-    windows = own.select("id", "tag", F.explode("windows").alias("x")).select("id", "tag", "x.*")
-    place = F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), F.col("tag"), F.col("first"))
-    # Both aggregates are combined in tasks first; the joins' other side is as long as a key is hot, and Spark splits it.
-    shared = windows.groupBy("fingerprint").agg(F.min(F.struct(place, "last")).alias("a"), F.max(F.struct(place, "last")).alias("z")).where("a != z").select("fingerprint")
-    shared = materialise(shared, "fingerprints")
-    candidates = materialise(windows.join(shared, "fingerprint").drop("fingerprint"), "candidates")
+    windows = materialise(_windows(docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).alias("text")), min_words), "windows")
+    place = F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), F.col("tag"), F.col("at"), F.size("lines").alias("n"))
+    # Aggregates are combined in tasks before they meet; in the joins a hot key stands once on one side, and Spark splits the other.
+    shared = windows.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a != z").select("fingerprint")
+    candidates = materialise(windows.join(materialise(shared, "fingerprints"), "fingerprint").drop("fingerprint"), "candidates")
     first = candidates.groupBy("key").agg(F.min(place).alias("origin"), F.max(place).alias("end")).where("origin != end").select("key", "origin")
-    first = materialise(first, "origins")
-    later = candidates.join(first, "key").where(place != F.col("origin")).select("id", "tag", "first", "last")
-    lines = later.groupBy("id", "tag").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last")))).alias("gone"))
-    return (
-        lines.alias("g")
-        .join(own.alias("o"), F.col("g.id").eqNullSafe(F.col("o.id")) & (F.col("g.tag") == F.col("o.tag")))
-        .select("g.id", "g.tag", F.transform("gone", lambda i: F.element_at(F.col("at"), i.cast("int"))).alias("gone"))
-        .groupBy("id", "tag")
-        .agg(F.first("gone").alias("gone"))
-    )
+    later = candidates.join(materialise(first, "origins"), "key").where(place != F.col("origin"))
+    return later.groupBy("id", "tag").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
