@@ -202,7 +202,7 @@ def perplexity_bands(scored: DataFrame, *, spread: float, width: float = 0.005)
     return centre.join(middle(off, "deviation"), "lang").select("lang", (F.col("centre") - reach).alias("low"), (F.col("centre") + reach).alias("high"))
 
 
-def quality_rules(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 50, spread: float = 12.0, max_arrays: int = 2_000_000) -> DataFrame:
+def quality_rules(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 50, spread: float = 20.0, max_arrays: int = 2_000_000) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, lang) with base statistics, log_ppl, its language's band, base_failed and kept.
 
     A document is kept if it passes the base rules and its log perplexity lies within its language's band, which
