@@ -72,11 +72,12 @@ def later_runs(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_
     """
     windows = materialise(_windows(docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).alias("text")), min_words), "windows")
     place = F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), F.col("tag"), F.col("at"), F.size("lines").alias("n"))
-    # Aggregates are combined in tasks before they meet; in the joins a hot key stands once on one side, and Spark splits the other.
+    # Aggregates are combined in tasks before they meet. In the joins a hot key stands once on one side, and Spark splits the
+    # other; they are merge joins at every size, since none of the tables is bounded.
     shared = windows.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a != z").select("fingerprint")
-    candidates = materialise(windows.join(materialise(shared, "fingerprints"), "fingerprint").drop("fingerprint"), "candidates")
+    candidates = materialise(windows.join(materialise(shared, "fingerprints").hint("merge"), "fingerprint").drop("fingerprint"), "candidates")
     first = candidates.groupBy("key").agg(F.min(place).alias("origin"), F.max(place).alias("end")).where("origin != end").select("key", "origin")
-    later = candidates.join(materialise(first, "origins"), "key").where(place != F.col("origin"))
+    later = candidates.join(materialise(first, "origins").hint("merge"), "key").where(place != F.col("origin"))
     return later.groupBy("id", "tag").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
 
 
@@ -89,7 +90,7 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
     gone = materialise(later_runs(docs, key=key, text=text, min_words=min_words), "gone")
     rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     rows = docs.select(*[F.col(f"`{c}`") for c in rest]).withColumn("__tag", F.xxhash64(F.col(text)))
-    joined = rows.alias("d").join(gone.alias("g"), F.col(f"d.{key}").eqNullSafe(F.col("g.id")) & (F.col("__tag") == F.col("g.tag")), "left")
+    joined = rows.alias("d").join(gone.alias("g").hint("merge"), F.col(f"d.{key}").eqNullSafe(F.col("g.id")) & (F.col("__tag") == F.col("g.tag")), "left")
     split = F.split(F.col(f"d.{text}"), "\n")
     kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
     columns = [F.when(F.col("gone").isNull(), F.col(f"d.`{c}`")).otherwise(kept).alias(c) if c == text else F.col(f"d.`{c}`") for c in rest]
