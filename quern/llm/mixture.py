@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise, without, word_count
 
-#: Resolution of the histogram that brackets a source's cut-off; a window only ever sorts one of its cells.
-CELLS = 65536
+#: Hexadecimal digits of the hash by which the histograms bracket a source's cut-off, one after the other: 256 cells each.
+LEVELS = (2, 4, 6)
+#: A cell after all others.
+BEYOND = "g"
 
 
 def cyclic_weights(sources: DataFrame, cycle: int = 3) -> DataFrame:
@@ -41,13 +43,32 @@ def order_hash(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
 
 
+def cut_off_cells(sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, cell, before): the cell of the hash in which a source's running size passes ``rest``, and the size before it.
+
+    Each level splits the cell of the level before in 256, so a task sums up 256 rows a source, however large it is.
+    Sources whose whole size is not more than ``rest`` have no row.
+    """
+    at = sources.select("source", "rest", F.lit("").alias("cell"), F.lit(0).cast("long").alias("before"))
+    for level, digits in enumerate(LEVELS):
+        width = LEVELS[level - 1] if level else 0
+        same = F.col("d.source").eqNullSafe(F.col("a.source"))
+        inside = sized.alias("d").join(at.alias("a"), same & (F.substring("order_hash", 1, width) == F.col("a.cell")) if width else same)
+        cells = inside.groupBy("d.source", "rest", "before", F.substring("order_hash", 1, digits).alias("cell")).agg(F.sum("size").alias("size"))
+        upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("cell"))
+        passed = cells.withColumn("upto", upto).where(F.col("upto") > F.col("rest"))
+        first = F.min(F.struct("cell", (F.col("upto") - F.col("size")).alias("before"), "rest"))
+        at = materialise(passed.groupBy("source").agg(first.alias("x")).select("source", "x.rest", "x.cell", "x.before"), "mix-cells")
+    return at.drop("rest")
+
+
 def mixing_plan(sized: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3) -> DataFrame:
     """Per source: source_size, target, whole repetitions, and the cut-off of the fractional one.
 
     ``sized`` has ``source, size, order_hash, tie``. Within a source, documents stand in the order of their
     seeded hash; the fractional repetition takes each document whose midpoint in that order lies within the
-    wanted share, so a source misses its target by half a document at most. A histogram over the first
-    sixteen bits of the hash finds the cell that holds the cut-off, and only that cell is sorted.
+    wanted share, so a source misses its target by half a document at most. Histograms over more and more
+    digits of the hash find the cell that holds the cut-off, and only that cell is sorted.
     """
     sources = materialise(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     weights = cyclic_weights(sources) if weights is None else weights
@@ -64,23 +85,10 @@ def mixing_plan(sized: DataFrame, weights: DataFrame | None = None, max_epochs:
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     sources = sources.withColumn("whole", rate.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
 
-    cell = F.conv(F.substring("order_hash", 1, 4), 16, 10).cast("int")
-    cells = sized.groupBy("source", cell.alias("cell")).agg(F.sum("size").alias("size"))
-    running = F.sum("size").over(Window.partitionBy("source").orderBy("cell"))
-    cells = cells.withColumn("running", running)
-    crossing = (
-        cells.alias("c")
-        .join(sources.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")))
-        .where(F.col("running") > F.col("rest"))
-        .groupBy("s.source")
-        .agg(F.min_by(F.struct("cell", (F.col("running") - F.col("size")).alias("before")), "cell").alias("at"))
-        .select("source", "at.cell", "at.before")
-    )
-    crossing = materialise(crossing, "mix-cells")
+    crossing = cut_off_cells(sized, sources)
     inside = (
-        sized.withColumn("cell", cell)
-        .alias("d")
-        .join(crossing.alias("x"), F.col("d.source").eqNullSafe(F.col("x.source")) & (F.col("d.cell") == F.col("x.cell")))
+        sized.alias("d")
+        .join(crossing.alias("x"), F.col("d.source").eqNullSafe(F.col("x.source")) & (F.substring("order_hash", 1, LEVELS[-1]) == F.col("x.cell")))
         .select("d.source", "size", "order_hash", "tie", "before")
     )
     ahead = F.sum("size").over(Window.partitionBy("source").orderBy("order_hash", "tie", "size").rowsBetween(Window.unboundedPreceding, -1))
@@ -96,7 +104,7 @@ def mixing_plan(sized: DataFrame, weights: DataFrame | None = None, max_epochs:
         sources.alias("s")
         .join(crossing.alias("x"), F.col("s.source").eqNullSafe(F.col("x.source")), "left")
         .join(cut.alias("k"), F.col("s.source").eqNullSafe(F.col("k.source")), "left")
-        .select("s.source", "source_size", "weight", "target", "whole", F.coalesce("cell", F.lit(CELLS)).alias("cell"), "cut")
+        .select("s.source", "source_size", "weight", "target", "whole", F.coalesce("cell", F.lit(BEYOND)).alias("cell"), "cut")
     )
     return materialise(plan, "mix-plan")
 
@@ -107,7 +115,7 @@ def with_order(docs: DataFrame, source: str, key: str, seed: int) -> DataFrame:
 
 def repeats(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """Add source_size, target and repeats; the plan has a row per source, which Spark broadcasts if it is small."""
-    cell = F.conv(F.substring("order_hash", 1, 4), 16, 10).cast("int")
+    cell = F.substring("order_hash", 1, LEVELS[-1])
     within = (cell < F.col("p.cell")) | ((cell == F.col("p.cell")) & F.coalesce(F.struct("d.order_hash", "d.tie") <= F.col("cut"), F.lit(False)))
     return (
         docs.alias("d")
