@@ -12,6 +12,7 @@ from ..schema import CONCEPT, EDGE, QUERY_LOG, RAW_DOCUMENT, SEARCH_RESULT, VECT
 from ..sources import snapshots
 from ..sources.snapshots import Table
 
+#: Other names by which workspaces are asked for.
 ALIASES = {"typemoon": "타입문", "타입문": "typemoon", "type_moon": "타입문"}
 
 

@@ -41,9 +41,9 @@ def cross_page_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dedup_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What becomes of each odd-label vector's concept beside those of even labels."""
+    """What becomes of the concepts whose vector points one way in its first place, beside those of the other way."""
     v = vectors(spark, sf_dir).select(F.col("concept_id").cast("string").alias("id"), F.concat(F.lit("concept "), "workspace_id").alias("name"), l2_normalize(F.col("vector")).alias("vector"), "workspace_id")
-    found = distill.dedup_actions(v.where("workspace_id % 2 = 1"), v.where("workspace_id % 2 = 0"))
+    found = distill.dedup_actions(v.where("vector[0] > 0"), v.where("NOT vector[0] > 0"))
     return found.select("id", "action", "target", F.array_join("links", ",").alias("links"))
 
 
@@ -57,7 +57,7 @@ def crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.array_position("all", F.col("source")).cast("int")
     following = F.transform(F.slice("all", at + 1, 3), lambda u: F.struct(u.alias("url"), F.lit("next").alias("text")))
     graph = linked.select("title", "text", "source", "source_type", following.alias("links"))
-    start = pages.agg(F.min("source")).first()[0]
+    start = ordered.orderBy(F.desc(F.size("all")), "site").select(F.col("all")[0]).first()[0]
     found = crawl.archive_crawl(graph, start, depth=8, max_pages=60)
     return found.select("source", "crawl_depth", "parent_url")
 
