@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,6 @@ class PieceModel:
         self.byte = {int(p[1:-1], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         self.ids = {p: i for i, p in enumerate(self.pieces) if not special[i] and not sp.is_byte(i)}
         self.unk = sp.unk_id()
-        if sp.encode(" ") != sp.encode("  ")[:0] + sp.encode(" ") or not sp.encode("a  b"):
-            raise ValueError("the model does not encode spaces")
         # A Viterbi over whole scores is for unigram models; byte-pair models score a piece by its rank, all at most 0 and whole.
         self.ranked = all(self.scores[i] == int(self.scores[i]) and self.scores[i] <= 0 for i in self.ids.values())
         if any(MARK in p[1:] and p.strip(MARK) for p in self.ids):
@@ -38,10 +38,34 @@ class PieceModel:
         if self.ranked and any(self.scores[i] > -len(self.pieces) for p, i in self.ids.items() if len(p) > 1 and not p.strip(MARK) and p == MARK * 2):
             raise ValueError("the model joins spaces before words")
         self.longest = max(map(len, self.ids))
+        self.lowest = min(self.scores) - 10  # of a character without a piece
         self.surface = [b"" if special[i] else bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.surface[self.unk] = " ⁇ ".encode()
 
 
+def word_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Splits marked text where no piece can reach across: before marks, and between letters and what never joins them.
+
+    ``apart`` are the characters that are no letter and that stand beside none in any piece (punctuation and digits, if the
+    model keeps them to themselves); what joins letters (accents, say) counts as letters, and so on along the pieces.
+    """
+    near: dict[str, set[str]] = {}
+    for piece in pieces:
+        for a, b in zip(piece, piece[1:], strict=False):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    near.pop(MARK, None)
+    letters = {c for c in near if c.isalpha()}
+    new = set(letters)
+    while new:
+        new = {b for a in new for b in near.get(a, ()) if b != MARK} - letters
+        letters |= new
+    apart = ({c for p in pieces for c in p} | {chr(i) for i in range(128)}) - letters - {MARK}
+    # Characters of the higher planes slow the pattern down; those that stand alone in pieces may go with either side.
+    apart = "".join(sorted(re.escape(c) for c in apart if not c.isalpha() and (c < "\U00010000" or c in near)))
+    return re.compile(f"{MARK}*[^{MARK}{apart}]+|{MARK}*[{apart}]+|{MARK}+")
+
+
 class SharedPrefixViterbi:
     """Encodes distinct words in sorted order, depth first through their trie.
 
@@ -52,13 +76,13 @@ class SharedPrefixViterbi:
     exactly one, so its last piece follows from the states before it.
     """
 
-    def __init__(self, model: PieceModel, most: int = 600_000) -> None:
+    def __init__(self, model: PieceModel, most: int = 400_000) -> None:
         self.model, self.most = model, most
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.apart: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
-        # Characters of no piece end words too; a new line is the common one.
-        self.split = re.compile(f"{MARK}+[^{MARK}\n]*|\n+|[^{MARK}\n]+" if not any("\n" in p for p in model.ids) else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.split = word_pattern(model.ids)
 
     def merged(self, text: str) -> list[str]:
         """The text's pieces by merging the best-ranked neighbours, leftmost first, until none join."""
@@ -99,16 +123,24 @@ class SharedPrefixViterbi:
     def extend(self, word: str, last: list[str], total: list[float], i: int) -> None:
         """The state of the prefix of length i from those of shorter ones."""
         ids, best, score = self.model.ids, None, 0.0
-        for n in range(1, min(self.model.longest, i) + 1):
-            piece = word[i - n : i]
-            if n > 1 and piece not in ids:
-                continue
-            if self.model.ranked:
-                if (n == 1 or self.stands(piece)) and (i == n or self.stay_apart(last[i - n], piece)):
-                    best = piece
-                    break
-            else:
-                s = total[i - n] + (self.model.scores[ids[piece]] if piece in ids else min(self.model.scores) - 10)
+        if self.model.ranked:
+            apart, whole = self.apart, self.whole
+            for n in range(1, min(self.model.longest, i) + 1):
+                piece = word[i - n : i]
+                if n > 1 and (piece not in ids or not (whole[piece] if piece in whole else self.stands(piece))):
+                    continue
+                if i > n:
+                    pair = (last[i - n], piece)
+                    if not (apart[pair] if pair in apart else self.stay_apart(*pair)):
+                        continue
+                best = piece
+                break
+        else:
+            for n in range(1, min(self.model.longest, i) + 1):
+                piece = word[i - n : i]
+                if n > 1 and piece not in ids:
+                    continue
+                s = total[i - n] + (self.model.scores[ids[piece]] if piece in ids else self.model.lowest)
                 if best is None or s > score:
                     best, score = piece, s
         if best is None:
@@ -116,17 +148,21 @@ class SharedPrefixViterbi:
         last.append(best)
         total.append(score)
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         """Encode the words that are not known yet."""
-        new = sorted({w for w in words if w not in self.known})
+        new = words - self.known.keys()
         if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = sorted(set(words))
+            # Two generations: words that are still in use move up, the others go with the next change.
+            self.older, self.known = self.known, {}
+            new = words
+        if self.older:
+            again = new & self.older.keys()
+            self.known |= {w: self.older[w] for w in again}
+            new = new - again
         # A run of marks before a word: all but the one that belongs to the word.
-        cores = {w: w.lstrip(MARK) for w in new}
-        trie = sorted({MARK + c if w[0] == MARK else c for w, c in cores.items() if c})
-        coded: dict[str, list[str]] = {}
-        path, last, total = "", [""], [0.0]
+        trie = sorted({MARK + w.lstrip(MARK) if w[0] == MARK else w for w in new if w.strip(MARK)})
+        coded: dict[str, bytes] = {}
+        path, last, total, ids = "", [""], [0.0], self.model.ids
         for word in trie:
             n = 0
             for a, b in zip(path, word, strict=False):
@@ -138,19 +174,28 @@ class SharedPrefixViterbi:
                 self.extend(word, last, total, i)
             path, at, parts = word, len(word), []
             while at:
-                parts.append(last[at])
-                at -= len(last[at])
-            coded[word] = parts[::-1]
-        for w, core in cores.items():
+                piece = last[at]
+                at -= len(piece)
+                if piece in ids:
+                    parts.append(ids[piece])
+                else:
+                    parts += self.numbers(piece)[::-1]
+            parts.reverse()
+            coded[word] = array("i", parts).tobytes()
+        mark = array("i", [ids[MARK]]).tobytes() if MARK in ids else b""
+        for w in new:
+            core = w.lstrip(MARK)
             marks = len(w) - len(core)
-            parts = list(coded[MARK + core if marks else core]) if core else []
-            if core and marks:
+            if core and marks < 2:
+                self.known[w] = coded[w]
+                continue
+            rest = b""
+            if core:
+                rest = coded[MARK + core]
                 marks -= 1
-                if parts[0] == MARK:
-                    marks += 1
-                    del parts[0]
-            run = self.merged(MARK * marks) if marks else []
-            self.known[w] = np.array([i for p in run + parts for i in self.numbers(p)], np.int32).tobytes()
+                if mark and rest.startswith(mark):
+                    marks, rest = marks + 1, rest[len(mark) :]
+            self.known[w] = array("i", [i for p in self.merged(MARK * marks) for i in self.numbers(p)]).tobytes() + rest
 
     def numbers(self, piece: str) -> list[int]:
         if (i := self.model.ids.get(piece)) is not None:
@@ -163,23 +208,22 @@ class SharedPrefixViterbi:
         out, held, size = [], [], 0
 
         def flush() -> None:
-            self.learn({w for words in held for w in words})
-            known = self.known
-            out.extend(np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in held)
+            self.learn(set(chain.from_iterable(held)))
+            known = self.known.__getitem__
+            out.extend(np.frombuffer(b"".join(map(known, words)), np.int32) for words in held)
 
         for text in texts:
             words = self.split.findall(MARK + text.replace(" ", MARK)) if text else []
             held.append(words)
             size += len(words)
-            if size > 1_000_000:
+            if size > 250_000:
                 flush()
                 held, size = [], 0
         flush()
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        surface = self.model.surface
-        text = b"".join([surface[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.model.surface.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -237,9 +281,11 @@ def round_trip(docs: DataFrame, *, model_path: str = DEFAULT_MODEL) -> DataFrame
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(held.value)
         for batch in batches:
-            texts = list(batch["text"])
-            found = encoder.encode([t or "" for t in texts])
-            same = [encoder.decode(x) == (t or "") for t, x in zip(texts, found, strict=True)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": [len(x) for x in found], "round_trip": same, "ids": [None if t is None else x for t, x in zip(texts, found, strict=True)]})
+            for at in range(0, len(batch), 500):  # ids of long texts are given on before the next are made
+                part = batch[at : at + 500]
+                texts = list(part["text"])
+                found = encoder.encode([t or "" for t in texts])
+                same = [encoder.decode(x) == (t or "") for t, x in zip(texts, found, strict=True)]
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_tokens": [len(x) for x in found], "round_trip": same, "ids": [None if t is None else x for t, x in zip(texts, found, strict=True)]})
 
     return docs.select("doc_id", "text").mapInPandas(rows, schema)
