@@ -123,7 +123,8 @@ def train(docs: DataFrame, *, max_per_lang: int = 400, families: dict[str, tuple
         rows = pd.concat([*batches, pd.DataFrame({"doc_id": [], "text": [], "lang": []})]).sort_values(["doc_id", "lang"], kind="stable")
         yield pd.DataFrame({"model": [pickle.dumps(fit(list(zip(rows["text"], rows["lang"], strict=True)), families))]})
 
-    return pickle.loads(sample.coalesce(1).mapInPandas(fitted, "model binary").first()["model"])
+    row = sample.repartition(1).mapInPandas(fitted, "model binary").first()
+    return pickle.loads(row["model"]) if row else fit([], families)  # Spark skips the task of an empty sample
 
 
 LANG_SCHEMA = "doc_id long, lang_pred string, score double"

@@ -89,7 +89,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, seed: int
         got = pd.concat([*batches, pd.DataFrame({"doc_id": [], "text": [], "toxic": []})]).sort_values(["doc_id", "toxic"], kind="stable")
         yield pd.DataFrame({"model": [pickle.dumps(fit(list(got["text"]), got["toxic"].to_numpy(dtype=float)))]})
 
-    return pickle.loads(sample.coalesce(1).mapInPandas(fitted, "model binary").first()["model"])
+    row = sample.repartition(1).mapInPandas(fitted, "model binary").first()
+    return pickle.loads(row["model"]) if row else fit([], np.zeros(0))  # Spark skips the task of an empty sample
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
