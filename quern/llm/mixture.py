@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, without, word_count
+from .common import materialise, word_count
 
 #: Hexadecimal digits of the hash by which the histograms bracket a source's cut-off, one after the other: 256 cells each.
 LEVELS = (2, 4, 6)
