@@ -222,7 +222,7 @@ def quality_rules(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: i
     texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text"), lang.alias("lang"))
     failed = (F.col("b.n_words") < min_words) | (100 * F.col("b.n_repeat_words") > max_repeat_percent * F.col("b.n_words"))
     if model.count() <= max_arrays:
-        held = docs.sparkSession.sparkContext.broadcast(HashArrays(model.toPandas()))
+        held = docs.sparkSession.sparkContext.broadcast(HashArrays(model.toArrow().to_pandas()))
 
         @F.pandas_udf("double")
         def score(texts: pd.Series, langs: pd.Series) -> pd.Series:
