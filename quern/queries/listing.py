@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph
 from ..plans.engine import ALIASES, resolve_workspaces, workspace_list
 from ..sources import snapshots
-from .model import CONCEPTS, EDGES, NODES, RAW, bulk_edges, concepts, edges, nodes, raw_documents, table
+from .model import CONCEPTS, EDGES, NODES, RAW, concepts, edges, nodes, raw_documents, table
 from .registry import query
 
 

@@ -176,7 +176,6 @@ def test_streaming(spark, tmp_path):
     assert events.where("event = 'page_crawled'").count() == 3 and events.where("event = 'completed'").first()["count"] == 3
     lines = spark.createDataFrame([('noise {"event": "error", "source": "s"} tail',), ("none",)], "value string")
     assert [r["event"] for r in ingest.salvaged_events(lines).collect()] == ["error"]
-    _ = F
 
 
 def test_ingest_dedup_dive(spark, tmp_path):
