@@ -19,8 +19,8 @@ _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 BANDS, ROWS = 20, 4
 #: A sketch folds one minimum of each of SAMPLES hash ranges into SKETCH_BITS parity bits.
 SAMPLES, SKETCH_BITS = 1024, 2048
-#: Slack of a sketch's estimate, some five standard errors; the exact check follows.
-SLACK = 0.06
+#: Slack of a sketch's estimate, over five standard errors at every set size; the exact check follows.
+SLACK = 0.12
 #: Rows of one block when members of a large band bucket are compared.
 BLOCK = 1024
 _P = np.uint64(0x9E3779B97F4A7C15)
