@@ -190,10 +190,10 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("doc_id", "x.name").agg(F.sum("x.score").alias("score"))
 
 
-@query(r"""SELECT doc_id, word, left(trim(replace(regexp_extract(text, '([^.?!;\n]*?' || word || '[^.?!;\n]*[.?!;\n])', 1), chr(10), ' ')), 250) AS context FROM (SELECT doc_id, text, regexp_extract(text, '\b([a-zA-Z]{6,})\b', 1) AS word FROM documents)
+@query(r"""SELECT doc_id, word, left(trim(replace(regexp_extract(text, '([^.?!;\n]*?' || word || '[^.?!;\n]*[.?!;\n])', 1), chr(10), ' ')), 250) AS context FROM (SELECT doc_id, text, regexp_extract(text, '(?:^|[^\p{L}])([a-zA-Z]{6,})(?:$|[^\p{L}])', 1) AS word FROM documents)
 WHERE word <> '' AND regexp_matches(text, '[^.?!;\n]*?' || word || '[^.?!;\n]*[.?!;\n]')""")
 def representative_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract("text", r"\b([a-zA-Z]{6,})\b", 1).alias("word")).where("word != ''")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract("text", r"(?:^|[^\p{L}])([a-zA-Z]{6,})(?:$|[^\p{L}])", 1).alias("word")).where("word != ''")
     found = d.where(F.regexp_like("text", F.concat(F.lit(r"[^.?!;\n]*?\Q"), "word", F.lit(r"\E[^.?!;\n]*[.?!;\n]"))))
     return found.select("doc_id", "word", text.representative_sentence(F.col("text"), F.col("word")).alias("context"))
 
@@ -225,8 +225,9 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and headings in each page's readable part; menus are none of it."""
     p = parse_pages(table(spark, sf_dir, "pages"))
-    return p.select("source", F.explode("links").alias("l")).select("source", "l.url", "l.text")
+    return p.select("source", F.size("links").alias("n_links"), F.regexp_count("text", F.lit(r"(?m)^#{1,4} ")).alias("n_headings"))
 
 
 @query()
