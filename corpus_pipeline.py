@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import langid, line_dedup, mixture, near_dedup, pieces
-from quern.llm.common import WORD, materialise, read_table
+from quern.llm.common import WORD, materialise, read_table, small_batches
 
 #: A prediction below this score is no decision, and rejects its document.
 LEAST_SCORE = 0.3
@@ -16,6 +16,7 @@ LEAST_SCORE = 0.3
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: text without a letter, null text and undecided predictions go."""
+    small_batches(spark)
     scored = langid.predict_languages(docs.withColumn("__row", F.struct("*")), langid.train(docs))
     return scored.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("__row.*")
 
@@ -29,6 +30,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    small_batches(spark)
     return near_dedup.keep_one(docs)
 
 
@@ -39,7 +41,8 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mixture."""
-    coded = pieces.encode_pieces(docs)
+    small_batches(spark)
+    coded = pieces.encode_pieces(docs, keep=["doc_id", "lang", "source"])
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

@@ -10,8 +10,10 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The mark that stands for a space.
 MARK = "▁"
@@ -76,7 +78,7 @@ class SharedPrefixViterbi:
     exactly one, so its last piece follows from the states before it.
     """
 
-    def __init__(self, model: PieceModel, most: int = 400_000) -> None:
+    def __init__(self, model: PieceModel, most: int = 200_000) -> None:
         self.model, self.most = model, most
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -115,7 +117,7 @@ class SharedPrefixViterbi:
 
     def stay_apart(self, left: str, right: str) -> bool:
         if (found := self.apart.get((left, right))) is None:
-            if len(self.apart) > self.most:
+            if len(self.apart) > 2 * self.most:
                 self.apart.clear()
             found = self.apart[left, right] = self.merged(left + right) == [left, right]
         return found
@@ -243,21 +245,38 @@ def read_model(df: DataFrame, path: str) -> bytes:
     return bytes(df.sparkSession.read.format("binaryFile").load(path if "://" in path else f"file://{path}").select("content").first()[0])
 
 
-def encode_pieces(docs: DataFrame, *, model_path: str = DEFAULT_MODEL, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``ids`` array<int>, replacing a column of that name.
+#: Rows that are encoded and given on together.
+SLICE = 500
 
-    The ids equal the model's own. Empty texts have none; null texts have null. One pass without a shuffle: each
-    Arrow batch encodes its distinct marked words once.
+
+def _id_lists(texts: list[str | None], found: list[np.ndarray]) -> pa.ListArray:
+    """The ids of a slice as one Arrow array, null where the text is."""
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    missing = np.array([t is None for t in texts] + [False])
+    return pa.ListArray.from_arrays(pa.array(ends, mask=missing), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
+
+
+def encode_pieces(docs: DataFrame, *, model_path: str = DEFAULT_MODEL, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns of ``docs`` (those in ``keep``, if given) with ``ids`` array<int>, replacing a column of that name.
+
+    The ids equal the model's own. Empty texts have none; null texts have null. One pass without a shuffle: slices of each
+    Arrow batch encode their distinct marked words once and are given on, so memory does not grow with a batch's ids.
     """
     held = docs.sparkSession.sparkContext.broadcast(read_model(docs, model_path))
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != "ids"]
+    rows = docs.select(F.col(text).alias("__text"), *[F.col(f"`{c}`") for c in kept])
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "__text"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        found = _encoder(held.value).encode([t or "" for t in texts])
-        return pd.Series([None if t is None else x for t, x in zip(texts, found, strict=True)])
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(held.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                texts = part.column(0).to_pylist()
+                found = encoder.encode([t or "" for t in texts])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], _id_lists(texts, found)], names=[*part.schema.names[1:], "ids"])
 
-    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "ids"]
-    return docs.withColumn("__ids", encode(F.col(text))).select(*rest, F.col("__ids").alias("ids"))
+    return rows.mapInArrow(coded, schema)
 
 
 def decode_pieces(coded: DataFrame, *, model_path: str = DEFAULT_MODEL, ids: str = "ids") -> DataFrame:
@@ -278,14 +297,15 @@ def round_trip(docs: DataFrame, *, model_path: str = DEFAULT_MODEL) -> DataFrame
     held = docs.sparkSession.sparkContext.broadcast(read_model(docs, model_path))
     schema = "doc_id long, n_tokens long, round_trip boolean, ids array<int>"
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held.value)
         for batch in batches:
-            for at in range(0, len(batch), 500):  # ids of long texts are given on before the next are made
-                part = batch[at : at + 500]
-                texts = list(part["text"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                texts = part.column(1).to_pylist()
                 found = encoder.encode([t or "" for t in texts])
                 same = [encoder.decode(x) == (t or "") for t, x in zip(texts, found, strict=True)]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_tokens": [len(x) for x in found], "round_trip": same, "ids": [None if t is None else x for t, x in zip(texts, found, strict=True)]})
+                counts = pa.array(np.array([len(x) for x in found], np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(same, pa.bool_()), _id_lists(texts, found)], names=["doc_id", "n_tokens", "round_trip", "ids"])
 
-    return docs.select("doc_id", "text").mapInPandas(rows, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, schema)
