@@ -22,7 +22,7 @@ SAMPLES, SKETCH_BITS = 1024, 2048
 #: Slack of a sketch's estimate, over five standard errors at every set size; the exact check follows.
 SLACK = 0.12
 #: Rows of one block when members of a large band bucket are compared.
-BLOCK = 1024
+BLOCK = 512
 _P = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -148,6 +148,14 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, shingles binary")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two full sets, as sorted distinct hashes, meet the bound."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets meet the bound."""
 
@@ -155,11 +163,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def linked(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(left, right, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            out.append(100 * shared >= percent * (len(both) - shared))
+            out.append(_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
         return pd.Series(out, dtype=bool)
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
@@ -212,13 +216,15 @@ def sketch_filter(pairs: DataFrame, members: DataFrame, least: float) -> DataFra
     return both.where(close("x", "nx", "kx", "y", "ny", "ky")).select("a", "b")
 
 
-def cross_pairs(members: DataFrame, buckets: DataFrame, labels: DataFrame, least: float, most: int | None) -> DataFrame:
-    """Pairs of one bucket but of different components, if their sketches are similar: the work that the stars leave.
+def cross_links(docs: DataFrame, size: int, members: DataFrame, buckets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one bucket but of different components: the work that the stars leave.
 
     In each bucket the largest component's members stay in their own block and every other member meets all blocks,
-    so nothing within a component is compared and no task holds more than two blocks. A member gives its ``most``
-    most similar partners of each other component and block (all of them, if None).
+    so nothing within a component is compared and no task holds more than two blocks. Members are compared by sketch, and
+    what is similar on full sets, the most similar first; a link joins two components for the rest of its task, so a task gives
+    fewer links than it has components, whatever the number of similar pairs.
     """
+    least = percent / 100 - SLACK
     own = buckets.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     own = materialise(own.select("band", "doc_id", F.coalesce("component", "doc_id").alias("component")), "bucket-labels")
     parts = own.groupBy("band", "component").agg(F.count("*").alias("n"))
@@ -230,24 +236,34 @@ def cross_pairs(members: DataFrame, buckets: DataFrame, labels: DataFrame, least
     whole = placed.withColumn("seeks", F.lit(False)).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("strips") - 1))).withColumn("t", F.col("block"))
     seeking = placed.where("component != main").withColumn("seeks", F.lit(True)).withColumn("s", F.col("strip")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     columns = ["band", "s", "t", "doc_id", "component", "seeks"]
-    rows = whole.select(*columns).union(seeking.select(*columns)).join(members.select("doc_id", "n_shingles", "sketch", "sampled"), "doc_id")
+    wanted = materialise(placed.select("doc_id").distinct(), "wanted")
+    sets = materialise(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]), "sets")
+    about = members.select("doc_id", "n_shingles", "sketch", "sampled").join(sets, "doc_id")
+    rows = whole.select(*columns).union(seeking.select(*columns)).join(about, "doc_id")
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
         seek, there = pdf[pdf["seeks"]].sort_values("doc_id"), pdf[~pdf["seeks"]].sort_values("doc_id")
-        out = []
+        out: list[tuple[int, int]] = []
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                c = up
+            return c
+
         if len(seek) and len(there):
             b, nb, kb = _unpacked(there)
-            ids, components_ = there["doc_id"].to_numpy(), there["component"].to_numpy()
             a, na, ka = _unpacked(seek)
-            for i, (doc_id, component) in enumerate(zip(seek["doc_id"], seek["component"], strict=True)):
+            ids, kinds, full = there["doc_id"].to_numpy(), there["component"].to_numpy(), list(there["shingles"])
+            for i, (doc_id, kind, shingles) in enumerate(zip(seek["doc_id"], seek["component"], seek["shingles"], strict=True)):
                 found = similar(a[i : i + 1], na[i : i + 1], ka[i : i + 1], b, nb, kb, least)[0]
-                found[components_ == component] = 0
+                found[(kinds == kind) | (100 * np.minimum(na[i], nb) < percent * np.maximum(na[i], nb))] = 0
                 at = np.flatnonzero(found)
-                at = at[np.lexsort((ids[at], -found[at]))]
-                if most is not None:
-                    rank = pd.Series(components_[at]).groupby(components_[at]).cumcount().to_numpy()
-                    at = at[rank < most]
-                out.extend((min(doc_id, x), max(doc_id, x)) for x in ids[at])
+                x = np.frombuffer(shingles, np.uint64)
+                for j in at[np.lexsort((ids[at], -found[at]))]:
+                    if (mine := find(kind)) != (other := find(kinds[j])) and _linked(x, np.frombuffer(full[j], np.uint64), percent):
+                        root[max(mine, other)] = min(mine, other)
+                        out.append((min(doc_id, ids[j]), max(doc_id, ids[j])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("band", "s", "t").applyInPandas(compared, "a long, b long").distinct()
@@ -270,24 +286,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, size: int = 5) -> Dat
     buckets = members.select(F.explode("bands").alias("band"), "doc_id")
     busy = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     buckets = materialise(buckets.join(materialise(busy, "busy"), "band"), "buckets")
-    least = percent / 100 - SLACK
-    links, labels, tried = None, None, None
-    for most in (None, 1, 8, None):
-        pairs = star_pairs(members, buckets, least) if labels is None else cross_pairs(members, buckets, labels, least, most)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "candidates")
-        if pairs.isEmpty():
-            if labels is None:
-                labels = components(pairs)
-            break
-        tried = pairs if tried is None else tried.union(pairs)
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = shingle_sets(docs.select("doc_id", "text").join(materialise(wanted, "wanted"), "doc_id", "left_semi"), size)
-        sets = materialise(sets.dropDuplicates(["doc_id"]), "sets")
-        found = materialise(confirmed(pairs, sets, percent), "links")
-        links = found if links is None else links.union(found)
-        labels = components(links)
+    pairs = materialise(star_pairs(members, buckets, percent / 100 - SLACK), "candidates")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = shingle_sets(docs.select("doc_id", "text").join(materialise(wanted, "wanted"), "doc_id", "left_semi"), size)
+    links = materialise(confirmed(pairs, materialise(sets.dropDuplicates(["doc_id"]), "sets"), percent), "links")
+    labels = components(links)
+    more = materialise(cross_links(docs, size, members, buckets, labels, percent), "more-links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     roots = classes.join(labels, classes["doc_id"] == labels["node"], "left").select("class", F.coalesce("component", "doc_id").alias("component_id"))
     roots = materialise(roots, "roots")
     rows = all_rows.select("doc_id", "n_shingles", "class").join(roots, "class", "left")
