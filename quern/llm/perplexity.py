@@ -145,7 +145,7 @@ class HashArrays:
 
 
 def mean_log_p_joined(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(row, log_ppl) by joining each document's distinct grams with the model's table: for models of any size."""
+    """(row, log_ppl, n_grams) by joining each document's distinct grams with the model's table: for models of any size."""
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -155,7 +155,7 @@ def mean_log_p_joined(docs: DataFrame, model: DataFrame) -> DataFrame:
 
     found = docs.select("row", "text", "lang").mapInPandas(grams, "row string, lang string, gram long, n long")
     joined = found.join(model, ["lang", "gram"], "left")
-    return joined.groupBy("row").agg((-F.sum(F.col("n") * F.coalesce(F.log("p"), F.lit(-16.0))) / F.sum("n")).alias("log_ppl"))
+    return joined.groupBy("row").agg((-F.sum(F.col("n") * F.coalesce(F.log("p"), F.lit(-16.0))) / F.sum("n")).alias("log_ppl"), F.sum("n").alias("n_grams"))
 
 
 def base_statistics(text: str) -> tuple[int, int, int, int, int]:
@@ -183,30 +183,37 @@ def base_statistics(text: str) -> tuple[int, int, int, int, int]:
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def perplexity_bands(scored: DataFrame, *, spread: float, width: float = 0.005) -> DataFrame:
-    """(lang, low, high): the median log perplexity of a language, plus and minus ``spread`` times its median absolute deviation.
+def perplexity_bands(scored: DataFrame, *, width: float = 0.001, step: float = 0.01) -> DataFrame:
+    """(lang, centre, scaled, least) of ``scored`` (lang, log_ppl, n_grams): what the band of a text of any length follows from.
 
-    Medians come from exact counts in cells of ``width``, so a task sees a row for each cell, not for each document.
+    A mean over n symbols strays from its language's by 1 / sqrt(n): ``centre`` is the median log perplexity, ``scaled`` the
+    median of its absolute deviation times sqrt(n). Long texts differ by more than that, so ``least`` is the median absolute
+    deviation of the longest quarter. Quantiles come from exact counts in cells, linear ones of ``width`` or of a ratio
+    of e**``step``, so a task sees a row for each cell, not for each document.
     """
 
-    def middle(cells: DataFrame, name: str) -> DataFrame:
+    def quantile(rows: DataFrame, name: str, share: float = 0.5, ratio: bool = True) -> DataFrame:
+        """The quantile of the column of that name, by language."""
+        cell = F.log(F.greatest(F.col(name), F.lit(1e-6))) / step if ratio else F.col(name) / width
+        cells = rows.groupBy("lang", F.round(cell).cast("long").alias("cell")).agg(F.count("*").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("lang").orderBy("cell"))
         total = F.sum("n").over(Window.partitionBy("lang"))
-        return cells.select("lang", "cell", upto.alias("upto"), total.alias("total")).where(2 * F.col("upto") >= F.col("total")).groupBy("lang").agg((F.min("cell") * width).alias(name))
+        found = cells.select("lang", "cell", upto.alias("upto"), total.alias("total")).where(F.col("upto") >= share * F.col("total")).groupBy("lang").agg(F.min("cell").alias("cell"))
+        return found.select("lang", (F.exp(F.col("cell") * step) if ratio else F.col("cell") * width).alias(name))
 
-    cells = scored.groupBy("lang", F.round(F.col("log_ppl") / width).cast("long").alias("cell")).agg(F.count("*").alias("n"))
-    cells = materialise(cells, "ppl-cells")
-    centre = middle(cells, "centre")
-    off = cells.join(centre, "lang").groupBy("lang", F.abs(F.col("cell") - F.round(F.col("centre") / width).cast("long")).alias("cell")).agg(F.sum("n").alias("n"))
-    reach = F.greatest(F.col("deviation"), F.lit(2 * width)) * spread
-    return centre.join(middle(off, "deviation"), "lang").select("lang", (F.col("centre") - reach).alias("low"), (F.col("centre") + reach).alias("high"))
+    rows = scored.select("lang", "n_grams", F.col("log_ppl").alias("centre"), F.col("n_grams").cast("double").alias("long"))
+    known = materialise(quantile(rows, "centre", ratio=False).join(quantile(rows, "long", 0.75), "lang"), "ppl-centres")
+    off = F.abs(F.col("log_ppl") - F.col("centre"))
+    rows = scored.join(known, "lang").select("lang", (F.col("n_grams") >= F.col("long") * (1 - step)).alias("is_long"), off.alias("least"), (off * F.sqrt("n_grams")).alias("scaled"))
+    return known.select("lang", "centre").join(quantile(rows, "scaled"), "lang").join(quantile(rows.where("is_long"), "least"), "lang")
 
 
-def quality_rules(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 50, spread: float = 20.0, max_arrays: int = 2_000_000) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text, lang) with base statistics, log_ppl, its language's band, base_failed and kept.
+def quality_rules(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 50, spread: float = 5.0, max_arrays: int = 2_000_000) -> DataFrame:
+    """All columns of ``docs`` (doc_id, text, lang) with base statistics, log_ppl, the band of its language and length, base_failed and kept.
 
-    A document is kept if it passes the base rules and its log perplexity lies within its language's band, which
-    is learnt from the documents that pass the base rules. A null language is a language of its own; null and
+    A document is kept if it passes the base rules and its log perplexity lies within the band of its language and length
+    (``spread`` median deviations around the median, see ``perplexity_bands``), which is learnt from the documents that
+    pass the base rules. A null language is a language of its own; null and
     empty texts have no words, fail the base rules and so are not kept. ``max_arrays`` is the number of n-grams
     up to which the model is broadcast as sorted arrays.
     """
@@ -224,17 +231,24 @@ def quality_rules(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: i
     if model.count() <= max_arrays:
         held = docs.sparkSession.sparkContext.broadcast(HashArrays(model.toArrow().to_pandas()))
 
-        @F.pandas_udf("double")
-        def score(texts: pd.Series, langs: pd.Series) -> pd.Series:
-            return pd.Series([-float(held.value.log_p(lang, packed(text or "")).mean(dtype=np.float64)) for text, lang in zip(texts, langs, strict=True)], dtype="float64")
+        @F.pandas_udf("log_ppl double, n_grams long")
+        def score(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
+            log_ppl, n_grams = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
+                grams = packed(text or "")
+                log_ppl[i], n_grams[i] = -held.value.log_p(lang, grams).mean(dtype=np.float64), len(grams)
+            return pd.DataFrame({"log_ppl": log_ppl, "n_grams": n_grams})
 
-        scored = texts.select("row", "lang", base("text").alias("b"), score("text", "lang").alias("log_ppl"))
+        scored = texts.select("row", "lang", base("text").alias("b"), score("text", "lang").alias("s")).select("row", "lang", "b", "s.log_ppl", "s.n_grams")
     else:
         keyed = texts.withColumn("key", F.sha2(F.concat_ws("\x00", "lang", F.coalesce("text", F.lit(""))), 256))
         distinct = keyed.groupBy(F.col("key").alias("row")).agg(F.first("text").alias("text"), F.first("lang").alias("lang"))
         found = mean_log_p_joined(distinct, model)
-        scored = keyed.join(found.withColumnRenamed("row", "key"), "key").select("row", "lang", base("text").alias("b"), "log_ppl")
+        scored = keyed.join(found.withColumnRenamed("row", "key"), "key").select("row", "lang", base("text").alias("b"), "log_ppl", "n_grams")
     scored = materialise(scored.withColumn("base_failed", failed), "ppl-scores")
-    bands = materialise(perplexity_bands(scored.where(~F.col("base_failed")), spread=spread), "ppl-bands")
-    within = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
-    return scored.join(bands, "lang", "left").select("row.*", "b.*", "log_ppl", "low", "high", "base_failed", (~F.col("base_failed") & within).alias("kept"))
+    bands = materialise(perplexity_bands(scored.where(~F.col("base_failed"))), "ppl-bands")
+    # Texts that are all alike have no deviation; a hundredth is no difference.
+    reach = F.greatest(spread * F.greatest(F.col("scaled") / F.sqrt("n_grams"), F.col("least")), F.lit(0.01))
+    low, high = F.col("centre") - reach, F.col("centre") + reach
+    within = F.coalesce(F.col("log_ppl").between(low, high), F.lit(True))
+    return scored.join(bands, "lang", "left").select("row.*", "b.*", "log_ppl", low.alias("low"), high.alias("high"), "base_failed", (~F.col("base_failed") & within).alias("kept"))

@@ -86,6 +86,19 @@ def test_bands_reject_what_no_language_model_expects(documents):
     assert pp.quality_rules(documents([])).count() == 0
 
 
+def test_bands_follow_the_length(documents):
+    """Word lists between bars are told from prose of the same words at every length; clean texts of 50 words stay."""
+    rng = random.Random(12)
+    words = [a + b + c for a in ("ba", "re", "ti", "mo", "lun", "ser") for b in ("ko", "na", "vi", "du", "pe", "") for c in ("s", "ra", "mi", "ton", "le", "")]
+    sizes = [50, 60, 80, 120, 300, 900]
+    prose = [" ".join(rng.choice(words) for _ in range(sizes[d % 6])) for d in range(300)]
+    lists = [" | ".join(f"{rng.choice(words)} {rng.choice(words)}" for _ in range(sizes[d % 6] // 2)) for d in range(12)]
+    got = {r["doc_id"]: r for r in pp.quality_rules(documents(list(enumerate(prose + lists)))).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert sum(got[d]["kept"] for d in range(300)) == 300
+    assert not any(got[d]["kept"] for d in range(300, 312))
+
+
 def test_null_language_is_one_of_its_own(documents):
     got = pp.quality_rules(documents([(1, "word " * 60, None), (2, "word and other things " * 20, "en")])).agg(F.count("*")).first()[0]
     assert got == 2
