@@ -19,7 +19,9 @@ _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 BANDS, ROWS = 20, 4
 #: A sketch folds one minimum of each of SAMPLES hash ranges into SKETCH_BITS parity bits.
 SAMPLES, SKETCH_BITS = 1024, 2048
-#: Slack of a sketch's estimate, over five standard errors at every set size; the exact check follows.
+#: Sets up to this size are sketched whole: a sample of so few loses shared shingles, and links with them.
+WHOLE = 512
+#: Slack of a sketch's estimate, over five standard errors for sampled sets; whole ones err by less. The exact check follows.
 SLACK = 0.12
 #: Rows of one block when members of a large band bucket are compared.
 BLOCK = 512
@@ -89,11 +91,13 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def odd_sketch(shingles: np.ndarray) -> tuple[bytes, int]:
-    """Parity bitmap of a sample of the set: of each of SAMPLES ranges of hashes its least. Also the sample's size.
+    """Parity bitmap of the set, if it has at most WHOLE hashes, else of a sample: of each of SAMPLES ranges its least. Also the number of hashes taken.
 
     The sketches' exclusive or is the sketch of the samples' symmetric difference."""
-    ranges = shingles >> np.uint64(54)  # SAMPLES = 2**10; the hashes are sorted
-    sample = shingles[np.concatenate([[True], ranges[1:] != ranges[:-1]])] if len(shingles) else shingles
+    sample = shingles
+    if len(shingles) > WHOLE:
+        ranges = shingles >> np.uint64(54)  # SAMPLES = 2**10; the hashes are sorted
+        sample = shingles[np.concatenate([[True], ranges[1:] != ranges[:-1]])]
     bits = np.bincount((_mixed(sample) & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes(), len(sample)
 
@@ -102,13 +106,16 @@ def similar(a: np.ndarray, na: np.ndarray, ka: np.ndarray, b: np.ndarray, nb: np
     """Estimated similarity (rows of ``a`` by rows of ``b``) above ``least``, else 0.
 
     ``a`` and ``b`` are unpacked to bytes. The population count gives the samples' symmetric difference; what the
-    samples share, over the ranges that the union fills, is the similarity."""
+    samples share, over the ranges that the union fills, is the similarity. Of two whole sets the union is known; a whole
+    and a sampled one can't be compared and count as equal, so that the exact check decides."""
     out = np.zeros((len(a), len(b)), np.float32)
     for i in range(len(a)):
         odd = _POP[a[i] ^ b].sum(axis=1, dtype=np.int64)
         difference = -SKETCH_BITS / 2 * np.log(np.maximum(1 - 2 * odd / SKETCH_BITS, 1e-3))
         filled = SAMPLES * -np.expm1(-(na[i] + nb) / (1.85 * SAMPLES))
-        out[i] = np.minimum((ka[i] + kb - difference) / 2 / np.maximum(filled, 1e-9), 1)
+        both, one = (na[i] <= WHOLE) & (nb <= WHOLE), (na[i] <= WHOLE) != (nb <= WHOLE)
+        filled = np.where(both, (ka[i] + kb + difference) / 2, filled)
+        out[i] = np.where(one, 1, np.minimum((ka[i] + kb - difference) / 2 / np.maximum(filled, 1e-9), 1))
     out[out < least] = 0
     return out
 

@@ -91,6 +91,18 @@ def test_sketch_estimates_high_similarities():
         assert abs(found - truth) < 0.05
 
 
+def test_short_pairs_at_the_bound_pass_the_sketch():
+    """Thousands of nested pairs just over .85: none may be lost before the exact check."""
+    rng = np.random.default_rng(4)
+    for n, shared, pairs in ((7, 6, 6000), (14, 12, 6000), (20, 17, 6000), (100, 85, 500), (512, 436, 200), (560, 500, 200)):
+        for _ in range(pairs):
+            x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            y = np.sort(rng.permutation(x)[:shared])
+            (s, ks), (t, kt) = nd.odd_sketch(x), nd.odd_sketch(y)
+            a, b = np.frombuffer(s, np.uint8)[None], np.frombuffer(t, np.uint8)[None]
+            assert nd.similar(a, np.array([n]), np.array([ks]), b, np.array([shared]), np.array([kt]), 0.85 - nd.SLACK)[0, 0] > 0, n
+
+
 def test_shingles_are_words_whatever_the_bytes():
     s = nd.Shingler(5)
     assert len(s("a b\tc\nd e f")) == 2
