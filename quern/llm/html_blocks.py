@@ -88,6 +88,13 @@ class _Leaves(HTMLParser):
                 self.pop(at)
                 break
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A marked section of unknown name is a comment up to the next '>', and the page goes on."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def handle_data(self, data: str) -> None:
         if self.silent > 0:
             return

@@ -95,3 +95,9 @@ def test_html(spark):
 def test_no_page_teaches():
     assert fit([]) is None and fit([None, "plain"]) is None
     assert [b.text for b in leaf_blocks("<ul><li>a<li>b</ul>c<br>d <b>e</b><script>x</script>")] == ["a", "b", "c d e"]
+
+
+def test_unknown_marked_sections_do_not_end_a_page():
+    for odd in ("<![foo]>", "<![if !IE]>", "<![ ]>", "<![foo[x]]>"):
+        assert [b.text for b in leaf_blocks(f"<p>one</p>{odd}<p>two</p><p>three</p>")][-2:] == ["two", "three"], odd
+    assert leaf_blocks("<p>one</p><![foo")[0].text == "one"
