@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +155,31 @@ def test_distill(spark):
     assert all(len(c) <= 130 for c in distill.chunk_text(text, 100)) and distill.chunk_text("s", 100) == ["s"]
 
 
+def test_dedup_finds_planted_neighbours(spark):
+    """Of vectors of random direction, those planted at a cosine of .6 are linked and those at .97 merged, all of them."""
+    rng = random.Random(3)
+
+    def unit():
+        v = [rng.gauss(0, 1) for _ in range(64)]
+        n = sum(x * x for x in v) ** 0.5
+        return [x / n for x in v]
+
+    def beside(v, cos):
+        w = unit()
+        d = sum(x * y for x, y in zip(v, w, strict=True))
+        w = [y - d * x for x, y in zip(v, w, strict=True)]
+        n = sum(x * x for x in w) ** 0.5
+        return [cos * x + (1 - cos * cos) ** 0.5 * y / n for x, y in zip(v, w, strict=True)]
+
+    base = [unit() for _ in range(1500)]
+    schema = "id string, name string, vector array<double>"
+    known = spark.createDataFrame([(f"k{i}", f"known {i}", v) for i, v in enumerate(base)], schema)
+    new = spark.createDataFrame([(f"n{i}", f"fresh {i}", beside(base[i], 0.97 if i % 2 else 0.6)) for i in range(100)], schema)
+    got = {r["id"]: r for r in distill.dedup_actions(new, known).collect()}
+    assert all(got[f"n{i}"]["target"] == f"k{i}" for i in range(1, 100, 2))
+    assert all(f"k{i}" in got[f"n{i}"]["links"] for i in range(0, 100, 2))
+
+
 def test_dedup_actions(spark):
     e = [1.0] + [0.0] * 50
     near = [1.0, 0.3] + [0.0] * 49
