@@ -29,9 +29,9 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates (similarity .80 or more) stays."""
     small_batches(spark)
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, percent=80)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

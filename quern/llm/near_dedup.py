@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,8 @@ from .common import WORD, materialise
 
 _WORD = re.compile(WORD)
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-#: Bands of ROWS minima each. Two sets of similarity .85 share no band with a chance of (1 - .85**4)**20 = 4e-7.
-BANDS, ROWS = 20, 4
+#: Minima of a band. Of a bound of .85 there are 20 bands: sets that reach it share none with a chance of (1 - .85**4)**20 = 4e-7.
+ROWS, MISSED = 4, 4e-7
 #: A sketch folds one minimum of each of SAMPLES hash ranges into SKETCH_BITS parity bits.
 SAMPLES, SKETCH_BITS = 1024, 2048
 #: Sets up to this size are sketched whole: a sample of so few loses shared shingles, and links with them.
@@ -26,12 +27,21 @@ SLACK = 0.12
 #: Rows of one block when members of a large band bucket are compared.
 BLOCK = 512
 _P = np.uint64(0x9E3779B97F4A7C15)
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-_MUL = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
+def bands_for(percent: int) -> int:
+    """The number of bands with which sets at the bound share none with a chance of about MISSED."""
+    return max(1, round(np.log(MISSED) / np.log1p(-min(percent / 100, 0.999) ** ROWS)))
+
+
+@lru_cache
+def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of ``n`` linear hashes."""
+    rng = np.random.Generator(np.random.PCG64(20240229))
+    return rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -74,17 +84,18 @@ class Shingler:
         return np.unique(grams)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The least of each of BANDS * ROWS linear hashes (upper halves)."""
-    out = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
+def minima(shingles: np.ndarray, bands: int = 20) -> np.ndarray:
+    """The least of each of bands * ROWS linear hashes (upper halves)."""
+    factors, summands = _hashes(bands * ROWS)
+    out = np.full(bands * ROWS, np.uint64(2**64 - 1))
     for at in range(0, len(shingles), 1024):
-        np.minimum(out, (shingles[at : at + 1024, None] * _MUL + _ADD).min(axis=0), out=out)
+        np.minimum(out, (shingles[at : at + 1024, None] * factors + summands).min(axis=0), out=out)
     return out >> np.uint64(20)
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least.reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
+    rows = least.reshape(-1, ROWS)
+    key = np.arange(len(rows), dtype=np.uint64) + np.uint64(1)
     for k in range(ROWS):
         key = _mixed(key * _P + rows[:, k])
     return key.view(np.int64)
@@ -102,17 +113,17 @@ def odd_sketch(shingles: np.ndarray) -> tuple[bytes, int]:
     return np.packbits(bits.astype(np.uint8)).tobytes(), len(sample)
 
 
-def similar(a: np.ndarray, na: np.ndarray, ka: np.ndarray, b: np.ndarray, nb: np.ndarray, kb: np.ndarray, least: float) -> np.ndarray:
+def similar(a: np.ndarray, na: np.ndarray, ka: np.ndarray, b: np.ndarray, nb: np.ndarray, kb: np.ndarray, least: float, bound: float = 0.85) -> np.ndarray:
     """Estimated similarity (rows of ``a`` by rows of ``b``) above ``least``, else 0.
 
     ``a`` and ``b`` are unpacked to bytes. The population count gives the samples' symmetric difference; what the
-    samples share, over the ranges that the union fills, is the similarity. Of two whole sets the union is known; a whole
+    samples share, over the ranges that the union of sets at ``bound`` fills, is the similarity. Of two whole sets the union is known; a whole
     and a sampled one can't be compared and count as equal, so that the exact check decides."""
     out = np.zeros((len(a), len(b)), np.float32)
     for i in range(len(a)):
         odd = _POP[a[i] ^ b].sum(axis=1, dtype=np.int64)
         difference = -SKETCH_BITS / 2 * np.log(np.maximum(1 - 2 * odd / SKETCH_BITS, 1e-3))
-        filled = SAMPLES * -np.expm1(-(na[i] + nb) / (1.85 * SAMPLES))
+        filled = SAMPLES * -np.expm1(-(na[i] + nb) / ((1 + bound) * SAMPLES))
         both, one = (na[i] <= WHOLE) & (nb <= WHOLE), (na[i] <= WHOLE) != (nb <= WHOLE)
         filled = np.where(both, (ka[i] + kb + difference) / 2, filled)
         out[i] = np.where(one, 1, np.minimum((ka[i] + kb - difference) / 2 / np.maximum(filled, 1e-9), 1))
@@ -123,7 +134,7 @@ def similar(a: np.ndarray, na: np.ndarray, ka: np.ndarray, b: np.ndarray, nb: np
 SIGNATURE = "doc_id long, n_shingles long, class string, bands array<long>, sketch binary, sampled int"
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
+def signatures(docs: DataFrame, size: int, bands: int) -> DataFrame:
     """Per document: set size, a digest of the set, band keys and sketch; the last two are null for empty sets."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,7 +147,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 s = shingle(text)
                 if len(s):
                     sketch, sampled = odd_sketch(s)
-                    out.append((doc_id, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), band_keys(minima(s)), sketch, sampled))
+                    out.append((doc_id, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), band_keys(minima(s, bands)), sketch, sampled))
                 else:
                     out.append((doc_id, 0, None, None, None, 0))
             frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "class", "bands", "sketch", "sampled"])
@@ -201,20 +212,22 @@ def _unpacked(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), SKETCH_BITS // 8), frame["n_shingles"].to_numpy(float), frame["sampled"].to_numpy(float)
 
 
-def star_pairs(members: DataFrame, buckets: DataFrame, least: float) -> DataFrame:
+def star_pairs(members: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
     """Each member of a band bucket with the bucket's least member, if their sketches are similar: (a, b), a < b."""
     heads = materialise(buckets.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a != z").select("band", "a"), "heads")
     pairs = buckets.join(heads, "band").where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
-    return sketch_filter(materialise(pairs, "pairs"), members, least)
+    return sketch_filter(materialise(pairs, "pairs"), members, percent)
+
 
+def sketch_filter(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    least = percent / 100 - SLACK
 
-def sketch_filter(pairs: DataFrame, members: DataFrame, least: float) -> DataFrame:
     @F.pandas_udf("boolean")
     def close(x: pd.Series, nx: pd.Series, kx: pd.Series, y: pd.Series, ny: pd.Series, ky: pd.Series) -> pd.Series:
         out = []
         for a, na, ka, b, nb, kb in zip(x, nx, kx, y, ny, ky, strict=True):
             a, b = np.frombuffer(a, np.uint8)[None], np.frombuffer(b, np.uint8)[None]
-            out.append(bool(similar(a, np.array([na]), np.array([ka]), b, np.array([nb]), np.array([kb]), least)[0, 0]))
+            out.append(bool(similar(a, np.array([na]), np.array([ka]), b, np.array([nb]), np.array([kb]), least, percent / 100)[0, 0]))
         return pd.Series(out, dtype=bool)
 
     left = members.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("nx"), F.col("sampled").alias("kx"))
@@ -263,7 +276,7 @@ def cross_links(docs: DataFrame, size: int, members: DataFrame, buckets: DataFra
             a, na, ka = _unpacked(seek)
             ids, kinds, full = there["doc_id"].to_numpy(), there["component"].to_numpy(), list(there["shingles"])
             for i, (doc_id, kind, shingles) in enumerate(zip(seek["doc_id"], seek["component"], seek["shingles"], strict=True)):
-                found = similar(a[i : i + 1], na[i : i + 1], ka[i : i + 1], b, nb, kb, least)[0]
+                found = similar(a[i : i + 1], na[i : i + 1], ka[i : i + 1], b, nb, kb, least, percent / 100)[0]
                 found[(kinds == kind) | (100 * np.minimum(na[i], nb) < percent * np.maximum(na[i], nb))] = 0
                 at = np.flatnonzero(found)
                 x = np.frombuffer(shingles, np.uint64)
@@ -285,7 +298,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, size: int = 5) -> Dat
     on full sets; components of the links, carried over to the classes' members, are the answer. No link is
     made for empty sets (null or wordless text): such documents are kept. Rows that repeat an id give a row each.
     """
-    all_rows = materialise(signatures(docs, size), "signatures")
+    all_rows = materialise(signatures(docs, size, bands_for(percent)), "signatures")
     classes = all_rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     classes = materialise(classes, "classes")
     members = all_rows.join(classes, ["class", "doc_id"]).dropDuplicates(["doc_id"])
@@ -293,7 +306,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, size: int = 5) -> Dat
     buckets = members.select(F.explode("bands").alias("band"), "doc_id")
     busy = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     buckets = materialise(buckets.join(materialise(busy, "busy"), "band"), "buckets")
-    pairs = materialise(star_pairs(members, buckets, percent / 100 - SLACK), "candidates")
+    pairs = materialise(star_pairs(members, buckets, percent), "candidates")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = shingle_sets(docs.select("doc_id", "text").join(materialise(wanted, "wanted"), "doc_id", "left_semi"), size)
     links = materialise(confirmed(pairs, materialise(sets.dropDuplicates(["doc_id"]), "sets"), percent), "links")

@@ -59,3 +59,15 @@ def test_the_rest_imports_without_the_operators(monkeypatch):
     fresh = importlib.util.module_from_spec(importlib.machinery.PathFinder.find_spec("__spark_entry__"))
     importlib.machinery.PathFinder.find_spec("__spark_entry__").loader.exec_module(fresh)
     assert not any(n.startswith("op") for n in fresh.queries())
+
+
+def test_near_copies_of_over_80_percent_go(spark):
+    """Of texts of 100 shingles and those with 19 to 24 more (similarity .81 to .84) one stays; one with 30 more (.77) does too."""
+    words = [[f"w{k}x{i}" for i in range(150)] for k in range(12)]
+    rows = []
+    for k, w in enumerate(words):
+        rows += [(2 * k, " ".join(w[:104])), (2 * k + 1, " ".join(w[: 104 + 19 + k % 6]))]
+    rows += [(100, " ".join(words[0][:104] + [f"y{i}" for i in range(30)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, SMALL).collect())
+    assert got == [*range(0, 24, 2), 100]
