@@ -1,100 +1,145 @@
-"""Line dedup: winnowed line fingerprints find repeated runs of lines; later ones are deleted (DataFrame operations only)."""
+"""Line dedup: winnowed line fingerprints, joined at their places and extended both ways, find repeated runs of lines; later ones are deleted (DataFrame operations only)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 
 def _lines(text: Column) -> Column:
-    """The lines that hold a word, in order: (at, h, w, m) with place among all lines, hash, words and digest."""
+    """The lines that hold a word, in order: place among all lines (at) and among these (k), two hashes (h, g) and words (w)."""
     split = F.transform(
         F.split(F.coalesce(text, F.lit("")), "\n"),
         lambda l, i: F.struct(
-            i.alias("at"), F.xxhash64(l).alias("h"), F.size(F.filter(F.split(l, r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"), F.md5(l.cast("binary")).alias("m")
+            i.alias("at"), F.xxhash64(l).alias("h"), F.xxhash64(F.lit(1), l).alias("g"), F.size(F.filter(F.split(l, r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w")
         ),
     )
-    return F.filter(split, lambda x: x["w"] > 0)
+    return F.transform(F.filter(split, lambda x: x["w"] > 0), lambda x, k: F.struct(x["at"].alias("at"), k.alias("k"), x["h"].alias("h"), x["g"].alias("g"), x["w"].alias("w")))
 
 
-def _window(near: Column, min_words: int) -> Column:
-    """The shortest run from the start of ``near`` with ``min_words`` words, as its lines; null if there are too few."""
-    taken = F.aggregate(
+def _taken(near: Column, min_words: int) -> Column:
+    """How many lines from the start of ``near`` on hold ``min_words`` words (all, if there are fewer), and how many words those are: (n, w)."""
+    return F.aggregate(
         near,
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("w")),
         lambda a, x: F.when(a["w"] >= min_words, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["w"] + x["w"]).alias("w"))),
-        lambda a: F.when(a["w"] >= min_words, a["n"]),
     )
-    return F.slice(near, F.lit(1), taken)
 
 
-def _windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(id, tag, at, lines, fingerprint, key): the winnowing windows of ``docs`` (id, tag, text).
+def _window(near: Column, min_words: int) -> Column:
+    """The shortest run from the start of ``near`` with ``min_words`` words; null if there are too few."""
+    return F.transform(F.array(_taken(near, min_words)), lambda t: F.when(t["w"] >= min_words, F.slice(near, F.lit(1), t["n"])))[0]
+
+
+def _context(near: Column, min_words: int) -> Column:
+    """The lines from the start of ``near`` on, up to the one with which they have ``min_words`` words."""
+    return F.slice(near, F.lit(1), _taken(near, min_words)["n"])
+
+
+def _least(window: Column) -> Column:
+    """The place of a window's least line hash, the first of equal ones."""
+    return F.array_min(F.transform(window, lambda x: F.struct(x["h"], x["k"])))["k"]
+
+
+def _ahead(lines: Column, k: Column, most: int) -> Column:
+    return F.slice(lines, k + 1, F.lit(most))
+
+
+def _behind(lines: Column, k: Column, most: int) -> Column:
+    """Up to ``most`` lines before place ``k``, the nearest first."""
+    return F.reverse(F.slice(lines, F.greatest(k - most, F.lit(0)) + 1, F.least(k, F.lit(most))))
+
 
-    From each line on, forwards and backwards, the shortest run with ``min_words`` words; a line with a word adds
-    one at least, so a run spans ``min_words`` lines at most. The fingerprint is the window's least line hash.
+def winnowed(docs: DataFrame, min_words: int) -> DataFrame:
+    """(id, tag, h, line, behind, ahead): the lines that winnowing selects in ``docs`` (id, tag, text), and what stands around them.
+
+    A window is the shortest run of lines with ``min_words`` words from a line on, forwards or backwards; a line with a word adds
+    one at least, so it spans ``min_words`` lines at most. Each window selects the line of its least hash, neighbouring
+    windows mostly the same one. ``behind`` and ``ahead`` reach as far as a window that selects the line can.
     """
-    order = Window.partitionBy("id", "tag").orderBy("at")
-    lines = docs.select("id", "tag", F.explode(_lines(F.col("text"))).alias("x")).select("id", "tag", "x.*")
-    # Rows that repeat both id and text are one document here.
-    lines = lines.withColumn("before", F.lag("at").over(order)).where("before IS NULL OR before != at").drop("before")
-    line = F.struct("at", "h", "w", "m")
-    lines = lines.select(
-        "id",
-        "tag",
-        line.alias("line"),
-        F.collect_list(line).over(order.rowsBetween(0, min_words - 1)).alias("ahead"),
-        F.collect_list(line).over(order.rowsBetween(1 - min_words, 0)).alias("behind"),
-    )
-    alone = F.col("line.w") >= min_words
-    runs = F.when(alone, F.array(F.array("line"))).otherwise(F.array(_window(F.col("ahead"), min_words), F.reverse(_window(F.reverse("behind"), min_words))))
-    runs = lines.select("id", "tag", F.explode(F.array_distinct(F.filter(runs, lambda r: r.isNotNull()))).alias("run"))
-    return runs.select(
-        "id",
-        "tag",
-        F.col("run")[0]["at"].alias("at"),
-        F.transform("run", lambda r: r["at"]).alias("lines"),
-        F.array_min(F.transform("run", lambda r: r["h"])).alias("fingerprint"),
-        F.unhex(F.md5(F.array_join(F.transform("run", lambda r: r["m"]), "").cast("binary"))).alias("key"),
+    lines = F.col("lines")
+    places = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
+    forwards = F.transform(places, lambda k: _least(_window(_ahead(lines, k, min_words), min_words)))
+    backwards = F.transform(places, lambda k: _least(_window(_behind(lines, k + 1, min_words), min_words)))
+    chosen = F.filter(F.array_distinct(F.concat(forwards, backwards)), lambda k: k.isNotNull())
+    seeds = F.transform(
+        "chosen",
+        lambda k: F.struct(
+            F.element_at(lines, k + 1).alias("line"),
+            _context(_behind(lines, k, min_words), min_words).alias("behind"),
+            _context(_ahead(lines, k + 1, min_words), min_words).alias("ahead"),
+        ),
     )
+    rows = docs.select("id", "tag", _lines(F.col("text")).alias("lines")).withColumn("chosen", chosen)
+    return rows.select("id", "tag", F.explode(seeds).alias("s")).select("id", "tag", F.col("s.line.h").alias("h"), "s.*")
+
+
+def _contexts(min_words: int) -> Column:
+    """Digests of the windows that select the line of a row of ``winnowed``: with what it is compared."""
+
+    def side(near: str, far: str, turned: bool) -> Column:
+        def window(n: Column) -> Column:
+            run = _window(F.concat(F.reverse(F.slice(F.col(near), F.lit(1), n)), F.array("line"), F.col(far)), min_words)
+            run = F.transform(F.array(run), lambda r: F.when((F.size(r) > n) & (_least(r) == F.col("line.k")), F.reverse(r) if turned else r))[0]
+            return F.when(run.isNotNull(), F.struct(F.xxhash64(F.transform(run, lambda x: x["h"])).alias("x"), F.xxhash64(F.lit(1), F.transform(run, lambda x: x["g"])).alias("y")))
+
+        return F.transform(F.sequence(F.lit(0), F.size(near)), window)
+
+    both = F.concat(side("behind", "ahead", False), side("ahead", "behind", True))
+    return F.array_distinct(F.filter(both, lambda x: x.isNotNull()))
+
+
+def _shared(mine: Column, theirs: Column) -> Column:
+    """The lines of ``mine``, from its start on, that ``theirs`` has as well."""
+    same = F.transform(F.zip_with(mine, theirs, lambda a, b: (a["h"] == b["h"]) & (a["g"] == b["g"])), lambda x: F.coalesce(x, F.lit(False)))
+    end = F.array_position(same, False)
+    return F.when(end == 0, mine).otherwise(F.slice(mine, F.lit(1), (end - 1).cast("int")))
 
 
 def later_runs(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """(id, tag, gone): for each document with repeated runs, the places (from 0) of the lines to delete.
 
     A line goes if it lies in a run of consecutive lines (blank ones left out) with ``min_words`` words or more
-    that also stands, line for line, at an earlier place: in a document of smaller id, or further up. Two copies of such
-    a run hold the same windows, and equal windows have equal fingerprints, so only windows whose fingerprint
-    occurs at two places need comparing (winnowing's guarantee). Windows reach forwards and backwards from
-    every line, so their union is each match extended both ways to its ends.
+    that also stands, line for line, at an earlier place: in a document of smaller id, or further up. Such a run holds a whole window
+    at both places, and equal windows select the same line (winnowing's guarantee), so only selected lines
+    meet, those whose hash occurs at two places. A hash may stand at very many (a common line), so that a
+    place isn't joined with all others: for each window that selects it, it is joined with the first place that
+    has the same window. From there a match is extended line by line both ways, and the matches' union, over
+    all selected lines of a document, is each repeated run to its ends.
     """
-    windows = materialise(_windows(docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).alias("text")), min_words), "windows")
-    place = F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), F.col("tag"), F.col("at"), F.size("lines").alias("n"))
+    seeds = materialise(winnowed(docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).alias("text")), min_words), "seeds")
+    place = F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), F.col("tag"), F.col("line.k"))
     # Aggregates are combined in tasks before they meet. In the joins a hot key stands once on one side, and Spark splits the
     # other; they are merge joins at every size, since none of the tables is bounded.
-    shared = windows.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a != z").select("fingerprint")
-    candidates = materialise(windows.join(materialise(shared, "fingerprints").hint("merge"), "fingerprint").drop("fingerprint"), "candidates")
-    first = candidates.groupBy("key").agg(F.min(place).alias("origin"), F.max(place).alias("end")).where("origin != end").select("key", "origin")
-    later = candidates.join(materialise(first, "origins").hint("merge"), "key").where(place != F.col("origin"))
-    return later.groupBy("id", "tag").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
+    again = seeds.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a != z").select("h")
+    met = seeds.join(materialise(again, "fingerprints").hint("merge"), "h")
+    met = materialise(met.select("id", "tag", "line", "behind", "ahead", F.explode(_contexts(min_words)).alias("window")), "candidates")
+    first = met.groupBy("window").agg(F.min(F.struct(place.alias("place"), "behind", "ahead")).alias("o"), F.max(place).alias("end")).where("o.place != end").select("window", "o")
+    later = met.join(materialise(first, "origins").hint("merge"), "window").where(place != F.col("o.place"))
+    run = F.concat(_shared(F.col("behind"), F.col("o.behind")), F.array("line"), _shared(F.col("ahead"), F.col("o.ahead")))
+    matches = later.select("id", "tag", F.transform(run, lambda x: x["at"]).alias("run"))
+    return matches.groupBy("id", "tag").agg(F.array_distinct(F.flatten(F.collect_set("run"))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """All rows and columns of ``docs`` with later repeated runs cut out of the text, plus ``n_lines`` and ``n_removed``.
 
     Null and empty texts stay as they are (no lines); a text all of whose lines are repeats becomes empty; blank
-    lines stay. Rows that repeat both id and text stand at one place and so are never each other's repeats.
+    lines stay. Rows that repeat both id and text stand at one place and so are never each other's repeats; rows that
+    repeat an id with other texts are places of their own. Null ids come before all others. Columns named ``n_lines``
+    or ``n_removed`` are replaced. An empty table gives no rows.
     """
     gone = materialise(later_runs(docs, key=key, text=text, min_words=min_words), "gone")
     rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     rows = docs.select(*[F.col(f"`{c}`") for c in rest]).withColumn("__tag", F.xxhash64(F.col(text)))
     joined = rows.alias("d").join(gone.alias("g").hint("merge"), F.col(f"d.{key}").eqNullSafe(F.col("g.id")) & (F.col("__tag") == F.col("g.tag")), "left")
-    split = F.split(F.col(f"d.{text}"), "\n")
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    columns = [F.when(F.col("gone").isNull(), F.col(f"d.`{c}`")).otherwise(kept).alias(c) if c == text else F.col(f"d.`{c}`") for c in rest]
-    return joined.select(*columns, F.when(F.col(f"d.{text}").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    joined = joined.select(*[F.col(f"d.`{c}`").alias(c) for c in rest], "gone", F.split(F.col(f"d.{text}"), "\n").alias("__split"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), "gone")
+    kept = F.array_join(F.transform(stay, lambda i: F.element_at("__split", i + 1)), "\n")
+    columns = [F.when(F.col("gone").isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`") for c in rest]
+    return joined.select(*columns, F.when(F.col("__split").isNull(), 0).otherwise(F.size("__split")).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 #: DuckDB: CTEs that end in ``deduped`` (doc_id, text, n_lines, n_removed). ``{docs}`` is a relation with unique ids.
