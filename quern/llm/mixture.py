@@ -39,8 +39,9 @@ def water_level(sources: DataFrame) -> tuple[float, float]:
     return level
 
 
-def order_hash(key: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+def order_hash(key: Column, text: Column, seed: int) -> Column:
+    """The place of a row within its source: a seeded hash of id and text, so that rows that share an id (or have none) stand apart."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
 
 
 def cut_off_cells(sized: DataFrame, sources: DataFrame) -> DataFrame:
@@ -65,10 +66,11 @@ def cut_off_cells(sized: DataFrame, sources: DataFrame) -> DataFrame:
 def mixing_plan(sized: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3) -> DataFrame:
     """Per source: source_size, target, whole repetitions, and the cut-off of the fractional one.
 
-    ``sized`` has ``source, size, order_hash, tie``. Within a source, documents stand in the order of their
+    ``sized`` has ``source, size, order_hash``. Within a source, documents stand in the order of their
     seeded hash; the fractional repetition takes each document whose midpoint in that order lies within the
     wanted share, so a source misses its target by half a document at most. Histograms over more and more
-    digits of the hash find the cell that holds the cut-off, and only that cell is sorted.
+    digits of the hash find the cell that holds the cut-off, and only that cell is sorted. Rows of one hash (equal id and text) are one
+    entry there, however many they are; if the cut-off falls among them, ``part`` of them are taken, of the hash ``edge``.
     """
     sources = materialise(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     weights = cyclic_weights(sources) if weights is None else weights
@@ -89,39 +91,47 @@ def mixing_plan(sized: DataFrame, weights: DataFrame | None = None, max_epochs:
     inside = (
         sized.alias("d")
         .join(crossing.alias("x"), F.col("d.source").eqNullSafe(F.col("x.source")) & (F.substring("order_hash", 1, LEVELS[-1]) == F.col("x.cell")))
-        .select("d.source", "size", "order_hash", "tie", "before")
+        .groupBy("d.source", "order_hash", "size", "before")
+        .agg(F.count("*").alias("n"))
     )
-    ahead = F.sum("size").over(Window.partitionBy("source").orderBy("order_hash", "tie", "size").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.sum(F.col("size") * F.col("n")).over(Window.partitionBy("source").orderBy("order_hash").rowsBetween(Window.unboundedPreceding, -1))
     inside = inside.withColumn("ahead", F.coalesce(ahead, F.lit(0)) + F.col("before"))
-    cut = (
-        inside.alias("i")
-        .join(sources.alias("s"), F.col("i.source").eqNullSafe(F.col("s.source")))
-        .where(2 * F.col("ahead") + F.col("size") <= 2 * F.col("rest"))
-        .groupBy("s.source")
-        .agg(F.max(F.struct("order_hash", "tie")).alias("cut"))
+    room = 2 * F.col("rest") - 2 * F.col("ahead") - F.col("size")
+    fit = F.when(room < 0, 0).when(F.col("size") == 0, F.col("n")).otherwise(F.least(F.floor(room / (2 * F.col("size"))) + 1, F.col("n"))).cast("long")
+    entries = inside.alias("i").join(sources.alias("s"), F.col("i.source").eqNullSafe(F.col("s.source"))).select("s.source", "order_hash", "n", fit.alias("fit"))
+    cut = entries.groupBy("source").agg(
+        F.max(F.when(F.col("fit") == F.col("n"), F.col("order_hash"))).alias("cut"), F.max(F.when((F.col("fit") > 0) & (F.col("fit") < F.col("n")), F.struct("order_hash", "fit"))).alias("partial")
     )
     plan = (
         sources.alias("s")
         .join(crossing.alias("x"), F.col("s.source").eqNullSafe(F.col("x.source")), "left")
         .join(cut.alias("k"), F.col("s.source").eqNullSafe(F.col("k.source")), "left")
-        .select("s.source", "source_size", "weight", "target", "whole", F.coalesce("cell", F.lit(BEYOND)).alias("cell"), "cut")
+        .select("s.source", "source_size", "weight", "target", "whole", F.coalesce("cell", F.lit(BEYOND)).alias("cell"), "cut", F.col("partial.order_hash").alias("edge"), F.col("partial.fit").alias("part"))
     )
     return materialise(plan, "mix-plan")
 
 
-def with_order(docs: DataFrame, source: str, key: str, seed: int) -> DataFrame:
-    return docs.withColumn("order_hash", order_hash(F.col(key), seed)).withColumn("tie", F.col(key).cast("string")).withColumn("source", F.col(source))
+#: Equal rows that one task writes.
+COPIES = 10_000
 
 
 def repeats(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """Add source_size, target and repeats; the plan has a row per source, which Spark broadcasts if it is small."""
+    """Add source_size, target and repeats to ``docs`` (which has source and order_hash); the plan has a row per source, which Spark broadcasts if it is small.
+
+    Of a source's equal rows among which the cut-off falls, some are taken once more than others. They are counted, and the counted
+    rows dealt out again, ``COPIES`` in a piece, so that no task holds or numbers them all.
+    """
     cell = F.substring("order_hash", 1, LEVELS[-1])
-    within = (cell < F.col("p.cell")) | ((cell == F.col("p.cell")) & F.coalesce(F.struct("d.order_hash", "d.tie") <= F.col("cut"), F.lit(False)))
-    return (
-        docs.alias("d")
-        .join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-        .select("d.*", "source_size", "target", (F.col("whole") + within.cast("long")).alias("repeats"))
-    )
+    within = (cell < F.col("p.cell")) | ((cell == F.col("p.cell")) & F.coalesce(F.col("d.order_hash") <= F.col("cut"), F.lit(False)))
+    edge = F.coalesce(F.col("d.order_hash") == F.col("edge"), F.lit(False))
+    joined = docs.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", "source_size", "target", "whole", "part", within.alias("within"), edge.alias("edge"))
+    plain = joined.where("NOT edge").select(*[F.col(f"`{c}`") for c in docs.columns], "source_size", "target", (F.col("whole") + F.col("within").cast("long")).alias("repeats"))
+    names = [F.col(f"`{c}`") for c in (*docs.columns, "source_size", "target", "whole", "part")]
+    counted = joined.where("edge").groupBy(*names).agg(F.count("*").alias("__n"))
+    pieces = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(COPIES).cast("long"))).alias("__from"))
+    pieces = pieces.repartition(F.xxhash64("order_hash", "__from"))
+    copies = pieces.select("*", F.explode(F.sequence(F.col("__from"), F.least(F.col("__n"), F.col("__from") + COPIES) - 1)).alias("__place"))
+    return plain.union(copies.select(*[F.col(f"`{c}`") for c in docs.columns], "source_size", "target", (F.col("whole") + (F.col("__place") < F.col("part")).cast("long")).alias("repeats")))
 
 
 def mix_sources(
@@ -131,20 +141,24 @@ def mix_sources(
 
     Returns the columns of ``docs``, a row for each repetition. Sizes are word counts. A null source is a source
     of its own; null or wordless texts have size 0 and follow their source's rate (sources without words: kept
-    once). An empty table gives an empty result. Rows that repeat an id stand next to each other in the order.
+    once). An empty table gives an empty result. Rows that share an id, null or not, but have other texts are documents like others;
+    rows that repeat id and text are dealt with by their number, so a source misses its target by half a document in any case.
+    Columns may have any names; those of type map are not supported.
     """
-    sized = docs.select(F.col(source).alias("source"), F.col(key).alias("k"), word_count(F.col(text)).alias("size"))
-    sized = materialise(with_order(sized, "source", "k", seed).select("source", "size", "order_hash", "tie"), "mix-sizes")
+    hashed = order_hash(F.col(key), F.col(text), seed).alias("order_hash")
+    sized = materialise(docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), hashed), "mix-sizes")
     plan = mixing_plan(sized, weights, max_epochs)
-    rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.col(key).alias("k"))
-    rows = repeats(with_order(rows, "source", "k", seed), plan)
-    return rows.where("repeats > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("n")).select("row.*")
+    rows = repeats(docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), hashed), plan)
+    return rows.where("repeats > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))).alias("n")).select("row.*")
 
 
 def mixed_sizes(docs: DataFrame, *, max_epochs: int = 3, seed: int = 7) -> DataFrame:
-    """Per document of ``doc_id, text, source``: size, source_size, target and the words that the mix takes."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    sized = materialise(with_order(sized, "source", "doc_id", seed), "mix-sizes")
+    """Per row of ``docs`` (doc_id, text, source): size, source_size, target and the words that the mix takes.
+
+    Nulls, repeated rows and empty tables as in ``mix_sources``; a row of size 0 takes no word.
+    """
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order_hash(F.col("doc_id"), F.col("text"), seed).alias("order_hash"))
+    sized = materialise(sized, "mix-sizes")
     plan = mixing_plan(sized, None, max_epochs)
     return repeats(sized, plan).select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"), "source", "repeats")
 
@@ -153,7 +167,7 @@ def mixed_sizes(docs: DataFrame, *, max_epochs: int = 3, seed: int = 7) -> DataF
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS h, doc_id::VARCHAR AS tie FROM {docs}),
+         md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h FROM {docs}),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, source_size * 3 AS cap FROM src),
 o AS (SELECT *, coalesce(sum(cap) OVER q, 0) AS fixed, sum(weight) OVER () - coalesce(sum(weight) OVER q, 0) AS free,
@@ -164,7 +178,7 @@ lv AS (SELECT first(total - fixed ORDER BY cap / weight, source NULLS LAST)::DOU
 t AS (SELECT source, source_size, CASE WHEN weight * up / down > cap THEN cap::DOUBLE ELSE weight * up / down END AS target FROM w, lv),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 d AS (SELECT s.doc_id, s.size, p.source_size, p.target, p.whole, s.source,
-             coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.tie, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead,
+             coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead,
              p.target - p.whole * p.source_size AS rest
       FROM sized s JOIN p ON s.source IS NOT DISTINCT FROM p.source),
 mixed AS (SELECT *, whole + CASE WHEN 2 * ahead + size <= 2 * rest THEN 1 ELSE 0 END AS repeats FROM d)
