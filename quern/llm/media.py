@@ -10,8 +10,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 #: An image made from text is 64 pixels wide: 192 bytes of 8-bit RGB a row.
 ROW_BYTES = 192
@@ -43,6 +45,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         at = m.end()
     width, height = fields[:2]
     top = fields[2] if len(fields) > 2 else 1
+    if not (width and height and 0 < top < 65536):
+        raise ValueError(f"netpbm image of {width} x {height} pixels and {top} levels")
     bands = 3 if kind in (b"P3", b"P6") else 1
     n = width * height * bands
     if kind in (b"P1", b"P2", b"P3"):
@@ -70,6 +74,8 @@ def _bmp(data: bytes) -> np.ndarray:
     width, height, _, depth, packing = struct.unpack_from("<iiHHI", data, 18)
     if packing not in (0, 3) or depth not in (8, 24, 32):
         raise ValueError(f"BMP with {depth} bits and compression {packing} is not supported")
+    if width < 1 or not height:
+        raise ValueError(f"BMP of {width} x {height} pixels")
     rows, stride = abs(height), -(-width * depth // 32) * 4
     samples = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)[:, : width * depth // 8]
     if depth == 8:
@@ -132,54 +138,65 @@ def store(payload: bytes) -> bytes:
     return encode_bmp(pixels) if zlib.crc32(payload) & 1 else encode_ppm(pixels)
 
 
-MEDIA_SCHEMA = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "feature string, format string, width int, height int, tile_npy binary, media binary"
-)
+MEDIA = pa.schema(
+    [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()),
+     ("feature", pa.string()), ("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("tile_npy", pa.binary()), ("media", pa.binary())]
+)
+
+
+def _as_batch(ids: pa.Array, name: str, rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """The ids as they came, and the columns of ``rows``."""
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([ids, *[pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)]], names=[name, *schema.names])
+
+
+def _with_id(id_type: T.DataType, name: str, schema: pa.Schema) -> T.StructType:
+    return T.StructType([T.StructField(name, id_type), *from_arrow_schema(schema).fields])
 
 
 def text_media(docs: DataFrame, *, keep_media: bool = True) -> DataFrame:
     """Store each whole text as the samples of an image, read it back, and describe what was read.
 
-    Columns: MEDIA_SCHEMA; ``media`` is null unless ``keep_media``. Null and empty texts are one row of spaces.
-    Works a document at a time inside Arrow batches, without a shuffle.
+    Columns: doc_id (any type, as it is) and those of MEDIA; ``media`` is null unless ``keep_media``. Null and empty texts are one row of spaces;
+    equal texts have equal values, and repeated rows and ids give a row each. Other columns are left out, whatever their names.
+    Works a document at a time inside Arrow batches, without a shuffle; an empty table gives no rows.
     """
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for text in batch.column(1).to_pylist():
                 n, payload = payload_of(text)
                 media = store(payload)
                 pixels, npy, feature = tile(media)
                 back = pixels.tobytes()
                 out.append(
-                    (None if pd.isna(doc_id) else int(doc_id), n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature,
-                     "bmp" if media[:2] == b"BM" else "ppm", pixels.shape[1], pixels.shape[0], npy, media if keep_media else None)
+                    (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, "bmp" if media[:2] == b"BM" else "ppm",
+                     pixels.shape[1], pixels.shape[0], npy, media if keep_media else None)
                 )
-            frame = pd.DataFrame(out, columns=[x.split()[0] for x in MEDIA_SCHEMA.split(", ")])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield _as_batch(batch.column(0), "doc_id", out, MEDIA)
 
-    return docs.select("doc_id", "text").mapInPandas(rows, MEDIA_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(rows, _with_id(docs.schema["doc_id"].dataType, "doc_id", MEDIA))
 
 
-IMAGE_SCHEMA = "id long, width int, height int, bands int, tile_npy binary, feature string, error string"
+IMAGE = pa.schema([("width", pa.int32()), ("height", pa.int32()), ("bands", pa.int32()), ("tile_npy", pa.binary()), ("feature", pa.string()), ("error", pa.string())])
 
 
 def image_tiles(images: DataFrame, *, key: str = "id", content: str = "content", side: int = 16) -> DataFrame:
-    """Tiles and difference hashes of a binary column of Netpbm or BMP files; unreadable ones give their error."""
+    """Tiles and difference hashes of a binary column of Netpbm or BMP files, with the id as it is.
+
+    What is no such file, is cut short, or has no pixels or levels gives its error and nulls; so do nulls. Repeated rows give a row each.
+    """
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k, data in zip(batch["id"], batch["content"], strict=True):
+            for data in batch.column(1).to_pylist():
                 try:
                     pixels, npy, feature = tile(bytes(data or b""), side)
-                    out.append((k, pixels.shape[1], pixels.shape[0], pixels.shape[2], npy, feature, None))
+                    out.append((pixels.shape[1], pixels.shape[0], pixels.shape[2], npy, feature, None))
                 except (ValueError, struct.error, IndexError) as e:
-                    out.append((k, None, None, None, None, None, str(e)))
-            frame = pd.DataFrame(out, columns=[x.split()[0] for x in IMAGE_SCHEMA.split(", ")])
-            yield frame.astype({c: "Int64" for c in ("id", "width", "height", "bands")})
+                    out.append((None, None, None, None, None, str(e) or type(e).__name__))
+            yield _as_batch(batch.column(0), "id", out, IMAGE)
 
-    return images.select(images[key].cast("long").alias("id"), images[content].alias("content")).mapInPandas(rows, IMAGE_SCHEMA)
+    return images.select(images[key].alias("id"), images[content].alias("content")).mapInArrow(rows, _with_id(images.schema[key].dataType, "id", IMAGE))

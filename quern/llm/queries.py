@@ -46,7 +46,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.text_media(read_table(spark, sf_dir, "documents"), keep_media=False)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "format", "width", "height")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "format", "width", "height", "tile_npy")
 
 
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
