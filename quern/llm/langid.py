@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, materialise
 from .grams import code_points, gram_buckets, letters_only
 
 #: Families by ISO 639-1 code; a language that is not listed is a family of its own.
@@ -104,36 +104,36 @@ def fit(rows: list[tuple[str, str]], families: dict[str, tuple[str, ...]] | None
     return LanguageModel(groups, top, pairs)
 
 
-def train(docs: DataFrame, *, max_per_lang: int = 400, families: dict[str, tuple[str, ...]] | None = None, seed: int = 5) -> LanguageModel:
-    """Fit on at most ``max_per_lang`` rows of each language, the least by a seeded hash of the id.
+def train(docs: DataFrame, *, max_per_lang: int = 400, max_rows: int = 40_000, families: dict[str, tuple[str, ...]] | None = None, seed: int = 5) -> LanguageModel:
+    """Fit on at most ``max_per_lang`` rows of each language, fewer (but one at least) where that were over ``max_rows`` in all.
 
-    Rows of the held-out quarter and rows without text or language are never used. The bounded sample is
-    fitted in one task; only the model comes to the driver.
+    The sample is the least by a seeded hash of the id, ties by the text's hash. Rows of the held-out quarter and rows without id, text
+    or language are never used. The bounded sample is fitted in one task; only the model comes to the driver.
     """
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")).cast("binary"))
     share = F.conv(F.substring("draw", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    picked = known.withColumn("draw", draw).join(F.broadcast(counts.orderBy("lang").limit(10_000)), "lang")
-    picked = picked.where(share <= 1.5 * max_per_lang / F.col("n") + 1e-3)
-    first = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    sample = picked.withColumn("place", F.row_number().over(first)).where(F.col("place") <= max_per_lang).select("doc_id", "text", "lang")
+    counts = materialise(known.groupBy("lang").agg(F.count("*").alias("n")), "lang-counts")
+    most = max(1, min(max_per_lang, max_rows // max(1, counts.count())))
+    # Of a language's n rows those of a share that holds ``most`` for certain, so that few are sorted.
+    near = known.select("doc_id", "text", "lang", draw.alias("draw")).join(counts, "lang").where(share <= (1.5 * most + 50) / F.col("n"))
+    first = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
+    sample = near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most).select("doc_id", "text", "lang")
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*batches, pd.DataFrame({"doc_id": [], "text": [], "lang": []})]).sort_values(["doc_id", "lang"], kind="stable")
+        rows = pd.concat([*batches, pd.DataFrame({"doc_id": [], "text": [], "lang": []})]).sort_values(["doc_id", "lang", "text"], kind="stable")
         yield pd.DataFrame({"model": [pickle.dumps(fit(list(zip(rows["text"], rows["lang"], strict=True)), families))]})
 
     row = sample.repartition(1).mapInPandas(fitted, "model binary").first()
     return pickle.loads(row["model"]) if row else fit([], families)  # Spark skips the task of an empty sample
 
 
-LANG_SCHEMA = "doc_id long, lang_pred string, score double"
-
-
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score`` (0 to 1), replacing columns of those names.
 
-    Null texts and texts without a letter are ``und`` with score 0. One pass, no shuffle.
+    Null texts and texts without a letter are ``und`` with score 0, and so is every text for a model without languages. A prediction
+    follows from the text alone, so repeated rows and rows of null id are predicted alike; of languages that tie
+    the last by name wins. One pass over whole texts, no shuffle; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
