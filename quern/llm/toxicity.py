@@ -76,17 +76,18 @@ def fit(texts: list[str], toxic: np.ndarray, *, alpha: float = 1.0, l2: float =
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, seed: int = 3) -> ToxicityModel:
     """Fit on at most ``max_rows`` labelled rows, the least by a seeded hash of the id, none of the held-out quarter.
 
-    Duplicate labels of a document teach twice; null labels and null texts teach nothing. The bounded sample is
-    fitted in one task; only the model comes to the driver.
+    Duplicate labels of a document teach twice; null labels, ids and texts teach nothing; of an id that repeats, rows count
+    towards ``max_rows`` each. The bounded sample is fitted in one task; only the model comes to the driver.
     """
-    rows = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    rows = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "toxic")
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")).cast("binary"))
-    picked = rows.withColumn("draw", draw).orderBy("draw", "doc_id", "toxic").limit(max_rows).select("doc_id", "toxic")
-    # max_rows ids bound this side.
+    picked = rows.withColumn("draw", draw).orderBy("draw", "doc_id", "toxic").limit(max_rows)
+    # max_rows ids bound this side; the rows that they find are cut to max_rows again, since ids may repeat.
     sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sample = sample.orderBy("draw", "doc_id", "toxic", F.xxhash64("text")).limit(max_rows).select("doc_id", "text", "toxic")
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = pd.concat([*batches, pd.DataFrame({"doc_id": [], "text": [], "toxic": []})]).sort_values(["doc_id", "toxic"], kind="stable")
+        got = pd.concat([*batches, pd.DataFrame({"doc_id": [], "text": [], "toxic": []})]).sort_values(["doc_id", "toxic", "text"], kind="stable")
         yield pd.DataFrame({"model": [pickle.dumps(fit(list(got["text"]), got["toxic"].to_numpy(dtype=float)))]})
 
     row = sample.repartition(1).mapInPandas(fitted, "model binary").first()
@@ -96,7 +97,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, seed: int
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
     """All columns of ``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on), replacing columns of those names.
 
-    Null and empty texts get the score of a text without n-grams. One pass over whole texts, no shuffle.
+    Null and empty texts get the score of a text without n-grams; a score follows from the text alone, so repeated rows and
+    rows of null id score alike. One pass over whole texts, no shuffle; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
