@@ -30,15 +30,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    checkpoint = spark.sparkContext.getCheckpointDir()
-    if not checkpoint:
+    """The shared folder named by ``spark.checkpoint.dir``. Where none is set, a local one for a local session; a cluster needs one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
-        checkpoint = spark.sparkContext.getCheckpointDir()
-    return checkpoint
+        named = spark.sparkContext.getCheckpointDir()
+    return named
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
