@@ -9,8 +9,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WORD, materialise
 
@@ -24,8 +26,8 @@ SAMPLES, SKETCH_BITS = 1024, 2048
 WHOLE = 512
 #: Slack of a sketch's estimate, over five standard errors for sampled sets; whole ones err by less. The exact check follows.
 SLACK = 0.12
-#: Rows of one block when members of a large band bucket are compared.
-BLOCK = 512
+#: Rows of one block when members of a large band bucket are compared, and bytes of their full sets.
+BLOCK, BLOCK_BYTES = 512, 32 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -131,39 +133,44 @@ def similar(a: np.ndarray, na: np.ndarray, ka: np.ndarray, b: np.ndarray, nb: np
     return out
 
 
-SIGNATURE = "doc_id long, n_shingles long, class string, bands array<long>, sketch binary, sampled int"
+def _digest(shingles: np.ndarray) -> bytes:
+    import xxhash
 
+    return xxhash.xxh3_128_digest(shingles.tobytes())
 
-def signatures(docs: DataFrame, size: int, bands: int) -> DataFrame:
-    """Per document: set size, a digest of the set, band keys and sketch; the last two are null for empty sets."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
+def signatures(docs: DataFrame, size: int, bands: int) -> DataFrame:
+    """Per row: doc_id as it is, a hash of the text, set size, a digest of the set (its class), band keys and sketch; the last three are null for empty sets."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for text in batch.column(2).to_pylist():
                 s = shingle(text)
-                if len(s):
-                    sketch, sampled = odd_sketch(s)
-                    out.append((doc_id, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), band_keys(minima(s, bands)), sketch, sampled))
-                else:
-                    out.append((doc_id, 0, None, None, None, 0))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "class", "bands", "sketch", "sampled"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+                out.append((len(s), _digest(s), band_keys(minima(s, bands)), *odd_sketch(s)) if len(s) else (0, None, None, None, 0))
+            n, kind, keys, sketch, sampled = zip(*out, strict=True) if out else ([],) * 5
+            columns = [pa.array(n, pa.int64()), pa.array(kind, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(sampled, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "tag", "n_shingles", "class", "bands", "sketch", "sampled"])
+
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("tag long, n_shingles long, class binary, bands array<long>, sketch binary, sampled int").fields])
+    return docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(rows, schema)
 
-    return docs.select("doc_id", "text").mapInPandas(rows, SIGNATURE)
 
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, shingles): the full sets of the ``wanted`` classes (node, class, doc_id), from the rows of one of their ids."""
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [shingle(t).tobytes() for t in batch["text"]]})
+            sets = [shingle(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "shingles"])
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, shingles binary")
+    ids = wanted.select("doc_id").distinct()
+    texts = docs.select("doc_id", "text").alias("d").join(ids.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("text")
+    # An id may stand on several texts, and equal rows on one: a set for each class.
+    found = texts.mapInArrow(rows, "class binary, shingles binary").join(wanted.select("node", "class"), "class")
+    return found.groupBy("node").agg(F.any_value("shingles").alias("shingles"))
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -184,7 +191,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
         return pd.Series(out, dtype=bool)
 
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(left, "a").join(right, "b").where(linked("x", "y")).select("a", "b")
 
 
@@ -214,8 +221,8 @@ def _unpacked(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def star_pairs(members: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
     """Each member of a band bucket with the bucket's least member, if their sketches are similar: (a, b), a < b."""
-    heads = materialise(buckets.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a != z").select("band", "a"), "heads")
-    pairs = buckets.join(heads, "band").where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
+    heads = materialise(buckets.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("band", "a"), "heads")
+    pairs = buckets.join(heads, "band").where("node != a").select("a", F.col("node").alias("b")).distinct()
     return sketch_filter(materialise(pairs, "pairs"), members, percent)
 
 
@@ -230,39 +237,74 @@ def sketch_filter(pairs: DataFrame, members: DataFrame, percent: int) -> DataFra
             out.append(bool(similar(a, np.array([na]), np.array([ka]), b, np.array([nb]), np.array([kb]), least, percent / 100)[0, 0]))
         return pd.Series(out, dtype=bool)
 
-    left = members.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("nx"), F.col("sampled").alias("kx"))
-    right = members.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("ny"), F.col("sampled").alias("ky"))
-    both = pairs.join(left, "a").join(right, "b").where(F.least("nx", "ny") >= F.greatest("nx", "ny") * least)
+    left = members.select(F.col("node").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("nx"), F.col("sampled").alias("kx"))
+    right = members.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("ny"), F.col("sampled").alias("ky"))
+    both = pairs.join(left, "a").join(right, "b").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
     return both.where(close("x", "nx", "kx", "y", "ny", "ky")).select("a", "b")
 
 
-def cross_links(docs: DataFrame, size: int, members: DataFrame, buckets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _blocks(members: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, s, t, node, component, seeks): who meets whom in the buckets that still hold several components.
+
+    In each bucket the largest component's members stay in their own block t and every other member meets all blocks, a strip s
+    at a time. Their numbers follow from the members and from the bytes of their sets, so neither fills a task.
+    """
+    sizes = members.select("node", (F.col("n_shingles") * 8).alias("bytes"))
+    own = buckets.join(labels, "node", "left").join(sizes, "node")
+    own = materialise(own.select("band", "node", "bytes", F.coalesce("component", "node").alias("component")), "bucket-labels")
+    parts = own.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    total = parts.groupBy("band").agg(F.max(F.struct("n", "bytes", "component")).alias("top"), F.sum("n").alias("all"), F.sum("bytes").alias("bytes"), F.count("*").alias("kinds"))
+    total = total.where("kinds > 1 AND all > 2")
+
+    def pieces(rows: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(rows / BLOCK, size / BLOCK_BYTES)).cast("int")
+
+    total = total.select("band", F.col("top.component").alias("main"), pieces(F.col("all"), F.col("bytes")).alias("blocks"), pieces(F.col("all") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("strips"))
+    block, strip = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("strips")).cast("int")
+    placed = own.join(materialise(total, "bucket-sizes"), "band").select("band", "node", "component", "main", "blocks", "strips", block.alias("block"), strip.alias("strip"))
+    placed = materialise(placed, "bucket-places")
+    whole = placed.select("band", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("s"), F.col("block").alias("t"), "node", "component", F.lit(False).alias("seeks"))
+    seeking = placed.where("component != main").select("band", F.col("strip").alias("s"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"), "node", "component", F.lit(True).alias("seeks"))
+    return whole.union(seeking)
+
+
+def cross_links(docs: DataFrame, size: int, classes: DataFrame, members: DataFrame, buckets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of one bucket but of different components: the work that the stars leave.
 
-    In each bucket the largest component's members stay in their own block and every other member meets all blocks,
-    so nothing within a component is compared and no task holds more than two blocks. Members are compared by sketch, and
-    what is similar on full sets, the most similar first; a link joins two components for the rest of its task, so a task gives
-    fewer links than it has components, whatever the number of similar pairs.
+    First the members of each pair of blocks are compared by sketch, which leaves those that are similar to any of another component.
+    Only their full sets are fetched, and decide, the most similar first; a link joins two components for the rest of its task, so a
+    task gives fewer links than it has components, whatever the number of similar pairs.
     """
     least = percent / 100 - SLACK
-    own = buckets.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    own = materialise(own.select("band", "doc_id", F.coalesce("component", "doc_id").alias("component")), "bucket-labels")
-    parts = own.groupBy("band", "component").agg(F.count("*").alias("n"))
-    totals = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
-    totals = materialise(totals.where("all > 2").select("band", F.col("top.component").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("others")), "bucket-sizes")
-    blocks, strips = F.ceil(F.col("all") / BLOCK).cast("int"), F.ceil(F.col("others") / BLOCK).cast("int")
-    block, strip = F.pmod(F.xxhash64("doc_id"), blocks).cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(1)), strips).cast("int")
-    placed = own.join(totals, "band").select("band", "doc_id", "component", "main", blocks.alias("blocks"), strips.alias("strips"), block.alias("block"), strip.alias("strip"))
-    whole = placed.withColumn("seeks", F.lit(False)).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("strips") - 1))).withColumn("t", F.col("block"))
-    seeking = placed.where("component != main").withColumn("seeks", F.lit(True)).withColumn("s", F.col("strip")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["band", "s", "t", "doc_id", "component", "seeks"]
-    wanted = materialise(placed.select("doc_id").distinct(), "wanted")
-    sets = materialise(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]), "sets")
-    about = members.select("doc_id", "n_shingles", "sketch", "sampled").join(sets, "doc_id")
-    rows = whole.select(*columns).union(seeking.select(*columns)).join(about, "doc_id")
+    about = members.select("node", "n_shingles", "sketch", "sampled")
+
+    def estimates(seek: pd.DataFrame, there: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row of ``seek`` the estimated similarity with those of ``there``, 0 for its own component."""
+        a, na, ka = _unpacked(seek)
+        b, nb, kb = _unpacked(there)
+        kinds, own = there["component"].to_numpy(), seek["component"].to_numpy()
+        for i in range(len(seek)):
+            found = similar(a[i : i + 1], na[i : i + 1], ka[i : i + 1], b, nb, kb, least, percent / 100)[0]
+            found[(kinds == own[i]) | (100 * np.minimum(na[i], nb) < percent * np.maximum(na[i], nb))] = 0
+            yield i, found
+
+    def met(pdf: pd.DataFrame) -> pd.DataFrame:
+        seek, there = pdf[pdf["seeks"]], pdf[~pdf["seeks"]]
+        seekers, others = np.zeros(len(seek), bool), np.zeros(len(there), bool)
+        if len(seek) and len(there):
+            for i, found in estimates(seek, there):
+                others |= found > 0
+                seekers[i] = bool((found > 0).any())
+        return pd.concat([seek[seekers], there[others]])[["band", "s", "t", "node", "component", "seeks"]]
+
+    places = _blocks(members, buckets, labels)
+    left = places.join(about, "node").groupBy("band", "s", "t").applyInPandas(met, "band long, s int, t int, node long, component long, seeks boolean")
+    left = materialise(left, "similar-members")
+    wanted = materialise(classes.join(left.select("node").distinct(), "node", "left_semi").select("node", "class", "doc_id"), "wanted")
+    sets = materialise(shingle_sets(docs, wanted, size), "sets")
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-        seek, there = pdf[pdf["seeks"]].sort_values("doc_id"), pdf[~pdf["seeks"]].sort_values("doc_id")
+        seek, there = (part.sort_values("node") for part in (pdf[pdf["seeks"]], pdf[~pdf["seeks"]]))
         out: list[tuple[int, int]] = []
         root: dict[int, int] = {}
 
@@ -272,59 +314,73 @@ def cross_links(docs: DataFrame, size: int, members: DataFrame, buckets: DataFra
             return c
 
         if len(seek) and len(there):
-            b, nb, kb = _unpacked(there)
-            a, na, ka = _unpacked(seek)
-            ids, kinds, full = there["doc_id"].to_numpy(), there["component"].to_numpy(), list(there["shingles"])
-            for i, (doc_id, kind, shingles) in enumerate(zip(seek["doc_id"], seek["component"], seek["shingles"], strict=True)):
-                found = similar(a[i : i + 1], na[i : i + 1], ka[i : i + 1], b, nb, kb, least, percent / 100)[0]
-                found[(kinds == kind) | (100 * np.minimum(na[i], nb) < percent * np.maximum(na[i], nb))] = 0
+            ids, kinds, full = there["node"].to_numpy(), there["component"].to_numpy(), list(there["shingles"])
+            nodes, own, mine = seek["node"].to_numpy(), seek["component"].to_numpy(), list(seek["shingles"])
+            for i, found in estimates(seek, there):
                 at = np.flatnonzero(found)
-                x = np.frombuffer(shingles, np.uint64)
+                x = np.frombuffer(mine[i], np.uint64)
                 for j in at[np.lexsort((ids[at], -found[at]))]:
-                    if (mine := find(kind)) != (other := find(kinds[j])) and _linked(x, np.frombuffer(full[j], np.uint64), percent):
-                        root[max(mine, other)] = min(mine, other)
-                        out.append((min(doc_id, ids[j]), max(doc_id, ids[j])))
+                    if (p := find(own[i])) != (q := find(kinds[j])) and _linked(x, np.frombuffer(full[j], np.uint64), percent):
+                        root[max(p, q)] = min(p, q)
+                        out.append((min(nodes[i], ids[j]), max(nodes[i], ids[j])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
+    rows = left.join(about, "node").join(sets, "node")
     return rows.groupBy("band", "s", "t").applyInPandas(compared, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, size: int = 5) -> DataFrame:
-    """Per document of ``docs`` (doc_id, text): n_shingles, component_id, kept.
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased (A-Z) and a document's set is its distinct ``size``-word shingles (all words, if fewer).
-    Equal sets form a class, which goes on as its least id. Classes that share a band are compared by sketch
-    with the least of their bucket, then with members of other components of it, and every candidate is confirmed
-    on full sets; components of the links, carried over to the classes' members, are the answer. No link is
-    made for empty sets (null or wordless text): such documents are kept. Rows that repeat an id give a row each.
+    Equal sets form a class, and from there on classes are compared, once each, whatever their ids. Classes that share a band are compared by
+    sketch with one of their bucket, then with members of other components of it, and every candidate is confirmed
+    on full sets. A component's id is the least id of its classes' rows.
+
+    No link is made for empty sets (null or wordless text): such rows are their own component and kept. Repeated rows, and rows that
+    repeat an id with other texts, give a row each; the set of each text counts. A row without id belongs to its component, but is
+    kept only if no row of it has an id. Other columns of ``docs`` don't matter, whatever their names. An empty table gives no rows.
     """
+    return classified(docs, percent, size).drop("tag")
+
+
+def classified(docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """``near_duplicates`` with ``tag``, a hash of the row's text."""
     all_rows = materialise(signatures(docs, size, bands_for(percent)), "signatures")
-    classes = all_rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    classes = materialise(classes, "classes")
-    members = all_rows.join(classes, ["class", "doc_id"]).dropDuplicates(["doc_id"])
-    members = materialise(members.select("doc_id", "n_shingles", "bands", "sketch", "sampled"), "members")
-    buckets = members.select(F.explode("bands").alias("band"), "doc_id")
+    same = [F.any_value(c).alias(c) for c in ("n_shingles", "bands", "sketch", "sampled")]
+    classes = all_rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), *same)
+    members = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "members")  # written, so the numbers stay
+    classes = members.select("node", "class", "doc_id")
+    buckets = members.select(F.explode("bands").alias("band"), "node")
     busy = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     buckets = materialise(buckets.join(materialise(busy, "busy"), "band"), "buckets")
     pairs = materialise(star_pairs(members, buckets, percent), "candidates")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = shingle_sets(docs.select("doc_id", "text").join(materialise(wanted, "wanted"), "doc_id", "left_semi"), size)
-    links = materialise(confirmed(pairs, materialise(sets.dropDuplicates(["doc_id"]), "sets"), percent), "links")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialise(classes.join(ends, "node", "left_semi"), "wanted")
+    links = materialise(confirmed(pairs, materialise(shingle_sets(docs, wanted, size), "sets"), percent), "links")
     labels = components(links)
-    more = materialise(cross_links(docs, size, members, buckets, labels, percent), "more-links")
+    more = materialise(cross_links(docs, size, classes, members, buckets, labels, percent), "more-links")
     if not more.isEmpty():
         labels = components(links.union(more))
-    roots = classes.join(labels, classes["doc_id"] == labels["node"], "left").select("class", F.coalesce("component", "doc_id").alias("component_id"))
-    roots = materialise(roots, "roots")
-    rows = all_rows.select("doc_id", "n_shingles", "class").join(roots, "class", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    labelled = classes.join(labels, "node", "left").select("class", "doc_id", F.coalesce("component", "node").alias("component"))
+    labelled = materialise(labelled, "labelled")
+    least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    roots = materialise(labelled.join(least, "component").select("class", "component_id"), "roots")
+    rows = all_rows.select("doc_id", "tag", "n_shingles", "class").join(roots, "class", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "tag")
 
 
 def keep_one(docs: DataFrame, *, percent: int = 85, size: int = 5) -> DataFrame:
-    """The rows of ``docs`` that are their component's least id; null ids stay, and of rows that repeat an id all stay or go."""
-    found = near_duplicates(docs, percent=percent, size=size).where("NOT kept").select("doc_id").distinct()
-    return docs.join(materialise(found, "dropped"), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """The rows of ``docs`` that are their component's least id; others go.
+
+    Of rows that repeat an id, those with a kept text stay, whatever their number; rows without id stay only in components
+    without any id. Columns may have any names, and an empty table gives no rows.
+    """
+    found = classified(docs, percent, size).where("NOT kept").select(F.col("doc_id").alias("id"), "tag").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tag"))
+    gone = materialise(found, "dropped").alias("g")
+    return rows.alias("r").join(gone, F.col("r.id").eqNullSafe(F.col("g.id")) & (F.col("r.tag") == F.col("g.tag")), "left_anti").select("row.*")
 
 
 #: DuckDB: CTEs that end in ``classed`` (doc_id, n_shingles, component_id, kept). ``{docs}`` is a relation with unique ids.

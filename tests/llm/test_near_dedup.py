@@ -67,8 +67,35 @@ def test_edges(documents):
     got = [(r["doc_id"], r["component_id"], r["kept"]) for r in nd.near_duplicates(documents(rows, extra="band")).collect()]
     assert got.count((3, 2, False)) == 2 and (2, 2, True) in got and (1, 1, True) in got and len(got) == 5
     assert nd.near_duplicates(documents([])).count() == 0
-    kept = nd.keep_one(documents(rows))
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "None"]
+    kept = nd.keep_one(documents(rows, extra="tag"))
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "None"] and kept.columns[-1] == "tag"
+
+
+def test_ids_that_are_null_large_or_repeated(documents):
+    """An id on two texts keeps the links of both; null ids belong to their component; ids don't go through floats."""
+    big = 2**53 + 1
+    one, two = (" ".join(f"{c}{i}" for i in range(80)) for c in "xy")
+    rows = [(7, one), (7, two), (big, one + " end"), (big + 2, two + " end"), (None, one), (None, "all alone here"), (None, "all alone here"), (8, "other words")]
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in nd.near_duplicates(documents(rows)).collect()), key=repr)
+    want = [(7, 7, True), (7, 7, True), (big, 7, False), (big + 2, 7, False), (None, 7, False), (None, None, True), (None, None, True), (8, 8, True)]
+    assert got == sorted(want, key=repr)
+    stay = sorted(((r["doc_id"], r["text"]) for r in nd.keep_one(documents(rows)).collect()), key=repr)
+    assert stay == sorted([(7, one), (7, two), (None, "all alone here"), (None, "all alone here"), (8, "other words")], key=repr)
+    split = nd.near_duplicates(documents([(5, one), (5, "quite other words"), (3, "quite other words"), (6, one)])).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in split} == {(5, 5, True), (5, 3, False), (3, 3, True), (6, 5, False)}
+
+
+def test_small_blocks_lose_no_link(documents, monkeypatch):
+    """Blocks of four rows, or of few bytes: the components of many chained texts in common buckets are those of brute force."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    docs = [(k, " ".join(words[: 200 + 7 * (k % 25)] + [f"z{k}"] * (k % 3))) for k in range(75)]
+    rng.shuffle(docs)
+    want = {d: c for d, (_, c) in brute(docs).items()}
+    for rows, size in ((4, 1 << 30), (512, 4000)):
+        monkeypatch.setattr(nd, "BLOCK", rows)
+        monkeypatch.setattr(nd, "BLOCK_BYTES", size)
+        assert {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(documents(docs)).collect()} == want
 
 
 def test_cross_pairs_join_what_stars_miss(documents, spark):
