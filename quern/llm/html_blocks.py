@@ -7,6 +7,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -16,13 +17,16 @@ from pyspark.sql import functions as F
 
 _SPACES = re.compile(r"\s+")
 _TOKENS = re.compile(r"[a-z]+")
-#: Elements that start and end a block, that hold no text of the page, and that have no end tag.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-SILENT = frozenset("script style noscript template title textarea select option button iframe object svg math canvas audio video".split())
+#: A decimal character reference beyond all code points.
+_TOO_LARGE = re.compile(r"&#0*[1-9]\d{7,};?")
+#: Elements that start and end a block, and that have no end tag.
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose content is no text of the page: code, controls, and what stands in for media. Of those without an end tag the content stays.
+SILENT = frozenset("script style noscript template title textarea select option button iframe svg canvas audio video".split())
 #: Start tags that end an open paragraph, list item or cell of the same kind.
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_SCOPES = frozenset("ul ol dl table div article section body td th main aside nav header footer form blockquote".split())
+_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+_SCOPES = frozenset("ul ol dl table div article section body td th main aside nav header footer form blockquote button select object svg".split())
 
 
 @dataclass
@@ -32,27 +36,46 @@ class Block:
     linked: float  # share of characters inside links
 
 
+@dataclass
+class Silence:
+    """An open element of SILENT: its content goes once its end tag comes."""
+
+    around: Silence | None
+    ended: bool = False
+
+    def holds(self) -> bool:
+        return self.ended or self.around is not None and self.around.holds()
+
+
 class _Leaves(HTMLParser):
     """Splits a page into leaf blocks: runs of text that no block element's start or end interrupts."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str]] = []
-        self.blocks: list[Block] = []
-        self.parts: list[str] = []
+        self.open: list[tuple[str, str, Silence | None]] = []
+        self.runs: list[tuple[list[tuple[str, Silence | None, bool]], list[str]]] = []
+        self.parts: list[tuple[str, Silence | None, bool]] = []
         self.path: list[str] = []
-        self.silent = self.links = self.linked = 0
+        self.begun = self.links = 0
+        self.silence: Silence | None = None
 
     def flush(self) -> None:
-        text = _SPACES.sub(" ", "".join(self.parts)).strip()
-        if text:
-            self.blocks.append(Block(text, self.path, min(1.0, self.linked / len(text))))
-        self.parts, self.linked = [], 0
+        if self.begun:
+            self.runs.append((self.parts, self.path))
+        self.parts, self.begun = [], 0
+
+    def blocks(self) -> Iterator[Block]:
+        for parts, path in self.runs:
+            stay = [(data, linked) for data, silence, linked in parts if silence is None or not silence.holds()]
+            text = _SPACES.sub(" ", "".join(data for data, _ in stay)).strip()
+            if text:
+                yield Block(text, path, min(1.0, sum(len(data.strip()) for data, linked in stay if linked) / len(text)))
 
     def pop(self, at: int) -> None:
-        for tag, _ in self.open[at:]:
-            self.silent -= tag in SILENT
+        for tag, _, silence in reversed(self.open[at:]):
             self.links -= tag == "a"
+            if silence is not None:
+                self.silence = silence.around
         del self.open[at:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -66,13 +89,15 @@ class _Leaves(HTMLParser):
                 if self.open[at][0] in _SCOPES:
                     break
         elif tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", self.silence, False))
         if tag in VOID:
             return
         named = " ".join(v.lower() for k, v in attrs if k in ("class", "id", "role", "aria-label", "itemprop") and v)
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower() for k, v in attrs)
-        self.open.append((tag, " ".join([tag, *(["hidden"] if hidden else []), *_TOKENS.findall(named)])))
-        self.silent += tag in SILENT
+        silence = None
+        if tag in SILENT:
+            silence = self.silence = Silence(self.silence)
+        self.open.append((tag, " ".join([tag, *(["hidden"] if hidden else []), *_TOKENS.findall(named)]), silence))
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -85,6 +110,8 @@ class _Leaves(HTMLParser):
             self.flush()
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
+                if self.open[at][2] is not None:
+                    self.open[at][2].ended = True
                 self.pop(at)
                 break
 
@@ -96,24 +123,26 @@ class _Leaves(HTMLParser):
             return self.parse_bogus_comment(i)
 
     def handle_data(self, data: str) -> None:
-        if self.silent > 0:
-            return
-        if not self.parts or not "".join(self.parts).strip():
-            self.path = [x for _, x in self.open]
-        self.parts.append(data)
-        self.linked += len(data.strip()) * (self.links > 0)
+        # A block's path is that of its first text, of its first outside of silent elements if there is any.
+        state = 1 if self.silence is not None else 2
+        if self.begun < state and not data.isspace():
+            self.path, self.begun = [x for _, x, _ in self.open], state
+        self.parts.append((data, self.silence, self.links > 0))
 
 
 def leaf_blocks(html: str | None) -> list[Block]:
-    """The page's text blocks in order; white space runs inside a block are one space. Never raises."""
+    """The page's text blocks in order, to its end; white space runs inside a block are one space.
+
+    The content of a SILENT element goes if its end tag stands before that of an element around it; where it is missing, the
+    content stays, but for ``script`` and ``style``, which last until their end tag or the page's. Fallback text inside ``object`` and formulas are text.
+    """
     leaves = _Leaves()
-    try:
-        leaves.feed(html or "")
-        leaves.close()
-    except (AssertionError, ValueError):  # malformed declarations: keep what was read
-        pass
+    leaves.feed(_TOO_LARGE.sub("\ufffd", html or ""))
+    leaves.close()
+    if leaves.open and leaves.open[-1][0] in ("script", "style"):
+        leaves.open[-1][2].ended = True
     leaves.flush()
-    return leaves.blocks
+    return list(leaves.blocks())
 
 
 #: Names of elements, classes and ids that teach the labeller; the label of a training block is that of the
@@ -126,29 +155,39 @@ OTHER_NAMES = frozenset(
 PATH_DIM, WORD_DIM, PLAIN_DIM = 96, 32, 10
 
 
+@lru_cache(1 << 18)
 def _bucket(token: str, dim: int) -> int:
-    return zlib.crc32(token.encode()) % dim
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % dim
+
 
+@lru_cache(1 << 16)
+def _named_places(element: str) -> tuple[tuple[int, bool], ...]:
+    """Places of an element's names: one each for names that are known from training, buckets for the rest."""
+    return tuple((_NAMED[t], True) if t in _NAMED else (len(_NAMED) + _bucket(t, PATH_DIM - len(_NAMED)), False) for t in element.split())
 
-def block_vectors(blocks: list[Block]) -> np.ndarray:
-    """Tag-path, hashed-word and plain features of each block of a page."""
+
+def block_vectors(blocks: list[Block], first: int = 0, among: int | None = None) -> np.ndarray:
+    """Tag-path, hashed-word and plain features of blocks, which are those from ``first`` on of the ``among`` blocks of a page. All of a block's text counts."""
+    among = len(blocks) if among is None else among
     out = np.zeros((len(blocks), PATH_DIM + WORD_DIM + PLAIN_DIM), np.float32)
+    rows, places, values, plain = [], [], [], []
     for i, b in enumerate(blocks):
         for depth, element in enumerate(reversed(b.path)):
-            for token in element.split():
-                # One place each for names that are known from training, buckets for the rest.
-                out[i, _NAMED.get(token, len(_NAMED) + _bucket(token, PATH_DIM - len(_NAMED)))] = 1.0 if token in _NAMED else 0.3 / (1 + depth)
+            for place, known in _named_places(element):
+                rows.append(i)
+                places.append(place)
+                values.append(1.0 if known else 0.3 / (1 + depth))
         words = b.text.lower().split()
-        for w in words[:64] + words[-64:] if len(words) > 128 else words:
-            out[i, PATH_DIM + _bucket(w, WORD_DIM)] += 1
-        own = out[i, PATH_DIM : PATH_DIM + WORD_DIM]
-        own /= max(1.0, float(np.linalg.norm(own)))
-        n = len(b.text)
-        at = (i + 0.5) / len(blocks)
-        out[i, PATH_DIM + WORD_DIM :] = (
-            min(np.log1p(len(words)) / 5, 2), b.linked, at, (at - 0.5) ** 2 * 4, b.text[-1] in ".!?…。", sum(b.text.count(c) for c in ",;.") / (n + 1) * 10,
-            sum(c.isupper() for c in b.text[:200]) / min(n, 200), len(words) <= 3, any(c in b.text for c in "©|·»"), len(b.path) / 10,
+        counts = np.bincount([_bucket(w, WORD_DIM) for w in words], minlength=WORD_DIM)
+        out[i, PATH_DIM : PATH_DIM + WORD_DIM] = counts / max(1.0, float(np.sqrt(counts @ counts)))
+        n, at = len(b.text), (first + i + 0.5) / among
+        plain.append(
+            (min(np.log1p(len(words)) / 5, 2), b.linked, at, (at - 0.5) ** 2 * 4, b.text[-1] in ".!?…。", sum(b.text.count(c) for c in ",;.") / (n + 1) * 10,
+             sum(map(str.isupper, b.text)) / n, len(words) <= 3, any(c in b.text for c in "©|·»"), len(b.path) / 10)
         )
+    if blocks:
+        out[rows, places] = values
+        out[:, PATH_DIM + WORD_DIM :] = plain
     return out
 
 
@@ -203,9 +242,30 @@ class BlockLabeller:
             out[t] = state
         return out, tape
 
-    def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self.run(x, mask, "f")[0], self.run(x, mask, "b")[0]], axis=2)
-        return _sigmoid(both @ self.weights["o"] + self.weights["d"])
+    def probabilities(self, pages: list[list[Block]], span: int = 8192) -> list[np.ndarray]:
+        """Of each page's blocks to be main text. Features of ``span`` steps at a time, so a page of any length needs little beside its blocks."""
+        h, w = self.hidden, {k: v.astype(np.float32) for k, v in self.weights.items()}
+        lengths = np.array([len(p) for p in pages])
+        steps = int(lengths.max())
+        odds = np.full((steps, len(pages)), w["d"][0], np.float32)
+        whole = [block_vectors(p) for p in pages] if steps <= span else None
+        for way, part in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
+            state = cell = np.zeros((len(pages), h), np.float32)
+            starts = range(0, steps, span)
+            for lo in starts if way == "f" else reversed(starts):
+                hi = min(lo + span, steps)
+                x = np.zeros((hi - lo, len(pages), 4 * h), np.float32)
+                for k, page in enumerate(pages):
+                    own = whole[k] if whole else block_vectors(page[lo:hi], lo, len(page))
+                    x[: len(own), k] = own @ w[f"x{way}"] + w[f"c{way}"]
+                for t in range(hi - lo) if way == "f" else range(hi - lo - 1, -1, -1):
+                    z = x[t] + state @ w[f"h{way}"]
+                    gates, fresh = _sigmoid(z[:, : 3 * h]), np.tanh(z[:, 3 * h :])
+                    there = (lo + t < lengths)[:, None]
+                    new = gates[:, h : 2 * h] * cell + gates[:, :h] * fresh
+                    state, cell = np.where(there, gates[:, 2 * h :] * np.tanh(new), state), np.where(there, new, cell)
+                    odds[lo + t] += state @ w["o"][part]
+        return [_sigmoid(odds[:n, k]) for k, n in enumerate(lengths)]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy over real blocks, back through time."""
@@ -324,31 +384,32 @@ def fit(pages: list[str | None], *, rounds: int = 10, seed: int = 17) -> BlockLa
 
 
 def label_pages(model: BlockLabeller | None, pages: list[list[Block]], threshold: float = 0.5) -> list[np.ndarray]:
-    """A truth value for each block. Pages of like length run together; without a model, long unlinked blocks are main."""
-    out = [np.zeros(0, bool) for _ in pages]
-    order = sorted((k for k, p in enumerate(pages) if p), key=lambda k: len(pages[k]))
-    if model is None:
-        for k in order:
-            out[k] = np.array([b.linked < 0.5 and len(b.text.split()) >= 10 for b in pages[k]])
-        return out
+    """A truth value for each block. Pages of like length run together; without a model (no page taught any) every block is main, so nothing is lost."""
+    out = [np.ones(len(p), bool) for p in pages]
+    order = sorted((k for k, p in enumerate(pages) if p), key=lambda k: len(pages[k])) if model is not None else []
     at = 0
     while at < len(order):
         upto = at + 1
         while upto < len(order) and upto - at < 256 and len(pages[order[upto]]) * (upto - at + 1) <= 20_000:
             upto += 1
         group = order[at:upto]
-        p = model.probabilities(*_padded([block_vectors(pages[k]) for k in group]))
-        for j, k in enumerate(group):
-            out[k] = p[: len(pages[k]), j] >= threshold
+        for k, p in zip(group, model.probabilities([pages[k] for k in group]), strict=True):
+            out[k] = p >= threshold
         at = upto
     return out
 
 
 def train(pages: DataFrame, *, max_pages: int = 200, seed: int = 17) -> BlockLabeller | None:
-    """Fit on at most ``max_pages`` pages, the least by a seeded hash of the id, in one task; only the weights come to the driver."""
+    """Fit on at most ``max_pages`` pages, the least by a seeded hash of the id, in one task; only the weights come to the driver.
+
+    Null pages and ids teach nothing. None if no page of the sample has a telling name.
+    """
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("page_id").cast("string")).cast("binary"))
-    picked = pages.select("page_id", draw.alias("draw")).orderBy("draw", "page_id").limit(max_pages).select("page_id").distinct()
-    sample = pages.select("page_id", "html").join(F.broadcast(picked), "page_id")  # max_pages ids bound this side
+    known = pages.where(F.col("html").isNotNull() & F.col("page_id").isNotNull())
+    picked = known.select("page_id", draw.alias("draw")).orderBy("draw", "page_id").limit(max_pages).distinct()
+    # max_pages ids bound this side; the rows that they find are cut to max_pages again, since ids may repeat.
+    sample = known.select("page_id", "html").join(F.broadcast(picked), "page_id")
+    sample = sample.orderBy("draw", "page_id", F.xxhash64("html")).limit(max_pages).select("page_id", "html")
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([*batches, pd.DataFrame({"page_id": [], "html": []})]).sort_values(["page_id", "html"], kind="stable")
@@ -362,7 +423,8 @@ def extract_main_text(pages: DataFrame, model: BlockLabeller | None) -> DataFram
     """All columns of ``pages`` with ``text`` and ``n_chars``, replacing columns of those names.
 
     ``text`` joins the blocks that the model labels as main, in page order, by new lines; null, empty and
-    contentless pages give an empty string. Whole pages are read whatever their length. One pass, no shuffle.
+    contentless pages give an empty string. Whole pages are read whatever their length and faults, and whole blocks judged. A text follows
+    from the page alone, so repeated rows and rows of null id have equal ones. One pass, no shuffle; an empty table gives no rows.
     """
     held = pages.sparkSession.sparkContext.broadcast(model)
 

@@ -101,3 +101,59 @@ def test_unknown_marked_sections_do_not_end_a_page():
     for odd in ("<![foo]>", "<![if !IE]>", "<![ ]>", "<![foo[x]]>"):
         assert [b.text for b in leaf_blocks(f"<p>one</p>{odd}<p>two</p><p>three</p>")][-2:] == ["two", "three"], odd
     assert leaf_blocks("<p>one</p><![foo")[0].text == "one"
+
+
+def texts(html):
+    return [b.text for b in leaf_blocks(html)]
+
+
+def test_nothing_but_silent_elements_is_dropped():
+    assert texts("<p>Let <math>x</math> be <object>what</object> it is</p>") == ["Let x be what it is"]
+    assert texts("<p>a <button>no</button> b <svg><text>no</text></svg> c <select><option>no<option>no</select> d</p>") == ["a b c d"]
+    assert texts("<article><p>one <button>two<p>three</p><p>four</p></article><p>five</p>") == ["one two", "three", "four", "five"]
+    assert texts("<div><select><option>x</div><p>y</p>") == ["x", "y"] and texts("<p>a<svg>b</p><p>c</p>") == ["ab", "c"]
+    assert texts("<p>a <button>b<div>c</div>d</button> e</p>") == ["a", "e"]
+    assert texts("<noscript>no</noscript><p>a</p><script>b<p>c</p>") == ["a"]
+    assert texts("&#" + "9" * 5000 + ";<p>b &#233; &amp;</p>") == ["\ufffd", "b é &"]
+
+
+def test_any_bytes_are_read_to_their_end():
+    rng = random.Random(5)
+    bits = ["<", ">", "</", "<!", "<![", "]]>", "<!--", "-->", "<p", "<p>", "</p>", "<button>", "</button>", "<svg>", "</svg>", "<a href='", "'", '"', "&", "&#", "&#x", ";", "text", " ", "<?", "<!doctype ", "/", "=", "\x00", "[", "é", "<title>", "</div>", "<li>"]
+    for _ in range(3000):
+        odd = "".join(rng.choice(bits) for _ in range(rng.randint(1, 40)))
+        leaf_blocks(odd)
+        assert texts(f"<p>first</p>{odd if '<' not in odd and '&' not in odd else ''}<p>last</p>")[-1] == "last"
+
+
+def test_long_pages(spark):
+    """Blocks of any number and length: time and memory in proportion, the same labels for pages read in spans and at once."""
+    page = "<article>" + "".join(f"<p>Sentence {k} of a long story, which goes on and on.</p>" for k in range(3000)) + "<p>" + "<b>x</b> " * 20000 + "</p></article>"
+    blocks = leaf_blocks(page)
+    assert len(blocks) == 3001 and len(blocks[-1].text) == 39999
+    model = fit([PAGE.format(tag="article", end="article", n=n) for n in range(30)], rounds=3)
+    once, spans = model.probabilities([blocks, blocks[:100]]), model.probabilities([blocks, blocks[:100]], span=64)
+    assert all(abs(a - b).max() < 1e-5 for a, b in zip(once, spans, strict=True))
+
+
+def test_spans_equal_the_training_network():
+    """Inference is the network that training steps through, by its plain recurrence."""
+    import numpy as np
+
+    from quern.llm import html_blocks as hb
+
+    pages = [leaf_blocks(PAGE.format(tag="article", end="article", n=n)) for n in range(12)]
+    model = fit([PAGE.format(tag="article", end="article", n=n) for n in range(30)], rounds=3)
+    x, mask = hb._padded([hb.block_vectors(p) for p in pages])
+    both = np.concatenate([model.run(x, mask, "f")[0], model.run(x, mask, "b")[0]], axis=2)
+    want = 1 / (1 + np.exp(-(both @ model.weights["o"] + model.weights["d"])))
+    for k, p in enumerate(model.probabilities(pages)):
+        assert abs(p - want[: len(p), k]).max() < 1e-4
+
+
+def test_pages_without_telling_names_lose_nothing(spark):
+    rows = [(1, "u", "<div>short</div><div>other words here</div>"), (2, "u", None), (None, "u", "<div>short</div>"), (None, "u", "<div>short</div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(r["text"] for r in extract_main_text(df, train(df)).collect()) == ["", "short", "short", "short\nother words here"]
+    none = df.where("false")
+    assert extract_main_text(none, train(none)).count() == 0
