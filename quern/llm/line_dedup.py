@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, without
 
 
 def _lines(text: Column) -> Column:
@@ -132,14 +132,13 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
     or ``n_removed`` are replaced. An empty table gives no rows.
     """
     gone = materialise(later_runs(docs, key=key, text=text, min_words=min_words), "gone")
-    rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in rest]).withColumn("__tag", F.xxhash64(F.col(text)))
-    joined = rows.alias("d").join(gone.alias("g").hint("merge"), F.col(f"d.{key}").eqNullSafe(F.col("g.id")) & (F.col("__tag") == F.col("g.tag")), "left")
-    joined = joined.select(*[F.col(f"d.`{c}`").alias(c) for c in rest], "gone", F.split(F.col(f"d.{text}"), "\n").alias("__split"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), "gone")
-    kept = F.array_join(F.transform(stay, lambda i: F.element_at("__split", i + 1)), "\n")
-    columns = [F.when(F.col("gone").isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`") for c in rest]
-    return joined.select(*columns, F.when(F.col("__split").isNull(), 0).otherwise(F.size("__split")).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    rest = without(docs, "n_lines", "n_removed")
+    rows = rest.select(F.struct("*").alias("row"), F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("tag")).alias("d")
+    rows = rows.join(gone.alias("g").hint("merge"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.tag") == F.col("g.tag")), "left").select("row", "gone", F.split(F.col(f"row.`{text}`"), "\n").alias("split"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), "gone")
+    kept = F.array_join(F.transform(stay, lambda i: F.element_at("split", i + 1)), "\n")
+    columns = [F.when(F.col("gone").isNull(), F.col(f"row.`{c}`")).otherwise(kept).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in rest.columns]
+    return rows.select(*columns, F.when(F.col("split").isNull(), 0).otherwise(F.size("split")).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 #: DuckDB: CTEs that end in ``deduped`` (doc_id, text, n_lines, n_removed). ``{docs}`` is a relation with unique ids.

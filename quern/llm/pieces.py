@@ -21,7 +21,11 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 class PieceModel:
-    """The pieces of a model file: what encoding and decoding need, small enough to broadcast (its vocabulary)."""
+    """The pieces of a model file: what encoding and decoding need, small enough to broadcast (its vocabulary).
+
+    Models whose pieces reach from one word into the next, and byte-pair models that join spaces before words, are refused
+    with a ValueError: words couldn't be encoded on their own.
+    """
 
     def __init__(self, data: bytes) -> None:
         import sentencepiece
@@ -73,9 +77,12 @@ class SharedPrefixViterbi:
 
     A node of the trie is a prefix, and its forward state is the best segmentation of that prefix: the last piece
     and where it starts. The next word keeps the states of the prefix it shares with the last one and adds the rest.
-    For a unigram model the best is the largest sum of scores. For a byte-pair model it is the segmentation that
-    merging makes: the one whose neighbouring pieces all stay apart when merged alone, of which each prefix has
-    exactly one, so its last piece follows from the states before it.
+    For a unigram model the best is the largest sum of scores, the forward score of the Viterbi. Byte-pair models have no
+    such sums: their scores are ranks of merges, and the best sum isn't what merging gives. For them the method is
+    adapted: a state is the segmentation that merging makes, the one whose neighbouring pieces all stay apart when merged alone, of which
+    each prefix has exactly one, so its last piece follows from the states before it, and no forward score is kept.
+    The trie, its order and the reuse of states along common prefixes are the same. A prefix without any such segmentation raises an AssertionError;
+    models that merging made have one for each.
     """
 
     def __init__(self, model: PieceModel, most: int = 200_000) -> None:
@@ -142,8 +149,9 @@ class SharedPrefixViterbi:
                 piece = word[i - n : i]
                 if n > 1 and piece not in ids:
                     continue
-                s = total[i - n] + (self.model.scores[ids[piece]] if piece in ids else self.model.lowest)
-                if best is None or s > score:
+                # Sums in single precision, and of equal ones the longest last piece.
+                s = float(np.float32(total[i - n] + (self.model.scores[ids[piece]] if piece in ids else self.model.lowest)))
+                if best is None or s >= score:
                     best, score = piece, s
         if best is None:
             raise AssertionError(f"no segmentation ends {word[:i]!r}")
@@ -241,8 +249,11 @@ def _encoder(data: bytes) -> SharedPrefixViterbi:
 
 
 def read_model(df: DataFrame, path: str) -> bytes:
-    """The model file, by Spark's reader."""
-    return bytes(df.sparkSession.read.format("binaryFile").load(path if "://" in path else f"file://{path}").select("content").first()[0])
+    """The model file: read on the driver, the only one that needs it, or by Spark if the path names a file system."""
+    if "://" in path:
+        return bytes(df.sparkSession.read.format("binaryFile").load(path).select("content").first()[0])
+    with open(path, "rb") as f:
+        return f.read()
 
 
 #: Rows that are encoded and given on together.
@@ -259,7 +270,8 @@ def _id_lists(texts: list[str | None], found: list[np.ndarray]) -> pa.ListArray:
 def encode_pieces(docs: DataFrame, *, model_path: str = DEFAULT_MODEL, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns of ``docs`` (those in ``keep``, if given) with ``ids`` array<int>, replacing a column of that name.
 
-    The ids equal the model's own. Empty texts have none; null texts have null. One pass without a shuffle: slices of each
+    The ids equal the model's own. Empty texts have none; null texts have null; equal texts have equal ids, whatever their row or id.
+    Columns of any names may be kept; an empty table gives no rows. One pass without a shuffle: slices of each
     Arrow batch encode their distinct marked words once and are given on, so memory does not grow with a batch's ids.
     """
     held = docs.sparkSession.sparkContext.broadcast(read_model(docs, model_path))
@@ -293,9 +305,12 @@ def decode_pieces(coded: DataFrame, *, model_path: str = DEFAULT_MODEL, ids: str
 
 
 def round_trip(docs: DataFrame, *, model_path: str = DEFAULT_MODEL) -> DataFrame:
-    """Per document: its ids, how many, and whether decoding them gives the text back (null texts: null ids, true)."""
+    """Per row of ``docs`` (doc_id, text): its ids, how many, and whether decoding them gives the text back (null texts: null ids, true).
+
+    doc_id stays as it is; repeated rows and null ids give a row each, and other columns are left out.
+    """
     held = docs.sparkSession.sparkContext.broadcast(read_model(docs, model_path))
-    schema = "doc_id long, n_tokens long, round_trip boolean, ids array<int>"
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_tokens long, round_trip boolean, ids array<int>").fields])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held.value)
@@ -308,4 +323,4 @@ def round_trip(docs: DataFrame, *, model_path: str = DEFAULT_MODEL) -> DataFrame
                 counts = pa.array(np.array([len(x) for x in found], np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(same, pa.bool_()), _id_lists(texts, found)], names=["doc_id", "n_tokens", "round_trip", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, schema)
+    return docs.select("doc_id", "text").mapInArrow(rows, schema)

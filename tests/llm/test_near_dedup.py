@@ -18,7 +18,7 @@ def shingles(text):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
-def brute(docs):
+def brute(docs, percent=85):
     sets = {d: shingles(t) for d, t in docs}
     root = {d: d for d in sets}
 
@@ -31,7 +31,7 @@ def brute(docs):
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
     return {d: (len(sets[d]), find(d)) for d in ids}
