@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import graph_tokens
@@ -85,36 +85,46 @@ def metrics(concepts: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+#: Rounds of a rank iteration between two written tables.
+STRIDE = 5
+
+
 def pagerank(vertices: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, *, alpha: float = 0.85, most_rounds: int = 100, tolerance: float = 1e-6, rounds: int | None = None) -> DataFrame:
     """(id, rank) by power iteration on the undirected graph.
 
     ``seeds`` (id, weight) personalise the restart and take the dangling mass; negative weights count as 0, unknown ids
-    are dropped, and without any valid seed the restart is uniform. Stops when the change is below nodes * tolerance, or after
-    ``rounds``. Each round is a join on the neighbour and a sum, with one action; ranks are rescaled to 1 at the end.
+    are dropped, and without any valid seed the restart is uniform. Stops once ``STRIDE`` rounds change the ranks by less than
+    nodes * tolerance, or after ``rounds``. A round is a join of the links with the ranks and a sum; nodes without links get restarts only, so
+    their mass follows from that of the round before and needs no pass. Ranks are rescaled to 1 at the end.
     """
     pairs = undirected(edges)
     degree = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
     pairs = settled(pairs.join(degree.withColumnRenamed("id", "b").withColumnRenamed("degree", "d"), "b"), "links")
-    n = vertices.count()
     start = vertices.select("id").join(degree, "id", "left")
     if seeds is not None:
         valid = seeds.join(vertices.select("id"), "id", "left_semi").groupBy("id").agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("weight"))
         total = valid.agg(F.sum("weight")).first()[0]
         seeds = valid if total else None
+    n = vertices.count()
     if seeds is not None:
         start = start.join(seeds, "id", "left").withColumn("p", F.coalesce("weight", F.lit(0.0)) / total)
     else:
         start = start.withColumn("p", F.lit(1.0 / max(n, 1)))
-    ranks = settled(start.select("id", "degree", "p", F.lit(1.0 / max(n, 1)).alias("rank")), "ranks")
-    dangling = ranks.where("degree IS NULL").agg(F.sum("rank")).first()[0] or 0.0
-    for k in range(rounds or most_rounds):
-        inflow = pairs.join(ranks.select(F.col("id").alias("b"), "rank"), "b").groupBy(F.col("a").alias("id")).agg(F.sum(F.col("rank") / F.col("d")).alias("inflow"))
-        new = ranks.join(inflow, "id", "left").select("id", "degree", "p", F.col("rank").alias("old"), (F.coalesce("inflow", F.lit(0.0)) * alpha + F.col("p") * (1 - alpha + alpha * dangling)).alias("rank"))
-        new = settled(new, "ranks")
-        ranks = new.drop("old")
-        change, dangling = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("rank"))), F.lit(0.0))).first()
-        if rounds is None and (change is None or change < n * tolerance):
-            break
+    base = settled(start.select("id", "degree", "p"), "rank-base")
+    alone, restart = base.where("degree IS NULL").agg(F.count("*"), F.coalesce(F.sum("p"), F.lit(0.0))).first()
+    ranks, dangling, done = base.select("id", F.lit(1.0 / max(n, 1)).alias("rank")), alone / max(n, 1), 0
+    while done < (rounds or most_rounds):
+        before = ranks
+        for _ in range(min(STRIDE, (rounds or most_rounds) - done)):
+            inflow = pairs.join(ranks.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum(F.col("rank") / F.col("d")).alias("inflow"))
+            kept = 1 - alpha + alpha * dangling
+            ranks = base.select("id", "p").join(inflow, "id", "left").select("id", (F.coalesce("inflow", F.lit(0.0)) * alpha + F.col("p") * kept).alias("rank"))
+            dangling, done = restart * kept, done + 1
+        ranks = settled(ranks, "ranks")
+        if rounds is None:
+            change = ranks.join(before.withColumnRenamed("rank", "old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            if change is None or change < n * tolerance:
+                break
     whole = ranks.agg(F.sum("rank").alias("whole"))
     return ranks.join(F.broadcast(whole)).select("id", (F.col("rank") / F.col("whole")).alias("rank"))  # one row
 
@@ -126,18 +136,19 @@ def hubs(concepts: DataFrame, edges: DataFrame, top_k: int, **kwargs: object) ->
     return shown.orderBy(F.desc("score"), "id").limit(top_k)
 
 
-def reach(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
-    """(id, distance, parent): undirected breadth-first search from ``roots`` (id); the parent is the least of the level before."""
+def reach(edges: DataFrame, roots: DataFrame, hops: int | None = None) -> DataFrame:
+    """(id, distance, parent): undirected breadth-first search from ``roots`` (id), to its end without ``hops``; the parent is the least of the level before."""
     pairs = settled(undirected(edges), "pairs")
-    seen = settled(roots.select("id", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent")), "reach")
-    front = seen
-    for level in range(1, hops + 1):
-        step = pairs.join(front.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
-        front = settled(step.join(seen, "id", "left_anti").select("id", F.lit(level).alias("distance"), "parent"), "front")
+    levels = [settled(roots.select("id", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent")).dropDuplicates(["id"]), "reach")]
+    while hops is None or len(levels) <= hops:
+        step = pairs.join(levels[-1].select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
+        for known in levels[-2:]:  # what a level leads to is at most one level back
+            step = step.join(known, "id", "left_anti")
+        front = settled(step.select("id", F.lit(len(levels)).alias("distance"), "parent"), "reach")
         if front.isEmpty():
             break
-        seen = settled(seen.unionByName(front), "reach")
-    return seen
+        levels.append(front)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def subgraph(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
@@ -147,100 +158,109 @@ def subgraph(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
     return inside.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, most: int = 50) -> list[dict] | None:
-    """The steps of a shortest undirected path in stored direction; None without one, [] from a node to itself."""
+def shortest_path(edges: DataFrame, source: str, target: str) -> list[dict] | None:
+    """The steps of a shortest undirected path in stored direction; None without one, [] from a node to itself.
+
+    The search goes on level by level until it meets the target or ends, and its front carries the path of each node, ties by the least
+    node of the level before; one join then fetches the steps.
+    """
     if source == target:
         return []
-    spark = edges.sparkSession
-    seen = reach(edges, spark.createDataFrame([(source,)], "id string"), most)
-    at, steps = target, []
-    stored = collapsed_edges(edges)
-    while at != source:
-        row = seen.where(F.col("id") == at).select("parent").first()
-        if row is None or row["parent"] is None:
+    pairs = settled(undirected(edges), "pairs")
+    levels = [settled(edges.sparkSession.createDataFrame([(source, [source])], "id string, path array<string>"), "paths")]
+    found = None
+    while found is None:
+        step = pairs.join(levels[-1].select(F.col("id").alias("a"), "path"), "a").groupBy(F.col("b").alias("id")).agg(F.min_by("path", "a").alias("path"))
+        for known in levels[-2:]:
+            step = step.join(known, "id", "left_anti")
+        front = settled(step.select("id", F.concat("path", F.array("id")).alias("path")), "paths")
+        if front.isEmpty():
             return None
-        pair = (F.col("source_id") == row["parent"]) & (F.col("target_id") == at) | (F.col("source_id") == at) & (F.col("target_id") == row["parent"])
-        steps.append(stored.where(pair).orderBy((F.col("source_id") != row["parent"]).cast("int")).first().asDict())
-        at = row["parent"]
-    return steps[::-1]
+        levels.append(front)
+        found = front.where(F.col("id") == target).first()
+    nodes = edges.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(found["path"], found["path"][1:], strict=False))], "k int, a string, b string")
+    stored = collapsed_edges(edges)
+    ways = [stored.join(nodes, (F.col("source_id") == x) & (F.col("target_id") == y)).select("k", F.lit(n).alias("back"), *stored.columns) for n, (x, y) in enumerate(((F.col("a"), F.col("b")), (F.col("b"), F.col("a"))))]
+    steps = {}
+    for row in ways[0].unionByName(ways[1]).orderBy("k", "back").collect():  # two rows for a step at most
+        steps.setdefault(row["k"], {c: row[c] for c in stored.columns})
+    return [steps[k] for k in sorted(steps)]
 
 
-def betweenness(vertices: DataFrame, edges: DataFrame, *, most_edges: int = 2_000_000) -> DataFrame:
+def betweenness(vertices: DataFrame, edges: DataFrame, *, sources: int = 4096) -> DataFrame:
     """(id, score): normalised undirected betweenness above 0.
 
-    Breadth-first searches are independent, so tasks take sources and share the adjacency, whose size is checked
-    first; a graph over ``most_edges`` is refused rather than sent to every executor.
+    The paths from a block of about ``sources`` nodes are counted level by level, a join with the links and a sum each, and
+    their shares summed back the same way. A level is a row for each source and node that it reaches, so the block's size bounds
+    the rows, and neither the links nor a search ever stand in one task.
     """
-    pairs = undirected(edges)
-    rows = pairs.limit(2 * most_edges + 1).collect()
-    if len(rows) > 2 * most_edges:
-        raise ValueError(f"betweenness holds the adjacency in each task: more than {most_edges} edges")
-    near: dict[str, list[str]] = defaultdict(list)
-    for a, b in sorted((r["a"], r["b"]) for r in rows):
-        near[a].append(b)
-    held = vertices.sparkSession.sparkContext.broadcast(dict(near))
+    pairs = settled(undirected(edges), "pairs")
     n = vertices.count()
-
-    def walks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        adjacent, total = held.value, defaultdict(float)
-        for batch in batches:
-            for s in batch["id"]:
-                if s not in adjacent:
-                    continue
-                order, before, paths, depth, queue = [], defaultdict(list), defaultdict(float, {s: 1.0}), {s: 0}, deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in adjacent[v]:
-                        if w not in depth:
-                            depth[w] = depth[v] + 1
-                            queue.append(w)
-                        if depth[w] == depth[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                share = defaultdict(float)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] += share[w]
-        yield pd.DataFrame({"id": list(total), "part": list(total.values())}, columns=["id", "part"]).astype({"id": object, "part": float})
-
-    parts = vertices.select("id").repartition(max(2, vertices.sparkSession.sparkContext.defaultParallelism)).mapInPandas(walks, "id string, part double")
-    scale = 1.0 / max((n - 1) * (n - 2), 1)
-    return parts.groupBy("id").agg(F.sum("part").alias("part")).select("id", (F.col("part") * scale).alias("score")).where((F.col("score") > 0) & F.lit(n > 2))
-
-
-def communities(vertices: DataFrame, edges: DataFrame, most_rounds: int = 10) -> DataFrame:
+    blocks = max(1, -(-n // sources))
+    ends = settled(pairs.select(F.col("a").alias("s")).distinct().withColumn("block", F.pmod(F.xxhash64("s"), F.lit(blocks))), "sources")
+    parts = []
+    for block in range(blocks):
+        levels = [settled(ends.where(F.col("block") == block).select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")), "paths")]
+        while True:
+            step = levels[-1].withColumnRenamed("v", "a").join(pairs, "a").groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
+            for known in levels[-2:]:
+                step = step.join(known.select("s", "v"), ["s", "v"], "left_anti")
+            step = settled(step, "paths")
+            if step.isEmpty():
+                break
+            levels.append(step)
+        below = None
+        for level in range(len(levels) - 1, 0, -1):
+            here = levels[level]
+            if below is None:
+                here = here.withColumn("share", F.lit(0.0))
+            else:
+                up = below.select("s", F.col("v").alias("a"), ((1 + F.col("share")) / F.col("paths")).alias("part")).join(pairs, "a").groupBy("s", F.col("b").alias("v")).agg(F.sum("part").alias("part"))
+                here = here.join(up, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share"))
+            below = settled(here, "shares")
+            parts.append(settled(below.where("share > 0").groupBy(F.col("v").alias("id")).agg(F.sum("share").alias("part")), "parts"))
+    if not parts or n < 3:
+        return vertices.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+    total = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("part").alias("part"))
+    return total.select("id", (F.col("part") / ((n - 1) * (n - 2))).alias("score"))
+
+
+def communities(vertices: DataFrame, edges: DataFrame, *, patience: int = 4) -> DataFrame:
     """(id, community): modularity communities by rounds of local moves, each round one join and two sums.
 
     Every node may move to the neighbouring community of the highest gain in modularity, the least label on ties; only
     moves to a smaller label in even and a larger one in odd rounds take effect, so that neighbours do not swap.
-    Rounds end when none moves; the labelling is a partition of all vertices.
+    Rounds end when none moves in either, or when ``patience`` rounds have brought no higher modularity than before (moves of
+    one round may undo each other); the labelling of the highest is the answer, a partition of all vertices.
     """
     pairs = settled(undirected(edges), "pairs")
     m2 = pairs.count()
     state = vertices.select("id").join(pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree")), "id", "left")
     state = settled(state.select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.col("id").alias("community")), "communities")
-    quiet = 0
-    for k in range(most_rounds if m2 else 0):
+    best, highest, since, quiet, k = state, None, 0, 0, 0
+    while m2 and quiet < 2 and since <= patience:
         sizes = state.groupBy("community").agg(F.sum("degree").alias("volume"))
-        links = pairs.join(state.select(F.col("id").alias("b"), "community"), "b").groupBy("a", "community").agg(F.count("*").alias("links"))
+        links = settled(pairs.join(state.select(F.col("id").alias("b"), "community"), "b").groupBy("a", "community").agg(F.count("*").alias("links")), "links")
         own = state.select(F.col("id").alias("a"), "degree", F.col("community").alias("home"))
+        inner = links.join(own, "a").where("community = home").agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0]
+        quality = inner / m2 - sizes.agg(F.sum((F.col("volume") / m2) ** 2)).first()[0]
+        if highest is None or quality > highest + 1e-12:
+            best, highest, since = state, quality, 0
+        else:
+            since += 1
         rows = links.join(own, "a").join(sizes, "community")
         here = F.col("community") == F.col("home")
         gain = F.col("links") - F.col("degree") * (F.col("volume") - F.when(here, F.col("degree")).otherwise(0)) / m2
-        best = rows.groupBy("a").agg(F.max(F.struct(gain.alias("gain"), here.alias("here"), F.col("community"))).alias("x"), F.max(F.when(here, gain)).alias("stay"))
+        first = F.min(F.struct((-gain).alias("loss"), (~here).alias("away"), F.col("community")))
+        chosen = rows.groupBy("a").agg(first.alias("x"), F.max(F.when(here, gain)).alias("stay"))
         # Leaving a home without neighbours in it gains its own volume term back: 0 links, and no less than 0.
         allowed = F.col("x.community") < F.col("home") if k % 2 == 0 else F.col("x.community") > F.col("home")
-        moved = own.join(best, "a", "left")
-        better = F.coalesce(F.col("x.gain") > F.coalesce("stay", F.lit(0.0)), F.lit(False)) & allowed
-        new = settled(moved.select(F.col("a").alias("id"), "degree", F.when(better, F.col("x.community")).otherwise(F.col("home")).alias("community"), better.alias("moved")), "communities")
-        state = new.drop("moved")
+        better = F.coalesce(-F.col("x.loss") > F.coalesce("stay", F.lit(0.0)), F.lit(False)) & allowed
+        new = own.join(chosen, "a", "left").select(F.col("a").alias("id"), "degree", F.when(better, F.col("x.community")).otherwise(F.col("home")).alias("community"), better.alias("moved"))
+        new = settled(new, "communities")
         quiet = quiet + 1 if new.where("moved").isEmpty() else 0
-        if quiet == 2:
-            break
-    return state.select("id", "community")
+        state, k = new.drop("moved"), k + 1
+    return best.select("id", "community")
 
 
 def numbered_communities(vertices: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -261,27 +281,82 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return totals.agg((F.sum("inner") / m2 - F.sum(F.col("volume") * F.col("volume")) / (m2 * m2)).alias("modularity"))
 
 
-def similar_pairs(nodes: DataFrame, *, least: float = 0.04, most_holders: int = 1000) -> DataFrame:
-    """(id, other, score): each node with the most similar other by token overlap, through shared tokens.
+#: Distinct token sets of a block when sets are compared.
+BLOCK = 1024
 
-    ``nodes`` has id and text. Tokens that more than ``most_holders`` nodes hold tell too little to join on and
-    cannot decide a pair alone; they still count in the similarity.
+
+def _overlaps(mine: list, theirs: list) -> np.ndarray:
+    """The Jaccard similarity of each of ``mine`` (token arrays) with each of ``theirs``."""
+    known: dict[str, list[int]] = {}
+    for j, tokens in enumerate(theirs):
+        for t in tokens:
+            known.setdefault(t, []).append(j)
+    held = {t: np.array(rows) for t, rows in known.items()}
+    sizes = np.array([len(t) for t in theirs])
+    scores = np.zeros((len(mine), len(theirs)))
+    for i, tokens in enumerate(mine):
+        shared = np.zeros(len(theirs), np.int64)
+        for t in tokens:
+            if t in held:
+                shared[held[t]] += 1
+        scores[i] = shared / np.maximum(len(tokens) + sizes - shared, 1)
+    return scores
+
+
+def similar_pairs(nodes: DataFrame, *, seeking: DataFrame | None = None, least: float = 0.04) -> DataFrame:
+    """(id, other, score): each node of ``seeking`` (all, without it) with the most similar other one by token overlap, the least id on ties.
+
+    ``nodes`` and ``seeking`` have id and text. Every distinct token set that seeks is compared with every distinct one, a block of
+    each in a task, so no token is too frequent and no pair is lost. A set stands for all its nodes by its two least ids: the second
+    is the partner of the first, the first of all others. Of a block each set gives its best one only.
     """
-    sets = settled(nodes.select("id", graph_tokens(F.col("text")).alias("tokens")), "tokens")
-    held = sets.select("id", F.explode("tokens").alias("token"))
-    rare = held.groupBy("token").agg(F.count("*").alias("n")).where(f"n > 1 AND n <= {most_holders}").select("token")
-    held = held.join(rare, "token")
-    met = held.join(held.select("token", F.col("id").alias("other")), "token").where("id != other").select("id", "other").distinct()
-    both = met.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("tokens").alias("theirs")), "other")
-    shared, union = F.size(F.array_intersect("tokens", "theirs")), F.size(F.array_union("tokens", "theirs"))
-    best = both.select("id", "other", F.round(shared / union, 6).alias("score")).where(F.col("score") >= least)
-    return best.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "other")).alias("x")).select("id", "x.other", (-F.col("x.s")).alias("score"))
+
+    def sets_of(df: DataFrame) -> DataFrame:
+        return df.select("id", F.sort_array(graph_tokens(F.col("text"))).alias("tokens"))
+
+    held = settled(sets_of(nodes), "token-sets")
+    asked = held if seeking is None else settled(sets_of(seeking), "seeking-sets")
+    first = held.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    rest = held.join(first, "tokens").where("id != first").groupBy("tokens").agg(F.min("id").alias("second"))
+    known = settled(first.join(rest, "tokens", "left"), "distinct-sets")
+    wanted = settled(asked.where(F.size("tokens") > 0).select("tokens").distinct(), "wanted-sets")
+    down, across = (max(1, -(-df.count() // BLOCK)) for df in (wanted, known))
+
+    def place(blocks: int) -> Column:
+        return F.pmod(F.xxhash64("tokens"), F.lit(blocks)).cast("int")
+
+    left = wanted.select("tokens", place(down).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("j"))
+    right = known.select("tokens", "first", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("i"), place(across).alias("j"))
+
+    def compared(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            b = b.sort_values("first", ignore_index=True)
+            ids, sets = b["first"].to_numpy(object), [tuple(t) for t in b["tokens"]]
+            place_of = {t: j for j, t in enumerate(sets)}
+            scores = np.round(_overlaps(list(a["tokens"]), sets), 6)
+            for tokens, row in zip(a["tokens"], scores, strict=True):
+                if (own := place_of.get(tuple(tokens))) is not None:
+                    row[own] = 0
+                k = int(row.argmax())  # the first of equal ones, which is the least id
+                if row[k] >= least:
+                    out.append((list(tokens), ids[k], float(row[k])))
+        return pd.DataFrame(out, columns=["tokens", "other", "score"])
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(compared, "tokens array<string>, other string, score double")
+    best = found.groupBy("tokens").agg(F.min(F.struct((-F.col("score")).alias("s"), "other")).alias("x"))
+    rows = asked.join(known, "tokens").join(best, "tokens", "left")
+    # A node of the same set, if there is one, has overlap 1.
+    twin = F.when(F.col("n") > 1, F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")))
+    twin = F.when((F.col("n") == 1) & (F.col("id") != F.col("first")), F.col("first")).otherwise(twin)
+    rows = rows.select("id", F.coalesce(twin, F.col("x.other")).alias("other"), F.when(twin.isNotNull(), F.lit(1.0)).otherwise(-F.col("x.s")).alias("score"))
+    return rows.where(F.col("score") >= least)
 
 
 def inferred_edges(nodes: DataFrame, edges: DataFrame, *, least: float = 0.04) -> DataFrame:
     """Display edges for nodes without any: each to its most similar node. Of two that choose each other one edge stays."""
     ends = edges.select(F.col("source_id").alias("id")).union(edges.select(F.col("target_id").alias("id")))
-    best = similar_pairs(nodes, least=least).join(ends, "id", "left_anti")
+    best = settled(similar_pairs(nodes, seeking=nodes.join(ends, "id", "left_anti"), least=least), "inferred")
     back = best.select(F.col("other").alias("id"), F.col("id").alias("other"), F.lit(True).alias("mutual"))
     kept = best.join(back, ["id", "other"], "left").where("mutual IS NULL OR id < other")
     return kept.select(F.col("id").alias("source_id"), F.lit("similar").alias("relation_type"), F.col("other").alias("target_id"), "score")

@@ -63,20 +63,24 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.orphans(nodes(spark, sf_dir), bulk_edges(spark, sf_dir)).select("id", "name")
 
 
-#: Labels that pass along the pairs: the least of each node's reach, by rounds of minima until a bound that the sparse graph's diameter keeps.
-_COMPONENTS = f"{_PAIRS}, reached AS (SELECT a AS id, a AS root FROM pairs UNION SELECT p.a, r.root FROM reached r JOIN pairs p ON p.b = r.id WHERE r.root < p.a), parts AS (SELECT id, min(root) AS component FROM reached GROUP BY id)"
+def _components(rounds: int = 12) -> str:
+    """Labels that pass along the pairs: the least of each node's reach, by more rounds of minima than the graph has levels."""
+    out = [f"{_PAIRS}, c0 AS MATERIALIZED (SELECT a AS id, least(a, min(b)) AS component FROM pairs GROUP BY a)"]
+    for k in range(1, rounds + 1):
+        out.append(f"c{k} AS MATERIALIZED (SELECT o.id, least(o.component, n.near) AS component FROM c{k - 1} o JOIN (SELECT p.a, min(c.component) AS near FROM pairs p JOIN c{k - 1} c ON c.id = p.b GROUP BY p.a) n ON n.a = o.id)")
+    return ", ".join(out) + f", parts AS (SELECT id, component FROM c{rounds})"
 
 
-@query(f"WITH RECURSIVE {BULK}, {_COMPONENTS} SELECT id, component FROM parts".replace("WHERE r.root < p.a", ""))
+@query(f"WITH {EDGES}, {_components()} SELECT id, component FROM parts")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(bulk_edges(spark, sf_dir))
+    return graph.components(edges(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {NODES}, {BULK}, {_COMPONENTS}, v AS (SELECT id FROM nodes UNION SELECT source_id FROM edges UNION SELECT target_id FROM edges),
+@query(f"""WITH {NODES}, {EDGES}, {_components()}, v AS (SELECT id FROM nodes UNION SELECT source_id FROM edges UNION SELECT target_id FROM edges),
 m AS (SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT source_id, target_id FROM edges)) AS edges, (SELECT count(DISTINCT component) FROM parts) + (SELECT count(*) FROM v WHERE id NOT IN (SELECT id FROM parts)) AS components)
-SELECT nodes, edges, round(edges / (nodes * (nodes - 1.0::DOUBLE)), 4) AS density, components, round(2.0::DOUBLE * edges / nodes, 2) AS average_degree FROM m""".replace("WHERE r.root < p.a", ""))
+SELECT nodes, edges, round(edges / (nodes * (nodes - 1.0::DOUBLE)), 4) AS density, components, round(2.0::DOUBLE * edges / nodes, 2) AS average_degree FROM m""")
 def graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.metrics(nodes(spark, sf_dir), bulk_edges(spark, sf_dir))
+    return graph.metrics(nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
 _ROOTS = "roots AS (SELECT id FROM nodes WHERE workspace = (SELECT min(workspace) FROM nodes))"
@@ -91,74 +95,74 @@ _REACH = f"""{_PAIRS}, r1 AS (SELECT DISTINCT b AS id FROM pairs WHERE a IN (SEL
 seen AS (SELECT id, min(distance) AS distance FROM (SELECT id, 0 AS distance FROM roots UNION ALL SELECT id, 1 FROM r1 UNION ALL SELECT id, 2 FROM r2) GROUP BY id)"""
 
 
-@query(f"WITH {NODES}, {BULK}, {_ROOTS}, {_REACH} SELECT id, distance FROM seen")
+@query(f"WITH {NODES}, {EDGES}, {_ROOTS}, {_REACH} SELECT id, distance FROM seen")
 def khop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reach(bulk_edges(spark, sf_dir), _roots(spark, sf_dir), 2).select("id", "distance")
+    return graph.reach(edges(spark, sf_dir), _roots(spark, sf_dir), 2).select("id", "distance")
 
 
-@query(f"WITH {NODES}, {BULK}, {_ROOTS}, {_REACH} SELECT source_id, target_id, arg_max(relation_type, seq) AS relation_type FROM edges WHERE source_id IN (SELECT id FROM seen) AND target_id IN (SELECT id FROM seen) GROUP BY source_id, target_id")
+@query(f"WITH {NODES}, {EDGES}, {_ROOTS}, {_REACH} SELECT source_id, target_id, arg_max(relation_type, seq) AS relation_type FROM edges WHERE source_id IN (SELECT id FROM seen) AND target_id IN (SELECT id FROM seen) GROUP BY source_id, target_id")
 def khop_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.subgraph(bulk_edges(spark, sf_dir), _roots(spark, sf_dir), 2).select("source_id", "target_id", "relation_type")
+    return graph.subgraph(edges(spark, sf_dir), _roots(spark, sf_dir), 2).select("source_id", "target_id", "relation_type")
 
 
 @query(f"""WITH RECURSIVE {EDGES}, {_PAIRS}, hub AS (SELECT a AS id FROM pairs GROUP BY a ORDER BY count(*) DESC, a LIMIT 1),
-walk AS (SELECT id, 0 AS distance FROM hub UNION SELECT p.b, w.distance + 1 FROM walk w JOIN pairs p ON p.a = w.id WHERE w.distance < 6) SELECT id, min(distance) AS distance FROM walk GROUP BY id""")
+walk AS (SELECT id, 0 AS distance FROM hub UNION SELECT p.b, w.distance + 1 FROM walk w JOIN pairs p ON p.a = w.id WHERE w.distance < 30) SELECT id, min(distance) AS distance FROM walk GROUP BY id""")
 def shortest_path_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of every node from the one of most neighbours, up to six steps."""
+    """Distance of every node from the one of most neighbours (the SQL walks 30 steps, more than the graph has levels)."""
     e = edges(spark, sf_dir)
     hub = graph.undirected(e).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(1).select("id")
-    return graph.reach(e, hub, 6).select("id", "distance")
+    return graph.reach(e, hub).select("id", "distance")
 
 
-def _rank_sql(rounds: int) -> str:
-    """PageRank unrolled, without dangling nodes' share of their own: they are none of the pairs' ends and get the restart."""
-    out = [f"{NODES}, {EDGES}, {_PAIRS}, g AS (SELECT a AS id, count(*) AS degree FROM pairs GROUP BY a), v AS (SELECT id FROM nodes UNION SELECT a FROM pairs), n AS (SELECT count(*)::DOUBLE AS n FROM v)"]
-    out.append("r0 AS (SELECT v.id, g.degree, 1.0::DOUBLE / n AS rank FROM v LEFT JOIN g ON g.id = v.id, n)")
+def _rank_sql(rounds: int, restart: str = "1.0::DOUBLE / n") -> str:
+    """PageRank unrolled: ``restart`` is the share of a node v of the n nodes, which takes the mass of nodes without neighbours as well."""
+    out = [f"{NODES}, {EDGES}, {_ROOTS}, {_PAIRS}, g AS (SELECT a AS id, count(*) AS degree FROM pairs GROUP BY a), v AS (SELECT id FROM nodes UNION SELECT a FROM pairs), n AS (SELECT count(*)::DOUBLE AS n FROM v)"]
+    out.append(f"r0 AS MATERIALIZED (SELECT v.id, g.degree, 1.0::DOUBLE / n AS rank, {restart} AS p FROM v LEFT JOIN g ON g.id = v.id, n)")
     for k in range(1, rounds + 1):
         out.append(
-            f"r{k} AS (SELECT r.id, r.degree, 0.85::DOUBLE * coalesce(i.x, 0) + (0.15::DOUBLE + 0.85::DOUBLE * s.d) / n AS rank FROM r{k - 1} r LEFT JOIN (SELECT p.a AS id, sum(q.rank / q.degree) AS x FROM pairs p JOIN r{k - 1} q ON q.id = p.b GROUP BY p.a) i ON i.id = r.id,"
-            f" n, (SELECT coalesce(sum(rank) FILTER (degree IS NULL), 0) AS d FROM r{k - 1}) s)"
+            f"r{k} AS MATERIALIZED (SELECT r.id, r.degree, 0.85::DOUBLE * coalesce(i.x, 0) + (0.15::DOUBLE + 0.85::DOUBLE * s.d) * r.p AS rank, r.p FROM r{k - 1} r LEFT JOIN (SELECT p.a AS id, sum(q.rank / q.degree) AS x FROM pairs p JOIN r{k - 1} q ON q.id = p.b GROUP BY p.a) i ON i.id = r.id,"
+            f" (SELECT coalesce(sum(rank) FILTER (degree IS NULL), 0) AS d FROM r{k - 1}) s)"
         )
     return "WITH " + ", ".join(out) + f" SELECT id, round(rank / sum(rank) OVER (), 10) AS rank FROM r{rounds}"
 
 
-@query(_rank_sql(4))
+@query(_rank_sql(20))
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, n = edges(spark, sf_dir), nodes(spark, sf_dir)
-    return graph.pagerank(graph.vertices_of(n, e), e, rounds=4).select("id", F.round("rank", 10).alias("rank"))
+    return graph.pagerank(graph.vertices_of(n, e), e, rounds=20).select("id", F.round("rank", 10).alias("rank"))
 
 
-@query()
+@query(_rank_sql(20, "CASE WHEN v.id IN (SELECT id FROM roots) THEN 1.0::DOUBLE / (SELECT count(*) FROM roots) ELSE 0 END"))
 def ppr_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personalised ranks around the nodes of the first workspace, until they settle."""
-    e, n = bulk_edges(spark, sf_dir), nodes(spark, sf_dir)
+    """Personalised ranks around the nodes of the first workspace."""
+    e, n = edges(spark, sf_dir), nodes(spark, sf_dir)
     seeds = _roots(spark, sf_dir).withColumn("weight", F.lit(1.0))
-    return graph.pagerank(graph.vertices_of(n, e), e, seeds, tolerance=1e-7).where("rank > 0").select("id", F.round("rank", 7).alias("rank"))
+    return graph.pagerank(graph.vertices_of(n, e), e, seeds, rounds=20).select("id", F.round("rank", 10).alias("rank"))
 
 
 @query()
 def pagerank_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks until they settle."""
     return graph.hubs(nodes(spark, sf_dir), edges(spark, sf_dir), 20)
 
 
 @query()
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the sparse graph of bulk orders: exact betweenness searches from every node, so a dense graph costs nodes times links."""
     e, n = bulk_edges(spark, sf_dir), nodes(spark, sf_dir)
     return graph.betweenness(graph.vertices_of(n, e), e).select("id", F.round("score", 8).alias("score"))
 
 
 @query()
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, n = bulk_edges(spark, sf_dir), nodes(spark, sf_dir)
+    e, n = edges(spark, sf_dir), nodes(spark, sf_dir)
     v = graph.vertices_of(n, e)
     return graph.numbered_communities(v, e, graph.communities(v, e))
 
 
 _TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(name || ' ' || type), '[a-z0-9]{3,}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this', 'into', 'via', 'concept', 'using', 'used', 'based', 'their', 'which', 'are', 'all', 'auto_extracted')))"
-_SETS = f"""{NODES}, {BULK}, own AS (SELECT 'p' || p_partkey AS id, p_name || ' ' || p_type AS name, p_brand || ' size' || p_size AS type FROM part), sets AS (SELECT id, {_TOKENS} AS t FROM own), held AS (SELECT id, unnest(t) AS token FROM sets),
-rare AS (SELECT token FROM held GROUP BY token HAVING count(*) BETWEEN 2 AND 1000), h AS (SELECT * FROM held WHERE token IN (SELECT token FROM rare)),
-met AS (SELECT DISTINCT a.id, b.id AS other FROM h a JOIN h b ON a.token = b.token AND a.id <> b.id),
-sim AS (SELECT m.id, m.other, round(len(list_intersect(x.t, y.t)) / len(list_distinct(x.t || y.t))::DOUBLE, 6) AS score FROM met m JOIN sets x ON x.id = m.id JOIN sets y ON y.id = m.other),
+_SETS = f"""{NODES}, {BULK}, own AS (SELECT 'p' || p_partkey AS id, p_partkey AS key, p_name || ' ' || p_type AS name, p_brand || ' size' || p_size AS type FROM part), sets AS (SELECT id, key, {_TOKENS} AS t FROM own),
+sim AS (SELECT a.id, b.id AS other, round(len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t))::DOUBLE, 6) AS score FROM seeking s JOIN sets a ON a.id = s.id JOIN sets b ON a.id <> b.id),
 best AS (SELECT id, other, score FROM sim WHERE score >= 0.04 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other) = 1)"""
 
 
@@ -167,12 +171,15 @@ def _part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand", F.concat(F.lit("size"), "p_size")).alias("text"))
 
 
-@query(f"WITH {_SETS} SELECT id, other, score FROM best")
+@query(f"WITH {_SETS.replace('sim AS', 'seeking AS (SELECT id FROM sets WHERE key % 100 = 0), sim AS')} SELECT id, other, score FROM best")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.similar_pairs(_part_texts(spark, sf_dir)).select("id", "other", "score")
+    """The most similar of all parts for every part whose key is divisible by 100."""
+    texts = _part_texts(spark, sf_dir)
+    return graph.similar_pairs(texts, seeking=texts.where(F.expr("CAST(substring(id, 2) AS bigint) % 100 = 0"))).select("id", "other", "score")
 
 
-@query(f"""WITH {_SETS}, alone AS (SELECT * FROM best WHERE id NOT IN (SELECT source_id FROM edges) AND id NOT IN (SELECT target_id FROM edges))
-SELECT a.id AS source_id, 'similar' AS relation_type, a.other AS target_id, a.score FROM alone a WHERE NOT EXISTS (SELECT 1 FROM alone b WHERE b.id = a.other AND b.other = a.id) OR a.id < a.other""")
+@query(f"""WITH {_SETS.replace('sim AS', 'seeking AS (SELECT id FROM sets WHERE id NOT IN (SELECT source_id FROM edges) AND id NOT IN (SELECT target_id FROM edges)), sim AS')}
+SELECT a.id AS source_id, 'similar' AS relation_type, a.other AS target_id, a.score FROM best a WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.id = a.other AND b.other = a.id) OR a.id < a.other""")
 def inferred_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts without any relation in bulk orders, each with the most similar of all parts."""
     return graph.inferred_edges(_part_texts(spark, sf_dir), bulk_edges(spark, sf_dir))

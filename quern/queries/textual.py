@@ -76,9 +76,9 @@ def graph_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 
-@query(rf"SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(left(text, 300), '\s+'), lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}_]', '', 'g')), lambda w: w <> ''), ' ') AS words FROM documents")
+@query(rf"SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}_]', '', 'g')), lambda w: w <> ''), ' ') AS words FROM documents")
 def sanitize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.sanitize_query(F.left("text", F.lit(300))), " ").alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.sanitize_query(F.col("text")), " ").alias("words"))
 
 
 @query(f"WITH {RAW} " + r"""SELECT id, 5 * contains(lower(title), 'the')::INT + (length(content) - length(replace(lower(content), 'the', ''))) // 3 AS match_count,
@@ -194,7 +194,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE word <> '' AND regexp_matches(text, '[^.?!;\n]*?' || word || '[^.?!;\n]*[.?!;\n]')""")
 def representative_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract("text", r"(?:^|[^\p{L}])([a-zA-Z]{6,})(?:$|[^\p{L}])", 1).alias("word")).where("word != ''")
-    found = d.where(F.regexp_like("text", F.concat(F.lit(r"[^.?!;\n]*?\Q"), "word", F.lit(r"\E[^.?!;\n]*[.?!;\n]"))))
+    found = d.where(text.sentence_with(F.col("text"), F.col("word")).isNotNull())
     return found.select("doc_id", "word", text.representative_sentence(F.col("text"), F.col("word")).alias("context"))
 
 
