@@ -1,8 +1,10 @@
-"""Semantic search over vectors: exact top-k, centroids, routing."""
+"""Semantic search over vectors: exact top-k of one query or of many, centroids, routing."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.embed import cosine, l2_normalize
@@ -42,15 +44,49 @@ def route(groups: DataFrame, query: DataFrame, k: int = 3, *, group: str = "work
     return nearest(groups, query, k, key=group)
 
 
-def neighbours(vectors: DataFrame, pivots: DataFrame, k: int, *, key: str = "concept_id", vector: str = "vector") -> DataFrame:
-    """(key, neighbour, score, rank): each vector's ``k`` nearest among those of its nearest pivot (``pivots``: pivot, vector).
+#: Vectors of a block when vectors are compared.
+BLOCK = 1024
 
-    Vectors meet only inside their pivot's cell, so the work is that of the cells, not of all pairs.
+
+def most_similar(queries: DataFrame, vectors: DataFrame, k: int, *, key: str = "id", vector: str = "vector", least: float = -1.0, same_id: bool = False) -> DataFrame:
+    """(key, other, score, rank): the ``k`` vectors of the highest cosine of ``least`` or more for each query, ties by id.
+
+    Exact: every query meets every vector, a block of each in a task, which keeps k rows a query; of those the best are taken. Pairs of the same id count only
+    with ``same_id``. Vectors of other dimensions, without length or null are similar to none.
     """
-    cells = vectors.select(key, vector).join(F.broadcast(pivots.select("pivot", F.col("vector").alias("centre")).limit(4096)))
-    cells = cells.groupBy(key).agg(F.max_by(F.struct("pivot", vector), F.struct(cosine(F.col(vector), F.col("centre")), -F.col("pivot"))).alias("x")).select(key, "x.pivot", F.col(f"x.{vector}").alias(vector))
-    other = cells.select("pivot", F.col(key).alias("neighbour"), F.col(vector).alias("v"))
-    pairs = cells.join(other, "pivot").where(F.col(key) != F.col("neighbour")).select(key, "neighbour", F.round(cosine(F.col(vector), F.col("v")), 6).alias("score"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("neighbour")))), 1, k)
-    found = pairs.groupBy(key).agg(best.alias("best")).select(key, F.posexplode("best").alias("rank", "x"))
-    return found.select(key, "x.neighbour", (-F.col("x.s")).alias("score"), (F.col("rank") + 1).alias("rank"))
+    down, across = (max(1, -(-df.count() // BLOCK)) for df in (queries, vectors))
+
+    def place(blocks: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+    left = queries.select(F.col(key).alias("q"), F.col(vector).alias("v"), place(down).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("j"))
+    right = vectors.select(F.col(key).alias("q"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("i"), place(across).alias("j"))
+
+    def unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        x = np.array(list(vectors), float)
+        length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return x / np.maximum(length, 1e-300), length[:, 0] > 0
+
+    def compared(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = (df[df["v"].notna() & df["q"].notna()].sort_values("q") for df in (a, b))
+        out: list[tuple[object, object, float]] = []
+        sizes = b["v"].map(len)
+        for size, own in a.groupby(a["v"].map(len)):
+            there = b[sizes == size]
+            if size and len(there):
+                others = there["q"].to_numpy()
+                (x, x_long), (y, y_long) = unit(own["v"]), unit(there["v"])
+                scores = np.round(x @ y.T, 6)
+                scores[~x_long] = scores[:, ~y_long] = -np.inf
+                for q, row in zip(own["q"], scores, strict=True):
+                    row = row if same_id else np.where(others == q, -np.inf, row)
+                    at = np.flatnonzero(row >= least)
+                    if len(at) > k:  # all that reach the k-th highest, ties included
+                        at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]
+                    out += [(q, others[i], float(row[i])) for i in at[np.lexsort((at, -row[at]))][:k]]
+        return pd.DataFrame(out, columns=["q", "other", "score"])
+
+    kind = queries.schema[key].dataType.simpleString()
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(compared, f"q {kind}, other {kind}, score double")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "other")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("q").alias(key), "other", "score", "rank")

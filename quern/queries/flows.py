@@ -11,18 +11,13 @@ from ..sources.readers import parse_pages
 from .model import VECTORS, concepts, table, vectors
 from .registry import query
 
-_COS = "list_cosine_similarity({a}, {b})"
-
-
-@query(f"""WITH {VECTORS}, pivots AS (SELECT min(concept_id) AS pivot, arg_min(vector, concept_id) AS centre FROM vectors GROUP BY workspace_id),
-cell AS (SELECT v.concept_id, v.vector, p.pivot FROM vectors v, pivots p QUALIFY row_number() OVER (PARTITION BY v.concept_id ORDER BY {_COS.format(a="v.vector", b="p.centre")} DESC, p.pivot) = 1),
-s AS (SELECT a.concept_id, b.concept_id AS neighbour, round({_COS.format(a="a.vector", b="b.vector")}, 6) AS score FROM cell a JOIN cell b ON a.pivot = b.pivot AND a.concept_id <> b.concept_id)
+@query(f"""WITH {VECTORS}, s AS (SELECT a.concept_id, b.concept_id AS neighbour, round(list_cosine_similarity(a.vector, b.vector), 6) AS score FROM vectors a JOIN vectors b ON a.concept_id <> b.concept_id WHERE a.concept_id % 100 = 0)
 SELECT concept_id, neighbour, score, row_number() OVER (PARTITION BY concept_id ORDER BY score DESC, neighbour)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY concept_id ORDER BY score DESC, neighbour) <= 3""")
 def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector's three nearest of its own cell, where cells are those of one pivot a label."""
+    """The three nearest of all vectors for every vector whose id is divisible by 100."""
     v = vectors(spark, sf_dir)
-    pivots = v.groupBy("workspace_id").agg(F.min("concept_id").alias("pivot"), F.min_by("vector", "concept_id").alias("vector"))
-    return vector.neighbours(v, pivots, 3).select("concept_id", "neighbour", "score", F.col("rank").cast("int").alias("rank"))
+    found = vector.most_similar(v.where("concept_id % 100 = 0"), v, 3, key="concept_id")
+    return found.select("concept_id", F.col("other").alias("neighbour"), "score", F.col("rank").cast("int").alias("rank"))
 
 
 @query(r"""WITH p AS (SELECT regexp_extract(url, '://([^/:]+)', 1) AS host, page_id, regexp_extract_all(html, '<a href="/([^"]*)">', 1) AS words FROM pages),

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, keyword
 from ..plans.engine import ALIASES, resolve_workspaces, workspace_list
+from ..schema import CONCEPT
 from ..sources import snapshots
-from .model import CONCEPTS, EDGES, NODES, RAW, concepts, edges, nodes, raw_documents, table
+from .model import CONCEPTS, EDGES, NODES, RAW, VECTORS, concepts, edges, nodes, raw_documents, table, vectors
 from .registry import query
 
 
@@ -79,11 +80,10 @@ def resolve_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c.lang AS id, c.n AS concept_count, coalesce(r.n, 0) AS raw_count FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) c
-LEFT JOIN (SELECT lang, count(*) AS n FROM documents WHERE n_chars >= 1000 GROUP BY lang) r ON r.lang = c.lang""")
+LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) r ON r.lang = c.lang""")
 def workspace_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = concepts(spark, sf_dir)
-    long = raw_documents(spark, sf_dir).where("char_count >= 1000")
-    return workspace_list(c.select(F.col("workspace").alias("id")).distinct(), c, long)
+    return workspace_list(c.select(F.col("workspace").alias("id")).distinct(), c, raw_documents(spark, sf_dir))
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -107,14 +107,15 @@ def raw_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CONCEPTS} SELECT id, workspace, 1.0::DOUBLE AS score FROM concepts WHERE contains(lower(name), 'the') OR contains(lower(summary), 'the') OR contains(lower(id), 'the')")
 def like_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = F.contains(F.lower("name"), F.lit("the")) | F.contains(F.lower("summary"), F.lit("the")) | F.contains(F.lower("id"), F.lit("the"))
-    return concepts(spark, sf_dir).where(hit).select("id", "workspace", F.lit(1.0).alias("score"))
+    return keyword.like_search(concepts(spark, sf_dir), "the").select("id", "workspace", "score")
 
 
-@query("SELECT s.doc_id, s.text_len, l.quality, l.toxic FROM (SELECT doc_id, length(text) AS text_len FROM documents) s JOIN labels l ON l.doc_id = s.doc_id")
+@query(f"""WITH {VECTORS}, named AS (SELECT p_partkey AS concept_id, p_name AS name, p_type AS type FROM part)
+SELECT v.concept_id, v.workspace_id, len(v.vector) AS dim, n.name, n.type FROM vectors v JOIN named n ON n.concept_id = v.concept_id""")
 def vector_meta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").cast("long").alias("text_len"))
-    return d.join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+    named = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"))
+    v = vectors(spark, sf_dir).select("concept_id", "workspace_id", F.size("vector").cast("long").alias("dim"))
+    return v.join(named, "concept_id")
 
 
 @query(f"WITH {NODES}, {EDGES} SELECT n.workspace, count(*) AS relations FROM edges e JOIN nodes n ON n.id = e.source_id GROUP BY n.workspace")
@@ -194,10 +195,15 @@ def merge_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT l_orderkey AS id, list(DISTINCT l_returnflag) AS have, list(DISTINCT l_linestatus) AS new FROM lineitem GROUP BY l_orderkey)
-SELECT id, len(have) AS n_have, len(list_filter(new, lambda x: NOT list_contains(have, x))) AS n_added FROM a""")
+SELECT id::VARCHAR AS id, len(have) AS n_have, len(list_distinct(have || new)) AS n_merged FROM a""")
 def append_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_returnflag").alias("have"), F.collect_set("l_linestatus").alias("new"))
-    return a.select("id", F.size("have").cast("long").alias("n_have"), F.size(F.array_except("new", "have")).cast("long").alias("n_added"))
+    """Each order's return flags as a concept's tags, its line states merged in."""
+    a = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.collect_set("l_returnflag").alias("have"), F.collect_set("l_linestatus").alias("new"))
+    blank = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in CONCEPT.fields} | {"id": F.col("id")}
+    empty = F.array().cast(CONCEPT["relations"].dataType).alias("relations")
+    base, new = (a.select(*[(blank | {"tags": F.col(c).alias("tags"), "relations": empty, "workspace": F.lit("w").alias("workspace")})[f.name] for f in CONCEPT.fields]) for c in ("have", "new"))
+    merged = snapshots.merge_concepts(base, new).select("id", F.size("tags").cast("long").alias("n_merged"))
+    return merged.join(a.select("id", F.size("have").cast("long").alias("n_have")), "id")
 
 
 @query(f"""WITH {EDGES}, changed AS (SELECT DISTINCT source_id AS id FROM edges WHERE relation_type = 'R'), kept AS (SELECT source_id, relation_type, target_id, seq FROM edges WHERE source_id NOT IN (SELECT id FROM changed)),
@@ -220,15 +226,12 @@ def delete_concept_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH gone AS (SELECT 'raw:doc_' || doc_id AS s FROM documents WHERE lang = 'fr'), cited AS (SELECT 'c' || doc_id AS id, ['raw:doc_' || doc_id, source] AS s FROM documents)
-SELECT id, array_to_string(list_filter(s, lambda x: NOT (starts_with(x, 'raw:') AND x IN (SELECT s FROM gone))), ',') AS sources FROM cited""".replace(
-    "list_filter(s, lambda x: NOT (starts_with(x, 'raw:') AND x IN (SELECT s FROM gone)))", "CASE WHEN s[1] IN (SELECT s FROM gone) THEN s[2:] ELSE s END"
-))
+SELECT id, array_to_string(CASE WHEN s[1] IN (SELECT s FROM gone) THEN s[2:] ELSE s END, ',') AS sources FROM cited""")
 def delete_raw_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
+    cited = d.select(F.concat(F.lit("c"), "doc_id").alias("id"), F.array(F.concat(F.lit("raw:doc_"), "doc_id"), F.col("source")).alias("sources"))
     gone = d.where("lang = 'fr'").select(F.concat(F.lit("raw:doc_"), "doc_id").alias("s"))
-    cited = d.select(F.concat(F.lit("c"), "doc_id").alias("id"), F.posexplode(F.array(F.concat(F.lit("raw:doc_"), "doc_id"), F.col("source"))).alias("pos", "s"))
-    left = snapshots.without_ids(cited, gone, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("x"))
-    return left.select("id", F.array_join(F.transform("x", lambda x: x["s"]), ",").alias("sources"))
+    return snapshots.without_members(cited, gone, "sources").select("id", F.array_join("sources", ",").alias("sources"))
 
 
 @query(f"WITH {EDGES} SELECT source_id, target_id, arg_max(relation_type, seq) AS relation_type, arg_max(reason, seq) AS reason FROM edges GROUP BY source_id, target_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import embed, web
 from ..operators import crawl, fusion, keyword, rawsearch, vector
 from ..plans.engine import tiered
+from ..sources.scratch import settled
 from .model import CONCEPTS, RAW, VECTORS, concepts, raw_documents, table, vectors
 from .registry import query
 
@@ -42,7 +43,7 @@ st AS (SELECT count(*) AS rows, avg(length) AS mean, {", ".join(f"count(*) FILTE
 
 
 def _bm25(spark: SparkSession, sf_dir: str, words: str) -> DataFrame:
-    return keyword.bm25(keyword.tokenized(concepts(spark, sf_dir), "id", list(FIELDS)), "id", words, FIELDS)
+    return keyword.scan_bm25(concepts(spark, sf_dir), "id", words, FIELDS)
 
 
 @query(f"WITH {bm25_ctes(['ing'])} SELECT id, round(score, 6) AS score FROM bm")
@@ -73,6 +74,15 @@ def name_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "field", "term", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
 
 
+@query(f"WITH {bm25_ctes(['was', 'the'])} SELECT id, round(score, 6) AS score FROM bm")
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the whole store, and a search of it that reads the query's terms only."""
+    tokens = keyword.tokenized(concepts(spark, sf_dir), "id", list(FIELDS))
+    index = settled(keyword.postings(tokens, "id", list(FIELDS)).repartitionByRange("term").sortWithinPartitions("term"), "postings")
+    lengths = settled(keyword.lengths(tokens, "id", list(FIELDS)), "lengths")
+    return keyword.indexed_bm25(index, lengths, "id", "was the", FIELDS).select("id", F.round("score", 6).alias("score"))
+
+
 _SIM = "list_cosine_similarity(v.vector, q.vector)"
 _Q0 = "(SELECT vector, workspace_id FROM vectors ORDER BY concept_id LIMIT 1) q"
 
@@ -109,14 +119,13 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("workspace_id", F.posexplode("vector").alias("p", "x")).select("workspace_id", F.col("p").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
-@query(f"WITH {VECTORS}, {_CENTRE} SELECT v.concept_id, round({_SIM.replace('q.', 'cv.')}, 4) AS score, cv.workspace_id FROM vectors v, cv QUALIFY row_number() OVER (PARTITION BY v.concept_id ORDER BY {_SIM.replace('q.', 'cv.')} DESC, cv.workspace_id) = 1")
+@query(f"WITH {VECTORS}, {_CENTRE} SELECT v.concept_id, round(round({_SIM.replace('q.', 'cv.')}, 6), 4) AS score, cv.workspace_id FROM vectors v, cv QUALIFY row_number() OVER (PARTITION BY v.concept_id ORDER BY round({_SIM.replace('q.', 'cv.')}, 6) DESC, cv.workspace_id) = 1")
 def route_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector routed to its nearest workspace: centroids are as many as workspaces, and checked to be few."""
-    v = vectors(spark, sf_dir)
-    c = vector.centroids(v).limit(4096).select(F.col("workspace_id"), F.col("vector").alias("c"))
-    scored = v.select("concept_id", "vector").join(F.broadcast(c)).select("concept_id", "workspace_id", embed.cosine(F.col("vector"), F.col("c")).alias("score"))
-    best = scored.groupBy("concept_id").agg(F.max(F.struct("score", (-F.col("workspace_id")).alias("w"))).alias("x"))
-    return best.select("concept_id", F.round("x.score", 4).alias("score"), (-F.col("x.w")).cast("int").alias("workspace_id"))
+    """Every vector routed to its nearest workspace, by blocks of both, so workspaces may be as many as they like."""
+    v = vectors(spark, sf_dir).select("concept_id", "vector", F.col("workspace_id").cast("long").alias("workspace_id"))
+    centres = vector.centroids(v).select(F.col("workspace_id").alias("concept_id"), "vector")
+    best = vector.most_similar(v, centres, 1, key="concept_id", same_id=True)
+    return best.select("concept_id", F.round("score", 4).alias("score"), F.col("other").cast("int").alias("workspace_id"))
 
 
 @query(f"""WITH {VECTORS}, {_CENTRE}, d AS (SELECT workspace_id, arg_min(vector, concept_id) AS vector FROM vectors GROUP BY workspace_id),
@@ -151,7 +160,7 @@ def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     n = fusion.candidate_count(20)
     k = _bm25(spark, sf_dir, "was the").select(F.col("id").alias("concept_id"), keyword.reported_score(F.col("score")).alias("score")).orderBy(F.desc("score"), "concept_id").limit(n)
     v = concepts(spark, sf_dir).select(F.col("id").alias("concept_id"), F.round(F.char_length("body") / 1000.0, 4).alias("score")).orderBy(F.desc("score"), "concept_id").limit(n)
-    return k, v
+    return settled(k, "keyword-list"), v  # n rows, which several steps read
 
 
 _RANKS = "kr AS (SELECT concept_id, row_number() OVER (ORDER BY score DESC, concept_id) AS r FROM k), vr AS (SELECT concept_id, row_number() OVER (ORDER BY score DESC, concept_id) AS r FROM v)"
@@ -177,11 +186,10 @@ def fusion_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.withColumnRenamed("score", "keyword_score").join(v.withColumnRenamed("score", "vector_score"), "concept_id", "full_outer")
 
 
-@query("SELECT event_id AS id, round((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 6) AS score FROM events WINDOW w AS (PARTITION BY event_type)")
+@query("SELECT event_id AS id, round((value - min(value) OVER ()) / CASE WHEN max(value) OVER () > min(value) OVER () THEN max(value) OVER () - min(value) OVER () ELSE 1 END, 6) AS score FROM events")
 def minmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    b = e.groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    return e.join(b, "event_type").select(F.col("event_id").alias("id"), F.round(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")), 6).alias("score"))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("value").alias("score"))
+    return fusion.min_max(e, "id").select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_LISTS}, {_RANKS} SELECT 'keyword' AS list, concept_id, r AS rank FROM kr UNION ALL SELECT 'vector', concept_id, r FROM vr")

@@ -31,9 +31,17 @@ class Table:
             return self.spark.createDataFrame([], self.schema)
         return with_defaults(self.spark.read.parquet(f"{self.path}/v{versions[-1]}"), self.schema)
 
+    def _shaped(self, df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
+
     def write(self, df: DataFrame) -> None:
         versions = self._versions()
-        df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).write.mode("overwrite").parquet(f"{self.path}/v{(versions[-1] if versions else 0) + 1}")
+        self._shaped(df).write.mode("overwrite").parquet(f"{self.path}/v{(versions[-1] if versions else 0) + 1}")
+
+    def append(self, df: DataFrame) -> None:
+        """Rows beside those of the newest version, as files of their own: nothing is read or rewritten, and writers don't meet."""
+        versions = self._versions()
+        self._shaped(df).write.mode("append").parquet(f"{self.path}/v{versions[-1] if versions else 1}")
 
 
 def with_defaults(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | None = None) -> DataFrame:
@@ -66,6 +74,18 @@ def without_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(ids.select(F.col(ids.columns[0]).alias(column)).distinct(), column, "left_anti")
 
 
+def without_members(df: DataFrame, gone: DataFrame, column: str, member: str | None = None, key: str = "id") -> DataFrame:
+    """Without those members of an array column (by their field ``member``, if they are structs) that the one column of ``gone`` lists; the rest keeps its order.
+
+    Only rows that hold a listed member are rebuilt; ``key`` is unique, and neither side need be small.
+    """
+    inside = F.col("x") if member is None else F.col(f"x.{member}")
+    held = df.select(key, F.explode(column).alias("x")).select(key, inside.alias("m"))
+    hit = held.join(gone.select(F.col(gone.columns[0]).alias("m")).distinct(), "m", "left_semi").groupBy(key).agg(F.collect_set("m").alias("__gone"))  # a row's own members
+    rest = F.filter(column, lambda x: ~F.coalesce(F.array_contains("__gone", x if member is None else x[member]), F.lit(False)))
+    return df.join(hit, key, "left").withColumn(column, F.when(F.col("__gone").isNull(), F.col(column)).otherwise(rest)).drop("__gone")
+
+
 def only_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(ids.select(F.col(ids.columns[0]).alias(column)).distinct(), column, "left_semi")
 
