@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.embed import hash_embeddings
-from ..functions.text import workspace_slug
+from ..functions.embed import embeddings
+from ..functions.text import file_key, workspace_slug
 from ..operators import fusion, graph, keyword, rawsearch, vector
-from ..schema import CONCEPT, EDGE, QUERY_LOG, RAW_DOCUMENT, SEARCH_RESULT, VECTOR, WORKSPACE
-from ..sources import snapshots
+from ..schema import CONCEPT, EDGE, LENGTH, POSTING, QUERY_LOG, RAW_DOCUMENT, SEARCH_RESULT, VECTOR, WORKSPACE
+from ..sources import readers, snapshots
+from ..sources.scratch import settled
 from ..sources.snapshots import Table
 
 #: Other names by which workspaces are asked for.
@@ -18,13 +21,14 @@ ALIASES = {"typemoon": "타입문", "타입문": "typemoon", "type_moon": "타
 
 def resolve_workspaces(names: DataFrame, workspaces: DataFrame, aliases: DataFrame) -> DataFrame:
     """(name, workspace_id): null for all, else the workspace of that id, of that id or name in any case, of its alias, or the name itself."""
-    w = workspaces.select(F.col("id"), F.col("name").alias("label"))
-    asked = names.select("name", F.trim("name").alias("q")).join(aliases, F.lower(F.trim("name")) == F.col("alias"), "left")
-    exact, near = F.col("id") == F.col("q"), (F.lower("id") == F.lower("q")) | (F.lower("label") == F.lower("q"))
-    by_alias = (F.lower("id") == F.lower("other")) | (F.lower("label") == F.lower("other"))
-    rank = F.when(exact, 1).when(near, 2).when(by_alias, 3)
-    # Workspaces are few beside documents; names are asked a handful at a time.
-    hits = asked.join(w, exact | near | by_alias).groupBy("name").agg(F.min(F.struct(rank.alias("rank"), "id"))["id"].alias("found"))
+    asked = names.select("name", F.trim("name").alias("q"))
+    exact = workspaces.select(F.col("id").alias("q"), "id", F.lit(1).alias("rank"))
+    either = workspaces.select(F.lower("id").alias("low"), "id").union(workspaces.select(F.lower("name"), "id"))
+    meant = asked.select("name", F.lower("q").alias("alias")).join(aliases, "alias").select("name", F.lower("other").alias("low"))
+    hits = asked.join(exact, "q").select("name", "id", "rank")
+    hits = hits.union(asked.select("name", F.lower("q").alias("low")).join(either, "low").select("name", "id", F.lit(2).alias("rank")))
+    hits = hits.union(meant.join(either, "low").select("name", "id", F.lit(3).alias("rank")))
+    hits = hits.groupBy("name").agg(F.min(F.struct("rank", "id"))["id"].alias("found"))
     every = F.col("name").isNull() | F.trim(F.coalesce("name", F.lit(""))).isin("", "all", "*")
     return names.join(hits, "name", "left").select("name", F.when(~every, F.coalesce("found", "name")).alias("workspace_id"))
 
@@ -44,19 +48,41 @@ def tiered(hits: DataFrame, raw_hits: DataFrame, limit: int) -> DataFrame:
     return both.orderBy("tier", F.desc("score"), "concept_id").limit(limit).drop("tier")
 
 
+def card_text() -> Column:
+    """What of a concept is embedded for search."""
+    return F.concat_ws(" ", "name", F.concat_ws(" ", "aliases"), F.concat_ws(" ", "tags"), "summary", F.concat_ws(" ", "mechanisms"))
+
+
+def searched_fields(concepts: DataFrame) -> DataFrame:
+    """Concepts with the body that keyword search reads."""
+    return concepts.withColumn("body", F.concat_ws(" ", F.concat_ws(" ", "mechanisms"), F.concat_ws(" ", "formulas_or_code")))
+
+
 class Engine:
-    """Tables under one folder: concepts, edges, raw documents, workspaces, vectors and the log. Results are DataFrames."""
+    """Tables under one folder: concepts, edges, raw documents, workspaces, vectors, the keyword index and the log. Results are DataFrames.
+
+    ``embed`` is an embedder of texts, called in the tasks; the hashing one stands in where it fails or none is given.
+    """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark = spark
+    def __init__(self, spark: SparkSession, path: str, embed: Callable[[list[str]], list[list[float]]] | None = None) -> None:
+        self.spark, self.embed = spark, embed
         made = {"concepts": CONCEPT, "edges": EDGE, "raw_documents": RAW_DOCUMENT, "workspaces": WORKSPACE, "query_logs": QUERY_LOG}
         self.tables = {name: Table(spark, f"{path}/{name}", schema) for name, schema in made.items()}
         self.vectors = Table(spark, f"{path}/vectors", VECTOR)
+        self.postings, self.lengths = Table(spark, f"{path}/postings", POSTING, sorted_by="term"), Table(spark, f"{path}/lengths", LENGTH)
 
     def concepts(self, workspace: str | None = None) -> DataFrame:
         rows, ws = self.tables["concepts"].read(), self.resolve(workspace)
         return rows if ws is None else rows.where(F.col("workspace") == ws)
 
+    def concept(self, concept_id: str) -> DataFrame:
+        """The concept of that id, if there is one; ids are compared as card files are named."""
+        return self.tables["concepts"].read().where(file_key(F.col("id")) == file_key(F.lit(concept_id)))
+
+    def markdown(self, concept_id: str) -> DataFrame:
+        """(id, markdown): its card."""
+        return readers.cards(self.concept(concept_id))
+
     def edges(self) -> DataFrame:
         return self.tables["edges"].read()
 
@@ -64,6 +90,11 @@ class Engine:
         rows, ws = self.tables["raw_documents"].read(), self.resolve(workspace)
         return rows if ws is None else rows.where(F.col("workspace_id") == ws)
 
+    def raw_text(self, doc_id: str) -> str:
+        """A raw document's content; empty if there is none of that id."""
+        row = self.tables["raw_documents"].read().where(F.col("id") == doc_id).select("content").first()
+        return (row["content"] or "") if row else ""
+
     def resolve(self, workspace: str | None) -> str | None:
         asked = self.spark.createDataFrame([(workspace,)], "name string")
         aliases = self.spark.createDataFrame(list(ALIASES.items()), "alias string, other string")
@@ -79,6 +110,7 @@ class Engine:
         if not found:
             raise ValueError("a workspace needs a name with a word character")
         self.tables["workspaces"].write(snapshots.upsert(old, row, "id"))
+        self.sync_centroids(self.spark.createDataFrame([(found,)], "id string"))
         return found
 
     def delete_workspace(self, ws_id: str) -> bool:
@@ -89,62 +121,104 @@ class Engine:
         self.tables["concepts"].write(snapshots.moved_to_default(self.tables["concepts"].read(), ws_id, "workspace"))
         for t in (self.tables["raw_documents"], self.vectors):
             t.write(snapshots.moved_to_default(t.read(), ws_id))
+        self.sync_centroids(self.spark.createDataFrame([("default",)], "id string"))
         return True
 
+    def sync_centroids(self, only: DataFrame | None = None) -> None:
+        """Store the centroids of the workspaces in ``only`` (id), or of all: half their description, half the mean of their members' vectors."""
+        spaces = self.tables["workspaces"].read()
+        stale = spaces if only is None else snapshots.only_ids(spaces, only, "id")
+        text = F.concat_ws("\n", "name", "description", F.concat_ws(" ", "tags"))
+        described = embeddings(stale.select("id", text.alias("text")), "id", "text", self.embed).select(F.col("id").alias("workspace_id"), F.col("vector").alias("described"))
+        dims = described.select("workspace_id", F.size("described").alias("dim"))
+        members = self.vectors.read().drop("dim").join(dims, "workspace_id").where(F.size("vector") == F.col("dim"))
+        made = vector.synced_centroids(members, described).select(F.col("workspace_id").alias("id"), F.col("vector").alias("centroid"))
+        self.tables["workspaces"].write(spaces.join(made, "id", "left").withColumn("vector", F.coalesce("centroid", "vector")).drop("centroid"))
+
+    def _next(self, rows: DataFrame, column: str) -> int:
+        return rows.agg(F.coalesce(F.max(column), F.lit(-1))).first()[0] + 1
+
+    def _save_number(self) -> int:
+        """The first seq of the next save: each has 2**32 of them, so that the last relation is that of the last save."""
+        return (self._next(self.edges(), "seq") + (1 << 32) - 1) >> 32 << 32
+
     def save_concepts(self, new: DataFrame) -> None:
-        """Replace concepts by id, with their own edges and vectors; edges that the engine added stay."""
-        old_edges, ids = self.edges(), new.select("id")
-        own = new.select(F.col("id").alias("source_id"), F.explode("relations").alias("r")).select("source_id", F.col("r.type").alias("relation_type"), F.col("r.target").alias("target_id"), F.col("r.reason").alias("reason"))
-        own = own.where((F.col("target_id") != "") & (F.col("target_id") != F.col("source_id"))).select("*", F.lit("card").alias("origin"), F.monotonically_increasing_id().alias("seq"))
+        """Replace concepts by id, with their own edges, vectors and index entries, and sync their workspaces' centroids; edges that the engine added stay."""
+        old_edges, ids, first = self.edges(), new.select("id"), self._save_number()
+        own = new.select(F.col("id").alias("source_id"), F.posexplode("relations").alias("nth", "r")).select("source_id", F.col("r.type").alias("relation_type"), F.col("r.target").alias("target_id"), F.col("r.reason").alias("reason"), "nth")
+        own = own.where((F.col("target_id") != "") & (F.col("target_id") != F.col("source_id"))).select("*", F.lit("card").alias("origin"), (F.lit(first) + F.col("nth")).alias("seq")).drop("nth")
         kept = old_edges.where("origin = 'auto'").unionByName(snapshots.without_ids(old_edges.where("origin = 'card'"), ids, "source_id"))
-        indexed = hash_embeddings(new.select("id", F.concat_ws(" ", "name", F.concat_ws(" ", "aliases"), F.concat_ws(" ", "tags"), "summary", F.concat_ws(" ", "mechanisms")).alias("text")), "id", "text")
-        rows = indexed.join(new.select("id", "workspace", "updated_at"), "id").select(F.col("id").alias("concept_id"), F.lit("hash").alias("model_name"), F.size("vector").alias("dim"), "vector", F.col("workspace").alias("workspace_id"), "updated_at")
+        indexed = embeddings(new.select("id", card_text().alias("text")), "id", "text", self.embed)
+        rows = indexed.join(new.select("id", "workspace", "updated_at"), "id").select(F.col("id").alias("concept_id"), "model_name", F.size("vector").alias("dim"), "vector", F.col("workspace").alias("workspace_id"), "updated_at")
+        fields = list(keyword.FIELD_WEIGHTS)
+        tokens = settled(keyword.tokenized(searched_fields(new), "id", fields, stem=True), "tokens")
+        self.postings.write(snapshots.replace_children(self.postings.read(), keyword.postings(tokens, "id", fields), "id", ids))
+        self.lengths.write(snapshots.upsert(self.lengths.read(), keyword.lengths(tokens, "id", fields), "id"))
         self.vectors.write(snapshots.upsert(self.vectors.read(), rows, "concept_id"))
         self.tables["edges"].write(kept.unionByName(own))
         self.tables["concepts"].write(snapshots.upsert(self.tables["concepts"].read(), new, "id"))
+        self.sync_centroids(new.select(F.col("workspace").alias("id")).distinct())
 
     def delete_concepts(self, ids: DataFrame) -> None:
+        """Without the concepts, their edges, vectors and index entries, and without others' relations to them."""
+        ids = settled(ids.select(F.col(ids.columns[0]).alias("id")), "deleted")
         self.tables["edges"].write(snapshots.without_ids(snapshots.without_ids(self.edges(), ids, "source_id"), ids, "target_id"))
         self.vectors.write(snapshots.without_ids(self.vectors.read(), ids, "concept_id"))
-        gone = ids.agg(F.collect_set(ids.columns[0]).alias("gone"))  # the ids of one call
-        rows = snapshots.without_ids(self.tables["concepts"].read(), ids, "id").join(F.broadcast(gone))
-        self.tables["concepts"].write(rows.withColumn("relations", F.filter("relations", lambda r: ~F.array_contains("gone", r["target"]))).drop("gone"))
+        for t in (self.postings, self.lengths):
+            t.write(snapshots.without_ids(t.read(), ids, "id"))
+        self.tables["concepts"].write(snapshots.without_members(snapshots.without_ids(self.tables["concepts"].read(), ids, "id"), ids, "relations", "target"))
 
     def prune(self, valid: DataFrame) -> None:
         stale = self.tables["concepts"].read().select("id").join(valid.select(F.col(valid.columns[0]).alias("id")), "id", "left_anti")
         self.delete_concepts(stale)
 
     def add_edges(self, new: DataFrame) -> None:
-        """Edges (source_id, relation_type, target_id, reason) that stand in neither direction yet."""
-        made = new.select("source_id", "relation_type", "target_id", "reason", F.lit("auto").alias("origin"), F.monotonically_increasing_id().alias("seq"))
-        self.tables["edges"].write(self.edges().unionByName(snapshots.add_edges_if_absent(self.edges(), made)))
+        """Edges (source_id, relation_type, target_id, reason) that stand in neither direction yet; of equal ones the first by its ends and reason."""
+        first = self._save_number()
+        made = new.select("source_id", "relation_type", "target_id", "reason", F.lit("auto").alias("origin"), (F.lit(first) + F.pmod(F.xxhash64("source_id", "target_id", "reason"), F.lit(1 << 31))).alias("seq"))
+        self.tables["edges"].append(settled(snapshots.add_edges_if_absent(self.edges(), made), "new-edges"))
 
     def save_raw(self, docs: DataFrame) -> None:
         self.tables["raw_documents"].write(snapshots.upsert(self.tables["raw_documents"].read(), docs, "id"))
 
     def delete_raw(self, ids: DataFrame) -> None:
         """Without the documents, and without concepts' references to them."""
+        ids = settled(ids.select(F.col(ids.columns[0]).alias("id")), "deleted")
         self.tables["raw_documents"].write(snapshots.without_ids(self.tables["raw_documents"].read(), ids, "id"))
-        gone = ids.agg(F.collect_set(F.concat(F.lit("raw:"), ids.columns[0])).alias("gone"))  # the ids of one call
-        rows = self.tables["concepts"].read().join(F.broadcast(gone))
-        self.tables["concepts"].write(rows.withColumn("sources", F.filter("sources", lambda s: ~F.array_contains("gone", s))).drop("gone"))
+        gone = ids.select(F.concat(F.lit("raw:"), "id").alias("source"))
+        self.tables["concepts"].write(snapshots.without_members(self.tables["concepts"].read(), gone, "sources"))
+
+    def export_graph(self, path: str, workspace: str | None = None) -> None:
+        """Nodes and edges of a workspace (all without one) as JSON lines, a folder each: what a display of the graph reads."""
+        nodes = self.concepts(workspace).select("id", "name", "type", F.coalesce("summary", F.lit("")).alias("summary"), "tags", "workspace")
+        ids = nodes.select("id")
+        links = snapshots.only_ids(snapshots.only_ids(graph.collapsed_edges(self.edges()), ids, "source_id"), ids, "target_id")
+        nodes.write.mode("overwrite").json(f"{path}/nodes")
+        links.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.col("relation_type").alias("type"), "reason").write.mode("overwrite").json(f"{path}/edges")
 
     def _query_vector(self, query: str) -> DataFrame:
-        asked = self.spark.createDataFrame([("q", query.strip()[:3000])], "id string, text string")
-        return hash_embeddings(asked, "id", "text").select(F.col("vector").alias("q"))
+        asked = self.spark.createDataFrame([("q", query.strip())], "id string, text string")
+        return embeddings(asked, "id", "text", self.embed).select(F.col("vector").alias("q"))
 
     def route(self, query: str, k: int = 3) -> DataFrame:
-        """(workspace_id, score): the workspaces whose centroid is nearest; the default one for a blank query."""
+        """(workspace_id, score): the workspaces whose stored centroid is nearest; the default one for a blank query or without any."""
+        default = self.spark.createDataFrame([("default", 1.0)], "workspace_id string, score double")
         if not query.strip():
-            return self.spark.createDataFrame([("default", 1.0)], "workspace_id string, score double")
-        return vector.route(vector.centroids(self.vectors.read()), self._query_vector(query), k)
+            return default
+        spaces = self.tables["workspaces"].read()
+        if spaces.where("vector IS NOT NULL").isEmpty():
+            self.sync_centroids()
+            spaces = self.tables["workspaces"].read()
+        found = vector.route(spaces.where("vector IS NOT NULL").select(F.col("id").alias("workspace_id"), "vector"), self._query_vector(query), k)
+        found = settled(found, "routed")  # k rows
+        return default if found.isEmpty() else found
 
     def search(self, query: str, mode: str = "hybrid", limit: int = 5, workspace: str = "all") -> DataFrame:
         """SEARCH_RESULT rows: keyword, vector, graph or hybrid, then raw documents if there is room."""
         scope = workspace
         if workspace == "auto":
-            best = self.route(query, 1).first()
-            scope = best["workspace_id"] if best else "all"
+            spaces = self.tables["workspaces"].read().limit(2).count()
+            scope = self.route(query, 1).first()["workspace_id"] if spaces > 1 else "all"
         scope = self.resolve(scope)
         concepts = self.concepts(scope)
         vectors = self.vectors.read() if scope is None else self.vectors.read().where(F.col("workspace_id") == scope)
@@ -152,10 +226,12 @@ class Engine:
         n = limit if mode in ("keyword", "fts", "vector", "semantic") else n
 
         def by_words() -> DataFrame:
-            body = self.tables["concepts"].read().withColumn("body", F.concat_ws(" ", F.concat_ws(" ", "mechanisms"), F.concat_ws(" ", "formulas_or_code")))
-            tokens = keyword.tokenized(body, "id", list(keyword.FIELD_WEIGHTS), stem=True)
-            found = keyword.bm25(tokens, "id", query, keyword.FIELD_WEIGHTS, stem=True).join(concepts.select("id"), "id", "left_semi")
-            return found.select(F.col("id").alias("concept_id"), keyword.reported_score(F.col("score")).alias("score")).orderBy(F.desc("score"), "concept_id").limit(n)
+            found = keyword.indexed_bm25(self.postings.read(), self.lengths.read(), "id", query, keyword.FIELD_WEIGHTS, stem=True).join(concepts.select("id"), "id", "left_semi")
+            top = found.select(F.col("id").alias("concept_id"), keyword.reported_score(F.col("score")).alias("score")).orderBy(F.desc("score"), "concept_id").limit(n)
+            top = settled(top, "keyword-hits")  # n rows
+            if top.isEmpty() and query.strip():
+                top = keyword.like_search(concepts, query.strip()).select(F.col("id").alias("concept_id"), "score").orderBy("concept_id").limit(n)
+            return top
 
         def by_vector() -> DataFrame:
             return vector.nearest(vectors, self._query_vector(query), n).select("concept_id", F.round("score", 4).alias("score"))
@@ -169,7 +245,7 @@ class Engine:
             if mode in ("graph", "hipporag", "network"):
                 how = "hipporag"
                 seeds = hits.orderBy(F.desc("score"), "concept_id").limit(max(2 * limit, 8)).select(F.col("concept_id").alias("id"), F.greatest("score", F.lit(0.1)).alias("weight"))
-                edges = self.edges()
+                seeds, edges = settled(seeds, "seeds"), self.edges()
                 ranks = graph.pagerank(graph.vertices_of(self.tables["concepts"].read(), edges), edges, seeds)
                 top = ranks.agg(F.max("rank").alias("top"))
                 scored = ranks.join(F.broadcast(top)).join(seeds, "id", "left").select(F.col("id").alias("concept_id"), fusion.graph_score(F.coalesce("weight", F.lit(0.0)), F.col("rank"), F.col("top")).alias("score"))
@@ -180,11 +256,10 @@ class Engine:
         return tiered(shown, raw_hits, limit)
 
     def log(self, caller: str, action: str, query: str, details: str = "{}", count: int = 0, workspace: str = "default") -> None:
-        old = self.tables["query_logs"].read()
-        top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        """One row, appended; only the ids of the log are read. Of writers at one time two may give the same id, but no row is lost."""
         row = self.spark.createDataFrame([(caller, action, query, details, count, workspace)], "caller string, action string, query string, details_json string, result_count int, workspace_id string")
-        row = row.select(F.lit(top + 1).cast("long").alias("id"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "*")
-        self.tables["query_logs"].write(old.unionByName(row))
+        number = max(1, self._next(self.tables["query_logs"].read(), "id"))
+        self.tables["query_logs"].append(row.select(F.lit(number).cast("long").alias("id"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "*"))
 
     def logs(self, limit: int = 50) -> DataFrame:
         return self.tables["query_logs"].read().orderBy(F.desc("id")).limit(limit)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.text import document_id
 from ..operators.distill import heuristic_concepts
 from ..schema import QUERY_LOG
+from ..sources.scratch import settled
 from ..sources.snapshots import Table, upsert
 
 PAGE_STREAM = "title string, text string, source string"
@@ -36,14 +37,21 @@ def archived(pages: DataFrame, workspace: str = "default") -> DataFrame:
 def start_ingest(
     pages: DataFrame, raw: Table, concepts: Table, events_path: str, checkpoint: str, *, workspace: str = "default", extract: Callable[[DataFrame], DataFrame] = heuristic_concepts
 ) -> StreamingQuery:
-    """Archive each micro-batch, distil it, and append its events as NDJSON. A batch that runs again replaces its own rows by id."""
+    """Archive each micro-batch, distil it, and append its events as NDJSON.
+
+    New documents and concepts are appended as files; only a batch that changes known concepts makes a new version of their table. An
+    id is a digest of source and text, so a document that is there already stays, and a batch that runs again adds nothing.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
         docs = archived(df, workspace).persist()
-        raw.write(upsert(raw.read(), docs, "id"))
+        raw.append(settled(docs.join(raw.read().select("id"), "id", "left_anti"), "new-raw"))
         made = extract(docs)
         first = made.groupBy("id").agg(F.min_by(F.struct(*made.columns), "name").alias("row")).select("row.*").persist()
-        concepts.write(upsert(concepts.read(), first, "id"))
+        if first.join(concepts.read().select("id"), "id", "left_semi").isEmpty():
+            concepts.append(first)
+        else:
+            concepts.write(upsert(concepts.read(), first, "id"))
         crawled = docs.select(F.lit("page_crawled").alias("event"), F.col("source_uri").alias("source"), F.col("title").alias("name"), F.lit(1).cast("long").alias("count"))
         created = first.select(F.lit("concept_created").alias("event"), F.element_at("sources", -1).alias("source"), "name", F.lit(1).cast("long").alias("count"))
         done = docs.agg(F.count("*").alias("count")).select(F.lit("completed").alias("event"), F.lit(None).cast("string").alias("source"), F.lit(f"batch {number}").alias("name"), "count")
