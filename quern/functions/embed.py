@@ -54,7 +54,8 @@ def embed_tokens(texts: list[list[str]], dim: int = DIM) -> np.ndarray:
     word, at = np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, np.int64), *[np.arange(len(x)) for x in ids]])
     text = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
     place = 1.0 + 0.5 * np.maximum(0, 10 - at) / 10
-    out = np.bincount(text * dim + (state[word] % np.uint64(dim)).astype(np.int64), weights=place, minlength=len(ids) * dim)
+    out = np.zeros(len(ids) * dim)
+    out += np.bincount(text * dim + (state[word] % np.uint64(dim)).astype(np.int64), weights=place, minlength=len(out))
     joined = np.flatnonzero(text[1:] == text[:-1])
     if len(joined):
         pair, back = np.unique(word[joined] * len(known) + word[joined + 1], return_inverse=True)

@@ -248,29 +248,37 @@ def unified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiered(hits, raw, 30)
 
 
-_LINKS = r"""l AS (SELECT url AS parent, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) AS o, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, trim(unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2))) AS anchor FROM pages),
-s AS (SELECT parent, o || href AS url, anchor, least(length(anchor), 40) / 8.0::DOUBLE AS score FROM l)"""
+def _says(terms: tuple[str, ...]) -> str:
+    return " OR ".join(f"contains(lower(anchor), '{t}') OR contains(lower(leads), '{t}')" for t in terms)
+
+
+_LINKS = rf"""l AS (SELECT url AS parent, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) AS o, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+/([^?#]*)', 1) AS above, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href,
+  trim(unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2))) AS anchor FROM pages),
+t AS (SELECT *, split_part(above, '/', 1) AS start, trim(href, '/') AS leads, o || '/' || split_part(above, '/', 1) AS root FROM l),
+w AS (SELECT *, list_filter(regexp_split_to_array(lower(start), '[^0-9a-z가-힣]+'), lambda x: length(x) >= 2)[1:6] AS words FROM t),
+s AS (SELECT parent, o || href AS url, anchor, (CASE WHEN starts_with(leads, start || '/') THEN 45 WHEN start <> '' AND contains(lower(leads), lower(start)) THEN 70 ELSE 0 END
+  + CASE WHEN above <> '' AND starts_with(leads, above || '/') THEN 15 ELSE 0 END + 18 * len(list_filter(words, lambda x: contains(lower(anchor), x))) + 12 * len(list_filter(words, lambda x: contains(lower(leads), x)))
+  + CASE WHEN {_says(web.CENTRAL_TERMS)} THEN 24 ELSE 0 END - CASE WHEN {_says(web.PERIPHERAL_TERMS)} THEN 120 ELSE 0 END + least(length(anchor), 40) / 8.0::DOUBLE
+  - CASE WHEN anchor IN ({", ".join(f"'{x}'" for x in web.GENERIC_ANCHORS)}) THEN 25 ELSE 0 END - CASE WHEN o || href = root THEN 1000 ELSE 0 END)::DOUBLE AS score FROM w)"""
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of every page, scored for a crawl that starts from the page's language folder on its own site."""
     pattern = F.lit('<a href="([^"]*)">([^<]*)</a>')
     both = F.arrays_zip(F.regexp_extract_all("html", pattern, 1).alias("h"), F.regexp_extract_all("html", pattern, 2).alias("t"))
     rows = table(spark, sf_dir, "pages").select(F.col("url").alias("parent"), F.explode(both).alias("x"))
-    return rows.select("parent", web.resolve_link(F.col("parent"), F.col("x")["h"]).alias("url"), F.trim(F.col("x")["t"]).alias("anchor"))
+    rows = rows.select("parent", F.regexp_extract("parent", "^[a-zA-Z]+://[^/?#]+/[^/?#]*", 0).alias("root"), web.resolve_link(F.col("parent"), F.col("x")["h"]).alias("url"), F.trim(F.col("x")["t"]).alias("anchor"))
+    return rows.withColumn("score", web.link_score(F.col("root"), F.col("parent"), F.col("url"), F.col("anchor")))
 
 
 @query(f"WITH {_LINKS} SELECT DISTINCT parent, url, anchor, score FROM s")
 def link_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links scored for a crawl whose root is their own site's front page: only the anchor tells."""
-    root = F.concat(F.regexp_extract("parent", "^([a-zA-Z]+://[^/?#]+)", 1), F.lit("/"))
-    return _links(spark, sf_dir).select("parent", "url", "anchor", web.link_score(root, root, F.col("url"), F.col("anchor")).alias("score")).distinct()
+    return _links(spark, sf_dir).select("parent", "url", "anchor", "score").distinct()
 
 
 @query(f"WITH {_LINKS} SELECT url, max(score) AS score, count(DISTINCT parent) AS parents FROM s GROUP BY url")
 def frontier_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = F.concat(F.regexp_extract("parent", "^([a-zA-Z]+://[^/?#]+)", 1), F.lit("/"))
-    s = _links(spark, sf_dir).withColumn("score", web.link_score(root, root, F.col("url"), F.col("anchor")))
-    return s.groupBy("url").agg(F.max("score").alias("score"), F.count_distinct("parent").alias("parents"))
+    return _links(spark, sf_dir).groupBy("url").agg(F.max("score").alias("score"), F.count_distinct("parent").alias("parents"))
 
 
 @query("""WITH p AS (SELECT regexp_extract(url, '://([^/:]+)', 1) AS host, page_id, length(html) AS n FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY n DESC, page_id) AS place FROM p)

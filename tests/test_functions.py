@@ -116,3 +116,52 @@ def test_jaccard_and_tokens(spark):
     a, b = text.graph_tokens(F.col("a")), text.graph_tokens(F.col("b"))
     assert one(spark, text.jaccard(a, b), a="The GPU memory of it", b="gpu Memory cache") == pytest.approx(2 / 3)
     assert one(spark, text.jaccard(a, b), a="", b="") == 0
+
+
+def test_links_resolve_like_the_standard_library(spark):
+    """Relative links, dot segments and queries against RFC 3986 as the standard library has it."""
+    from urllib.parse import urljoin
+
+    bases = ["http://x.org/a/b/c", "http://x.org/a/b/", "http://x.org", "https://y.net:8080/d/e.html?q=1#f"]
+    hrefs = ["g", "./g", "../g", "../../g", "../../../g", "/g/./h/../i", "?y=2", "g?y=./x", "g/", ".", "..", "//z.org/p", "http://w.org/k", "a/./b/../c", "../"]
+    rows = [(b, h) for b in bases for h in hrefs]
+    got = spark.createDataFrame(rows, "base string, href string").select("base", "href", web.resolve_link(F.col("base"), F.col("href")).alias("u")).collect()
+    for r in got:
+        assert r["u"].rstrip("/") == urljoin(r["base"], r["href"]).rstrip("/"), r
+    assert one(spark, web.resolve_link(F.col("b"), F.col("h")), b="http://x.org/", h="#top") is None
+
+
+def test_wiki_pages(spark):
+    page = "# 제목\n목차\n[편집]\n1.2.\n본문 [편집] 하나  둘\n\n\n\n분류: 무엇\n[1] [2]\n끝\n"
+    assert one(spark, text.strip_wiki_lines(F.col("x")), x=page) == "# 제목\n\n본문 하나 둘\n\n끝" or one(spark, text.strip_wiki_lines(F.col("x")), x=page) == "# 제목\n본문 하나 둘\n\n끝"
+    assert one(spark, text.wiki_title(F.col("x")), x="어떤 것 - 나무위키") == "어떤 것"
+    crawlable = lambda u: one(spark, web.is_crawlable(F.lit("https://namu.wiki/w/a"), F.col("u")), u=u)
+    assert crawlable("https://namu.wiki/w/b") and not crawlable("https://namu.wiki/w/") and not crawlable("https://namu.wiki/x/b")
+    assert not crawlable("https://namu.wiki/w/%EB%B6%84%EB%A5%98:b") and not crawlable("https://namu.wiki/w/a.png")
+
+
+def test_representative_sentences_equal_the_pattern(spark):
+    """Random texts of words and marks against the plain pattern, and a long text without marks in linear time."""
+    import random
+    import re
+    import time
+
+    rng = random.Random(3)
+    rows = [("".join(rng.choice(["ab", "name", " ", ". ", "?", "\n", "x", ";", "na"]) for _ in range(rng.randint(0, 14))), "name") for _ in range(400)]
+    got = spark.createDataFrame(rows, "t string, n string").select("t", text.sentence_with(F.col("t"), F.col("n")).alias("s")).collect()
+    for r in got:
+        m = re.search(r"[^.?!;\n]*?name[^.?!;\n]*[.?!;\n]", r["t"])
+        assert r["s"] == (m[0] if m else None), r
+    began = time.time()
+    assert one(spark, text.sentence_with(F.col("t"), F.lit("needle")), t="word " * 300_000 + "needle") is None
+    assert time.time() - began < 20
+
+
+def test_words_after_the_cut_are_not_embedded(spark):
+    df = spark.createDataFrame([(1, "word " * 600), (2, "word " * 600 + "other " * 50), (3, None)], "id int, text string")
+    got = {r["id"]: r["vector"] for r in embed.hash_embeddings(df, "id", "text").collect()}
+    assert got[1] == got[2] and set(got[3]) == {0.0}
+    given = {r["id"]: (r["model_name"], len(r["vector"])) for r in embed.embeddings(df, "id", "text", lambda texts: [[1.0, 0.0] for _ in texts]).collect()}
+    assert given[1] == ("given", 2)
+    failing = embed.embeddings(df, "id", "text", lambda texts: 1 / 0).collect()
+    assert {r["model_name"] for r in failing} == {"hash"} and len(failing[0]["vector"]) == embed.DIM

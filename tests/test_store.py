@@ -79,6 +79,66 @@ def test_edges_and_deletion(engine, spark):
     assert engine.delete_workspace("bio") and engine.concepts("default").count() == 1
 
 
+def test_index_export_and_lookups(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    rows = [concept("a_b", "Alpha Beta", tags=["t"], relations=[("r", "c", "why")], summary="about memory"), concept("c", "Gamma", summary="memories of gpu memory")]
+    e.save_concepts(spark.createDataFrame(rows, CONCEPT))
+    from quern.operators import keyword
+    from quern.plans.engine import searched_fields
+
+    fields = list(keyword.FIELD_WEIGHTS)
+    tokens = keyword.tokenized(searched_fields(e.concepts()), "id", fields, stem=True)
+    for q in ("memory", "gpu memory", "alpha", "memory gpu memory"):
+        scan = {r["id"]: round(r["score"], 9) for r in keyword.bm25(tokens, "id", q, keyword.FIELD_WEIGHTS, stem=True).collect()}
+        index = {r["id"]: round(r["score"], 9) for r in keyword.indexed_bm25(e.postings.read(), e.lengths.read(), "id", q, keyword.FIELD_WEIGHTS, stem=True).collect()}
+        assert scan == index and scan, q
+    assert ids(e.search("lpha", "keyword", 5)) == ["a_b"]  # no term starts so: found by substring
+    e.save_concepts(spark.createDataFrame([concept("a_b", "Alpha Beta", relations=[("later", "c", "")], summary="changed")], CONCEPT))
+    e.add_edges(spark.createDataFrame([("a_b", "last", "c", "")], "source_id string, relation_type string, target_id string, reason string"))
+    from quern.operators import graph
+
+    assert [r["relation_type"] for r in graph.collapsed_edges(e.edges()).collect()] == ["last"]
+    assert e.postings.read().where("id = 'a_b' AND term LIKE 'memor%'").count() == 0
+    assert e.concept("A b").first()["name"] == "Alpha Beta" and "Alpha Beta" in e.markdown("a_b").first()["markdown"] and e.raw_text("none") == ""
+    e.export_graph(f"file://{tmp_path}/graph")
+    assert spark.read.json(f"file://{tmp_path}/graph/nodes").count() == 2 and spark.read.json(f"file://{tmp_path}/graph/edges").first()["type"] == "last"
+
+
+def test_nearest_of_many_queries_is_exact(spark, monkeypatch):
+    """Recall 1 against brute force, in small blocks, with ties, nulls, other dimensions and vectors without length."""
+    from quern.operators import vector
+
+    monkeypatch.setattr(vector, "BLOCK", 16)
+    rng = random.Random(5)
+    rows = [(k, [float(rng.randint(-3, 3)) for _ in range(4)]) for k in range(120)] + [(200, None), (201, [0.0] * 4), (202, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = {}
+    for r in vector.most_similar(df.where("id % 5 = 0"), df, 3).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = (r["other"], r["score"])
+    size = lambda v: sum(x * x for x in v) ** 0.5
+    for q, v in rows:
+        if q % 5 == 0 and v and size(v):
+            others = [(o, round(sum(x * y for x, y in zip(v, w, strict=True)) / size(v) / size(w), 6)) for o, w in rows if o != q and w and len(w) == len(v) and size(w)]
+            want = sorted(others, key=lambda x: (-x[1], x[0]))[:3]
+            assert [got[q][k][0] for k in (1, 2, 3)] == [o for o, _ in want] and [got[q][k][1] for k in (1, 2, 3)] == pytest.approx([x for _, x in want], abs=2e-6)
+    assert not {200} & set(got)
+
+
+def test_similar_sets_are_exact(spark, monkeypatch):
+    from quern.operators import graph
+
+    monkeypatch.setattr(graph, "BLOCK", 8)
+    rng = random.Random(6)
+    words = ["common"] + [f"word{i}" for i in range(12)]
+    rows = [(f"n{k:02}", " ".join(rng.sample(words, rng.randint(0, 5)) + ["common"] * (k % 2))) for k in range(60)]
+    got = {r["id"]: (r["other"], r["score"]) for r in graph.similar_pairs(spark.createDataFrame(rows, "id string, text string")).collect()}
+    sets = {i: set(t.split()) for i, t in rows}
+    for i, s in sets.items():
+        scored = [(round(len(s & o) / len(s | o), 6), j) for j, o in sets.items() if j != i and s | o and s]
+        best = max((x for x, _ in scored), default=0)
+        assert got.get(i) == ((min(j for x, j in scored if x == best), best) if best >= 0.04 else None), i
+
+
 def test_tables_keep_versions(spark, tmp_path):
     t = Table(spark, str(tmp_path / "t"), EDGE)
     assert t.read().count() == 0
@@ -129,6 +189,31 @@ def test_files(spark, tmp_path):
 PAGE = "<title>T {n}</title><body><nav>skip</nav><h2>Head</h2><p>Body {n}<ul><li>item</ul>{links}</body>"
 
 
+def test_readers_take_any_page(spark):
+    for odd in ("<![x]>", "<![foo[bar]]>", "<![", "&#" + "9" * 5000 + ";"):
+        title, text, links = readers.readable(f"<title>T</title><h2>H</h2><p>one{odd}<p>two <a href=' /x '>go <b>on</b></a><ul><li>i</ul><script>no</script><nav>no</nav>last")
+        assert title == "T" and text.startswith("## H\none") and ("last" in text or odd == "<![")
+    assert readers.readable("<a href='/1'>a<a href='/2'>b</a><a>c</a><br>d")[1:] == ("ab c\nd".replace("ab", "a b"), [("/1", "a"), ("/2", "b")])
+    assert readers.readable(None) == ("", "", [])
+
+
+def test_pdf_pages(spark):
+    pdf = b"%PDF\n1 0 obj <</Type /Page /Contents 3 0 R>> endobj\n2 0 obj <</Type /Page /Contents [4 0 R 5 0 R]>> endobj\n9 0 obj <</Type /Pages /Kids [1 0 R]>> endobj\n"
+    for n, t in ((3, b"first page"), (4, b"second page"), (5, b"goes on")):
+        pdf += b"%d 0 obj <<>> stream\nBT (%s) Tj ET\nendstream endobj\n" % (n, t)
+    assert readers.pdf_text(pdf) == "--- Page 1 ---\nfirst page\n\n--- Page 2 ---\nsecond page\ngoes on"
+
+
+def test_chunks_hold_the_whole_text():
+    rng = random.Random(2)
+    for _ in range(200):
+        text = "".join(rng.choice(["\n# H\n", "\n\n", "word ", "x" * rng.randint(1, 60), "\n"]) for _ in range(rng.randint(0, 60)))
+        found = distill.chunk_text(text, 100, most=None)
+        assert "".join("".join(found).split()) == "".join(text.split())
+        assert all(len(c) <= 100 or "\n\n" not in c for c in found)
+        assert found[:6] == distill.chunk_text(text, 100) or len(text) <= 100
+
+
 def test_pages_and_crawl(spark):
     link = lambda *ns: " ".join(f'<a href="/p/{n}">to {n}</a>' for n in ns)
     rows = [("https://x.org/p", PAGE.format(n=0, links=link(1, 2, 404))), ("https://x.org/p/1", PAGE.format(n=1, links=link(3))), ("https://x.org/p/2", PAGE.format(n=2, links=link(1, 3, 4))), ("https://x.org/p/3", PAGE.format(n=3, links="")), ("https://x.org/p/4", PAGE.format(n=4, links=""))]
