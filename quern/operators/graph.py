@@ -225,41 +225,43 @@ def betweenness(vertices: DataFrame, edges: DataFrame, *, sources: int = 4096) -
     return total.select("id", (F.col("part") / ((n - 1) * (n - 2))).alias("score"))
 
 
-def communities(vertices: DataFrame, edges: DataFrame, *, patience: int = 4) -> DataFrame:
+def communities(vertices: DataFrame, edges: DataFrame, *, patience: int = 3, rise: float = 2e-3) -> DataFrame:
     """(id, community): modularity communities by rounds of local moves, each round one join and two sums.
 
     Every node may move to the neighbouring community of the highest gain in modularity, the least label on ties; only
     moves to a smaller label in even and a larger one in odd rounds take effect, so that neighbours do not swap.
-    Rounds end when none moves in either, or when ``patience`` rounds have brought no higher modularity than before (moves of
+    Rounds end when none moves in either, or when ``patience`` of them have not raised the modularity by ``rise`` over the highest before (moves of
     one round may undo each other); the labelling of the highest is the answer, a partition of all vertices.
     """
     pairs = settled(undirected(edges), "pairs")
     m2 = pairs.count()
     state = vertices.select("id").join(pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree")), "id", "left")
     state = settled(state.select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.col("id").alias("community")), "communities")
-    best, highest, since, quiet, k = state, None, 0, 0, 0
+    best, highest, bar, since, quiet, k = state, None, 0.0, 0, 0, 0
     while m2 and quiet < 2 and since <= patience:
         sizes = state.groupBy("community").agg(F.sum("degree").alias("volume"))
-        links = settled(pairs.join(state.select(F.col("id").alias("b"), "community"), "b").groupBy("a", "community").agg(F.count("*").alias("links")), "links")
+        links = pairs.join(state.select(F.col("id").alias("b"), "community"), "b").groupBy("a", "community").agg(F.count("*").alias("links"))
         own = state.select(F.col("id").alias("a"), "degree", F.col("community").alias("home"))
-        inner = links.join(own, "a").where("community = home").agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0]
-        quality = inner / m2 - sizes.agg(F.sum((F.col("volume") / m2) ** 2)).first()[0]
-        if highest is None or quality > highest + 1e-12:
-            best, highest, since = state, quality, 0
-        else:
-            since += 1
-        rows = links.join(own, "a").join(sizes, "community")
+        rows = links.join(own.select("a", "degree", "home"), "a").join(sizes, "community")
         here = F.col("community") == F.col("home")
         gain = F.col("links") - F.col("degree") * (F.col("volume") - F.when(here, F.col("degree")).otherwise(0)) / m2
         first = F.min(F.struct((-gain).alias("loss"), (~here).alias("away"), F.col("community")))
-        chosen = rows.groupBy("a").agg(first.alias("x"), F.max(F.when(here, gain)).alias("stay"))
+        chosen = rows.groupBy("a").agg(first.alias("x"), F.max(F.when(here, gain)).alias("stay"), F.max(F.when(here, F.col("links"))).alias("inner"))
         # Leaving a home without neighbours in it gains its own volume term back: 0 links, and no less than 0.
         allowed = F.col("x.community") < F.col("home") if k % 2 == 0 else F.col("x.community") > F.col("home")
         better = F.coalesce(-F.col("x.loss") > F.coalesce("stay", F.lit(0.0)), F.lit(False)) & allowed
-        new = own.join(chosen, "a", "left").select(F.col("a").alias("id"), "degree", F.when(better, F.col("x.community")).otherwise(F.col("home")).alias("community"), better.alias("moved"))
+        new = own.join(chosen, "a", "left").select(F.col("a").alias("id"), "degree", "home", "inner", F.when(better, F.col("x.community")).otherwise(F.col("home")).alias("community"), better.alias("moved"))
         new = settled(new, "communities")
-        quiet = quiet + 1 if new.where("moved").isEmpty() else 0
-        state, k = new.drop("moved"), k + 1
+        # Of the labels before this round, and whether any moved.
+        by_home = new.groupBy("home").agg(F.sum("degree").alias("volume"), F.coalesce(F.sum("inner"), F.lit(0)).alias("inner"), F.count_if("moved").alias("moved"))
+        squares, inner, moved = by_home.agg(F.sum((F.col("volume") / m2) ** 2), F.sum("inner"), F.sum("moved")).first()
+        quality = inner / m2 - squares
+        if highest is None or quality > highest:
+            best, highest = state, quality
+        since = since + 1 if k and quality < bar + rise else 0
+        bar = quality if since == 0 else bar
+        quiet = quiet + 1 if not moved else 0
+        state, k = new.select("id", "degree", "community"), k + 1
     return best.select("id", "community")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..sources.scratch import settled
 from .model import BULK, EDGES, NODES, bulk_edges, edges, nodes, table
 from .registry import query
 
@@ -80,7 +81,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT source_id, target_id FROM edges)) AS edges, (SELECT count(DISTINCT component) FROM parts) + (SELECT count(*) FROM v WHERE id NOT IN (SELECT id FROM parts)) AS components)
 SELECT nodes, edges, round(edges / (nodes * (nodes - 1.0::DOUBLE)), 4) AS density, components, round(2.0::DOUBLE * edges / nodes, 2) AS average_degree FROM m""")
 def graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.metrics(nodes(spark, sf_dir), edges(spark, sf_dir))
+    return graph.metrics(nodes(spark, sf_dir), settled(edges(spark, sf_dir), "edges"))
 
 
 _ROOTS = "roots AS (SELECT id FROM nodes WHERE workspace = (SELECT min(workspace) FROM nodes))"
@@ -102,7 +103,7 @@ def khop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {NODES}, {EDGES}, {_ROOTS}, {_REACH} SELECT source_id, target_id, arg_max(relation_type, seq) AS relation_type FROM edges WHERE source_id IN (SELECT id FROM seen) AND target_id IN (SELECT id FROM seen) GROUP BY source_id, target_id")
 def khop_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.subgraph(edges(spark, sf_dir), _roots(spark, sf_dir), 2).select("source_id", "target_id", "relation_type")
+    return graph.subgraph(settled(edges(spark, sf_dir), "edges"), _roots(spark, sf_dir), 2).select("source_id", "target_id", "relation_type")
 
 
 @query(f"""WITH RECURSIVE {EDGES}, {_PAIRS}, hub AS (SELECT a AS id FROM pairs GROUP BY a ORDER BY count(*) DESC, a LIMIT 1),
@@ -128,14 +129,14 @@ def _rank_sql(rounds: int, restart: str = "1.0::DOUBLE / n") -> str:
 
 @query(_rank_sql(20))
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, n = edges(spark, sf_dir), nodes(spark, sf_dir)
+    e, n = settled(edges(spark, sf_dir), "edges"), nodes(spark, sf_dir)
     return graph.pagerank(graph.vertices_of(n, e), e, rounds=20).select("id", F.round("rank", 10).alias("rank"))
 
 
 @query(_rank_sql(20, "CASE WHEN v.id IN (SELECT id FROM roots) THEN 1.0::DOUBLE / (SELECT count(*) FROM roots) ELSE 0 END"))
 def ppr_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personalised ranks around the nodes of the first workspace."""
-    e, n = edges(spark, sf_dir), nodes(spark, sf_dir)
+    e, n = settled(edges(spark, sf_dir), "edges"), nodes(spark, sf_dir)
     seeds = _roots(spark, sf_dir).withColumn("weight", F.lit(1.0))
     return graph.pagerank(graph.vertices_of(n, e), e, seeds, rounds=20).select("id", F.round("rank", 10).alias("rank"))
 
@@ -143,19 +144,19 @@ def ppr_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pagerank_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks until they settle."""
-    return graph.hubs(nodes(spark, sf_dir), edges(spark, sf_dir), 20)
+    return graph.hubs(nodes(spark, sf_dir), settled(edges(spark, sf_dir), "edges"), 20)
 
 
 @query()
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the sparse graph of bulk orders: exact betweenness searches from every node, so a dense graph costs nodes times links."""
-    e, n = bulk_edges(spark, sf_dir), nodes(spark, sf_dir)
+    e, n = settled(bulk_edges(spark, sf_dir), "edges"), nodes(spark, sf_dir)
     return graph.betweenness(graph.vertices_of(n, e), e).select("id", F.round("score", 8).alias("score"))
 
 
 @query()
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, n = edges(spark, sf_dir), nodes(spark, sf_dir)
+    e, n = settled(edges(spark, sf_dir), "edges"), nodes(spark, sf_dir)
     v = graph.vertices_of(n, e)
     return graph.numbered_communities(v, e, graph.communities(v, e))
 
