@@ -85,7 +85,7 @@ class SharedPrefixViterbi:
     models that merging made have one for each.
     """
 
-    def __init__(self, model: PieceModel, most: int = 200_000) -> None:
+    def __init__(self, model: PieceModel, most: int = 120_000) -> None:
         self.model, self.most = model, most
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
