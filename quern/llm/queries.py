@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_blocks, langid, line_dedup, media, mixture, near_dedup, perplexity, pieces, sharding, toxicity
+from . import centroids, divergence, html_blocks, langid, line_dedup, media, mixture, near_dedup, perplexity, pieces, sharding, toxicity
 from .common import held_out, read_table
 
 N_SHARDS = 24
@@ -69,10 +69,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *perplexity.BASE, "base_failed", "kept", "log_ppl", "low", "high")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_html_text, op4_toxicity, op5_sharding, op6_media, op7_mixture, op8_language_id, op9_pieces, op10_quality_rules)}
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight exact centroids of ten rounds over all vectors."""
+    return centroids.centroid_clusters(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of each language against each other, and the terms that stand out in them, over all documents."""
+    return divergence.divergence_audit(read_table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_line_dedup, op2_near_dedup, op3_html_text, op4_toxicity, op5_sharding, op6_media, op7_mixture, op8_language_id, op9_pieces, op10_quality_rules, op12_centroids,
+    op13_divergence,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
     "op1_line_dedup": "WITH " + line_dedup.LINE_SQL.format(docs="documents") + "SELECT doc_id, n_lines, n_removed, text FROM deduped",
     "op2_near_dedup": "WITH RECURSIVE " + near_dedup.NEAR_SQL.format(docs="documents") + "SELECT doc_id, n_shingles, component_id, kept FROM classed",
     "op7_mixture": mixture.MIX_SQL.format(docs="documents", seed=7) + "SELECT doc_id, size, source_size, target, (repeats * size)::BIGINT AS taken, source, repeats::BIGINT AS repeats FROM mixed",
+    "op12_centroids": centroids.cluster_sql(),
+    "op13_divergence": divergence.AUDIT_SQL.format(docs="documents", least=10, top=10),
 }
