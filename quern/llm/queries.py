@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, divergence, html_blocks, langid, line_dedup, media, mixture, near_dedup, perplexity, pieces, sharding, toxicity
+from . import centroids, divergence, html_blocks, langid, line_dedup, media, mixture, near_dedup, perplexity, pieces, sharding, toxicity, url_templates
 from .common import held_out, read_table
 
 N_SHARDS = 24
+#: The rules of op11, as (host, path, block).
+URL_RULES = [("com", "/", False), ("example.com", "/en/", True), ("www.example.com", "/en/", False), ("net", "/es/", True), ("net", "/fr/", True)]
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +71,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *perplexity.BASE, "base_failed", "kept", "log_ppl", "low", "high")
 
 
+def op11_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by the fixed rules, and by the templates of its host where none fits."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, block boolean")
+    found = url_templates.judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return found.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 9).alias("purity"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight exact centroids of ten rounds over all vectors."""
     return centroids.centroid_clusters(read_table(spark, sf_dir, "embeddings"))
@@ -80,8 +89,8 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_line_dedup, op2_near_dedup, op3_html_text, op4_toxicity, op5_sharding, op6_media, op7_mixture, op8_language_id, op9_pieces, op10_quality_rules, op12_centroids,
-    op13_divergence,
+    op1_line_dedup, op2_near_dedup, op3_html_text, op4_toxicity, op5_sharding, op6_media, op7_mixture, op8_language_id, op9_pieces, op10_quality_rules, op11_url_templates,
+    op12_centroids, op13_divergence,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
