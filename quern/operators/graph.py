@@ -355,10 +355,25 @@ def similar_pairs(nodes: DataFrame, *, seeking: DataFrame | None = None, least:
     return rows.where(F.col("score") >= least)
 
 
+def in_order(choices: DataFrame) -> DataFrame:
+    """The rows of ``choices`` (id, other, one for each id) that take effect if ids choose one after the other, and a chosen one no longer chooses.
+
+    A row falls exactly if an earlier row that stands chose its id. So a round settles the rows that no unsettled earlier row points at, and those that one
+    which stands does: the rounds are as many as the longest chain of ids that rise and choose each other, however many chains there are.
+    """
+    open_ = settled(choices, "choices")
+    standing = []
+    while not open_.isEmpty():
+        earlier = open_.where("id < other").select(F.col("other").alias("id")).distinct()
+        firm = settled(open_.join(earlier, "id", "left_anti"), "standing")
+        standing.append(firm)
+        fallen = firm.where("id < other").select(F.col("other").alias("id")).distinct()
+        open_ = settled(open_.join(firm.select("id"), "id", "left_anti").join(fallen, "id", "left_anti"), "choices")
+    return reduce(DataFrame.unionByName, standing) if standing else choices
+
+
 def inferred_edges(nodes: DataFrame, edges: DataFrame, *, least: float = 0.04) -> DataFrame:
-    """Display edges for nodes without any: each to its most similar node. Of two that choose each other one edge stays."""
+    """Display edges for nodes without any: in the order of ids, each that isn't connected yet gets one to its most similar node, the least id on ties, and both are connected from then on."""
     ends = edges.select(F.col("source_id").alias("id")).union(edges.select(F.col("target_id").alias("id")))
-    best = settled(similar_pairs(nodes, seeking=nodes.join(ends, "id", "left_anti"), least=least), "inferred")
-    back = best.select(F.col("other").alias("id"), F.col("id").alias("other"), F.lit(True).alias("mutual"))
-    kept = best.join(back, ["id", "other"], "left").where("mutual IS NULL OR id < other")
-    return kept.select(F.col("id").alias("source_id"), F.lit("similar").alias("relation_type"), F.col("other").alias("target_id"), "score")
+    best = in_order(similar_pairs(nodes, seeking=nodes.join(ends, "id", "left_anti"), least=least))
+    return best.select(F.col("id").alias("source_id"), F.lit("similar").alias("relation_type"), F.col("other").alias("target_id"), "score")

@@ -48,11 +48,11 @@ def route(groups: DataFrame, query: DataFrame, k: int = 3, *, group: str = "work
 BLOCK = 1024
 
 
-def most_similar(queries: DataFrame, vectors: DataFrame, k: int, *, key: str = "id", vector: str = "vector", least: float = -1.0, same_id: bool = False) -> DataFrame:
+def most_similar(queries: DataFrame, vectors: DataFrame, k: int, *, key: str = "id", vector: str = "vector", least: float = -1.0, same_id: bool = False, before: bool = False) -> DataFrame:
     """(key, other, score, rank): the ``k`` vectors of the highest cosine of ``least`` or more for each query, ties by id.
 
     Exact: every query meets every vector, a block of each in a task, which keeps k rows a query; of those the best are taken. Pairs of the same id count only
-    with ``same_id``. Vectors of other dimensions, without length or null are similar to none.
+    with ``same_id``, and with ``before`` those of smaller ids only. Vectors of other dimensions, without length or null are similar to none.
     """
     down, across = (max(1, -(-df.count() // BLOCK)) for df in (queries, vectors))
 
@@ -79,7 +79,7 @@ def most_similar(queries: DataFrame, vectors: DataFrame, k: int, *, key: str = "
                 scores = np.round(x @ y.T, 6)
                 scores[~x_long] = scores[:, ~y_long] = -np.inf
                 for q, row in zip(own["q"], scores, strict=True):
-                    row = row if same_id else np.where(others == q, -np.inf, row)
+                    row = np.where(others >= q, -np.inf, row) if before else row if same_id else np.where(others == q, -np.inf, row)
                     at = np.flatnonzero(row >= least)
                     if len(at) > k:  # all that reach the k-th highest, ties included
                         at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]

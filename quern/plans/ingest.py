@@ -37,7 +37,7 @@ def one_for_each_id(concepts: DataFrame) -> DataFrame:
 def save_with_dedup(engine: Engine, new: DataFrame) -> DataFrame:
     """Save concepts (CONCEPT rows): merge those the store has, create the rest with links to what is similar.
 
-    The batch is one step: its rows are compared with what the store held before, not with each other.
+    Rows of the batch go one after the other in the order of ids: those like one that is created before them merge into it or are linked to it.
     Returns (id, action, target, links).
     """
     new = settled(one_for_each_id(new), "new-concepts")
@@ -45,9 +45,9 @@ def save_with_dedup(engine: Engine, new: DataFrame) -> DataFrame:
     actions = settled(distill.dedup_actions(concept_vectors(new), concept_vectors(known)), "actions")
     chosen = new.join(actions, "id")
     merging = chosen.where("target IS NOT NULL").withColumn("id", F.col("target")).select(*[f.name for f in CONCEPT.fields])
-    merged = snapshots.merge_concepts(known.join(merging.select("id").distinct(), "id", "left_semi"), one_for_each_id(merging))
     created = chosen.where("target IS NULL").select(*[f.name for f in CONCEPT.fields])
-    engine.save_concepts(merged.unionByName(created))
+    base = known.join(merging.select("id").distinct(), "id", "left_semi").unionByName(created)
+    engine.save_concepts(settled(snapshots.merge_concepts(base, one_for_each_id(merging)), "saved-concepts"))
     links = actions.select(F.col("id").alias("source_id"), F.explode("links").alias("target_id")).select("source_id", F.lit("related_to").alias("relation_type"), "target_id", F.lit("similar content").alias("reason"))
     engine.add_edges(links)
     return actions

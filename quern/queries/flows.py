@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.embed import l2_normalize
 from ..operators import crawl, distill, vector
 from ..sources.readers import parse_pages
 from .model import VECTORS, concepts, table, vectors
 from .registry import query
 
+
 @query(f"""WITH {VECTORS}, s AS (SELECT a.concept_id, b.concept_id AS neighbour, round(list_cosine_similarity(a.vector, b.vector), 6) AS score FROM vectors a JOIN vectors b ON a.concept_id <> b.concept_id WHERE a.concept_id % 100 = 0)
 SELECT concept_id, neighbour, score, row_number() OVER (PARTITION BY concept_id ORDER BY score DESC, neighbour)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY concept_id ORDER BY score DESC, neighbour) <= 3""")
 def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,10 +34,25 @@ def cross_page_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distill.page_references(links.withColumn("source", F.col("source").cast("string")), ids)
 
 
-@query()
+#: Similar pairs, then a fold over the new concepts in the order of their ids, which carries those created so far and the decisions.
+_DEDUP = """v AS (SELECT vec_id::VARCHAR AS id, 'concept' || label AS name, embedding::DOUBLE[] AS vector, embedding[1] > 0 AS fresh FROM embeddings),
+pairs AS (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.vector, b.vector), 6) AS score, b.fresh AS fresh, contains(a.name, b.name) OR contains(b.name, a.name) AS fits
+  FROM v a JOIN v b ON a.fresh AND (NOT b.fresh OR b.id < a.id) WHERE round(list_cosine_similarity(a.vector, b.vector), 6) >= 0.55),
+turns AS (SELECT v.id, list({'other': other, 'score': score, 'fresh': pairs.fresh, 'fits': fits} ORDER BY score DESC, other) FILTER (other IS NOT NULL) AS near FROM v LEFT JOIN pairs ON pairs.id = v.id WHERE v.fresh GROUP BY v.id),
+steps AS (SELECT list({'id': id, 'near': coalesce(near, []), 'made': []::VARCHAR[], 'done': []::STRUCT(id VARCHAR, action VARCHAR, target VARCHAR, links VARCHAR)[]} ORDER BY id) AS s FROM turns),
+blank AS (SELECT list_concat([{'id': '', 'near': s[1].near[:0], 'made': []::VARCHAR[], 'done': []::STRUCT(id VARCHAR, action VARCHAR, target VARCHAR, links VARCHAR)[]}], s) AS s FROM steps),
+seen AS (SELECT list_reduce(s, lambda a, x: {'id': x.id, 'near': list_filter(x.near, lambda n: NOT n.fresh OR list_contains(a.made, n.other))[:3],
+  'made': CASE WHEN len(list_filter(list_filter(x.near, lambda n: NOT n.fresh OR list_contains(a.made, n.other))[:1], lambda n: n.score >= 0.95 OR (n.score >= 0.9 AND n.fits))) = 0 THEN a.made || [x.id] ELSE a.made END,
+  'done': a.done || [{'id': x.id, 'action': CASE WHEN len(list_filter(list_filter(x.near, lambda n: NOT n.fresh OR list_contains(a.made, n.other))[:1], lambda n: n.score >= 0.95 OR (n.score >= 0.9 AND n.fits))) = 1 THEN 'merge_similar'
+      WHEN len(list_filter(x.near, lambda n: NOT n.fresh OR list_contains(a.made, n.other))) > 0 THEN 'create_linked' ELSE 'create' END,
+    'target': list_transform(list_filter(x.near, lambda n: NOT n.fresh OR list_contains(a.made, n.other))[:1], lambda n: n.other)[1],
+    'links': array_to_string(list_transform(list_filter(x.near, lambda n: NOT n.fresh OR list_contains(a.made, n.other))[:3], lambda n: n.other), ',')}]}) AS last FROM blank)"""
+
+
+@query(f"WITH {_DEDUP} SELECT d.id, d.action, CASE WHEN d.action = 'merge_similar' THEN d.target END AS target, CASE WHEN d.action = 'merge_similar' THEN '' ELSE d.links END AS links FROM (SELECT unnest(last.done) AS d FROM seen)")
 def dedup_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What becomes of the concepts whose vector points one way in its first place, beside those of the other way."""
-    v = vectors(spark, sf_dir).select(F.col("concept_id").cast("string").alias("id"), F.concat(F.lit("concept "), "workspace_id").alias("name"), l2_normalize(F.col("vector")).alias("vector"), "workspace_id")
+    """What becomes of the concepts whose vector points one way in its first place, beside those of the other way and those created before them."""
+    v = vectors(spark, sf_dir).select(F.col("concept_id").cast("string").alias("id"), F.concat(F.lit("concept "), "workspace_id").alias("name"), F.col("vector").cast("array<double>").alias("vector"))
     found = distill.dedup_actions(v.where("vector[0] > 0"), v.where("NOT vector[0] > 0"))
     return found.select("id", "action", "target", F.array_join("links", ",").alias("links"))
 

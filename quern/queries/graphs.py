@@ -179,8 +179,9 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.similar_pairs(texts, seeking=texts.where(F.expr("CAST(substring(id, 2) AS bigint) % 100 = 0"))).select("id", "other", "score")
 
 
-@query(f"""WITH {_SETS.replace('sim AS', 'seeking AS (SELECT id FROM sets WHERE id NOT IN (SELECT source_id FROM edges) AND id NOT IN (SELECT target_id FROM edges)), sim AS')}
-SELECT a.id AS source_id, 'similar' AS relation_type, a.other AS target_id, a.score FROM best a WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.id = a.other AND b.other = a.id) OR a.id < a.other""")
+@query(f"""WITH {_SETS.replace('sim AS', 'seeking AS (SELECT id FROM sets WHERE id NOT IN (SELECT source_id FROM edges) AND id NOT IN (SELECT target_id FROM edges)), sim AS')},
+turns AS (SELECT list_reduce(list({{'stands': [id], 'taken': [other]}} ORDER BY id), lambda done, x: CASE WHEN list_contains(done.taken, x.stands[1]) THEN done ELSE {{'stands': done.stands || x.stands, 'taken': done.taken || x.taken}} END) AS done FROM best)
+SELECT id AS source_id, 'similar' AS relation_type, other AS target_id, score FROM best WHERE list_contains((SELECT done.stands FROM turns), id)""")
 def inferred_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts without any relation in bulk orders, each with the most similar of all parts."""
+    """The parts without any relation in bulk orders, one after the other tied to the most similar of all parts (the SQL folds over the list of them)."""
     return graph.inferred_edges(_part_texts(spark, sf_dir), bulk_edges(spark, sf_dir))

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -276,6 +277,60 @@ def test_dedup_actions(spark):
     assert got["n2"][0] == "merge_similar"
 
 
+def folded(new, known, merge=0.90, sure=0.95, link=0.55, top=3):
+    """Concepts (id, name, vector) one after the other, beside the known ones and those created so far."""
+
+    def cosine(a, b):
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 6)
+
+    store, out = {i: (n, v) for i, n, v in known}, {}
+    for i, name, v in sorted(new):
+        if any(i == k for k, _, _ in known):
+            out[i] = ("merge_same_id", i, [])
+            continue
+        best = sorted((-s, o) for o, (_, w) in store.items() if (s := cosine(v, w)) >= link)[:top]
+        bare = [re.sub(r"\W+", "", n.lower()) for n in (name, store[best[0][1]][0])] if best else ["", ""]
+        if best and (-best[0][0] >= sure or (-best[0][0] >= merge and all(bare) and (bare[0] in bare[1] or bare[1] in bare[0]))):
+            out[i] = ("merge_similar", best[0][1], [])
+        else:
+            out[i] = ("create_linked" if best else "create", None, [o for _, o in best])
+            store[i] = (name, v)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_batch_is_deduplicated_in_order(spark, seed):
+    """Groups of near copies, chains whose ends differ, equal rows and known concepts: as one after the other would go."""
+    rng = random.Random(seed)
+
+    def moved(v, by):
+        return [x + rng.gauss(0, by) for x in v]
+
+    rows = []
+    for g in range(6):
+        v = [rng.gauss(0, 1) for _ in range(12)]
+        rows += [(f"{rng.randint(0, 99):02}g{g}{k}", f"group {g}", moved(v, 0.13)) for k in range(8)]
+        for k in range(12):  # each is like the one before it
+            v = moved(v, 0.25)
+            rows.append((f"c{g}{k:02}", f"chain {g}", v))
+        rows += [(f"e{g}{k}", "equal", [*v]) for k in range(5)]
+    known = [(i.replace("g", "k"), n, moved(v, 0.1)) for i, n, v in rows[::9]] + [("same", "same", [1.0] * 12)]
+    rows.append(("same", "other", [0.5] + [0.0] * 11))
+    schema = "id string, name string, vector array<double>"
+    got = distill.dedup_actions(spark.createDataFrame(rows, schema), spark.createDataFrame(known, schema)).collect()
+    assert len(got) == len(rows) and {r["id"]: (r["action"], r["target"], r["links"]) for r in got} == folded(rows, known)
+
+
+def test_equal_new_concepts_of_a_batch_become_one(spark, tmp_path):
+    from quern.plans import ingest as plan
+
+    e = Engine(spark, str(tmp_path / "store"))
+    batch = [concept(i, "Paged attention", tags=["gpu"], summary="memory pages for attention", sources=[f"s{i}"]) for i in ("a", "b", "c")]
+    got = {r["id"]: r["target"] for r in plan.save_with_dedup(e, spark.createDataFrame(batch, CONCEPT)).collect()}
+    assert got == {"a": None, "b": "a", "c": "a"}
+    assert [(r["id"], sorted(r["sources"])) for r in e.concepts().collect()] == [("a", ["sa", "sb", "sc"])]
+
+
 def test_streaming(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"title": f"Topic {i}", "text": "A long enough line.\n**Alpha Beta** is here.", "source": f"http://x/{i}"}) for i in range(3)))
