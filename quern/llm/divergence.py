@@ -132,7 +132,7 @@ def gap(p: Column, q: Column) -> Column:
 
 
 #: Sources and ordinals of a block when sources are compared.
-BLOCK_SOURCES, BLOCK_TERMS = 64, 1 << 15
+BLOCK_SOURCES, BLOCK_TERMS = 64, 1 << 12
 
 
 def pair_values(counts: DataFrame, groups: DataFrame) -> DataFrame:
