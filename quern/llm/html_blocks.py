@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import pickle
 import re
 import zlib
@@ -24,15 +25,43 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page: code, controls, and what stands in for media. Of those without an end tag the content stays.
 SILENT = frozenset("script style noscript template title textarea select option button iframe svg canvas audio video".split())
-#: Start tags that end an open paragraph, list item or cell of the same kind.
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Start tags that end open elements of the named kinds, and all inside, up to the innermost element of the other names; every block's start ends an open paragraph so.
 _SCOPES = frozenset("ul ol dl table div article section body td th main aside nav header footer form blockquote button select object svg".split())
+_ROWS = frozenset({"table"})
+_CLOSES: dict[str, tuple[frozenset[str], frozenset[str]]] = {
+    "li": (frozenset({"li"}), _SCOPES), "dt": (frozenset({"dt", "dd"}), _SCOPES), "dd": (frozenset({"dt", "dd"}), _SCOPES),
+    "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})), "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})), "tr": (frozenset({"tr"}), _ROWS),
+    "tbody": (frozenset({"thead", "tbody", "tfoot", "tr"}), _ROWS), "thead": (frozenset({"thead", "tbody", "tfoot", "tr"}), _ROWS), "tfoot": (frozenset({"thead", "tbody", "tfoot", "tr"}), _ROWS),
+    "option": (frozenset({"option"}), frozenset({"select"})), "optgroup": (frozenset({"option", "optgroup"}), frozenset({"select"})),
+}
+_PARAGRAPH = (frozenset({"p"}), _SCOPES)
+
+
+class Element:
+    """An open element by its names (its tag, then words of its class, id and role), with the one around it: paths share what they have in common."""
+
+    __slots__ = ("names", "around", "depth", "known", "label")
+
+    def __init__(self, names: str, around: Element | None = None) -> None:
+        self.names, self.around = names, around
+        self.depth = 1 if around is None else around.depth + 1
+        places, label = _telling(names)
+        #: The known names of the element and all around it, as bits, and what the innermost telling one says: 1 main, 0 other.
+        self.known = places if around is None else places | around.known
+        self.label = label if label is not None or around is None else around.label
+
+
+def nested(*names: str, inside: Element | None = None) -> Element | None:
+    """The innermost of elements, outermost first."""
+    for n in names:
+        inside = Element(n, inside)
+    return inside
 
 
 @dataclass
 class Block:
     text: str
-    path: list[str]  # of each open element, outermost first: its tag, then words of its class, id and role
+    path: Element | None  # the innermost open element
     linked: float  # share of characters inside links
 
 
@@ -42,21 +71,31 @@ class Silence:
 
     around: Silence | None
     ended: bool = False
+    known: bool | None = None
 
     def holds(self) -> bool:
-        return self.ended or self.around is not None and self.around.holds()
+        """Whether it or one around it was ended; asked once the page is read, and kept for all on the way."""
+        asked, at = [], self
+        while at is not None and at.known is None and not at.ended:
+            asked.append(at)
+            at = at.around
+        answer = at is not None and (at.ended or bool(at.known))
+        for s in asked:
+            s.known = answer
+        return answer
 
 
 class _Leaves(HTMLParser):
-    """Splits a page into leaf blocks: runs of text that no block element's start or end interrupts."""
+    """Splits a page into leaf blocks: runs of text that no block element's start or end interrupts. A tag costs a look at the places of few names, however many are open."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, Silence | None]] = []
-        self.runs: list[tuple[list[tuple[str, Silence | None, bool]], list[str]]] = []
+        self.open: list[tuple[str, Element, Silence | None]] = []
+        self.places: dict[str, list[int]] = {}
+        self.runs: list[tuple[list[tuple[str, Silence | None, bool]], Element | None]] = []
         self.parts: list[tuple[str, Silence | None, bool]] = []
-        self.path: list[str] = []
-        self.begun = self.links = 0
+        self.path: Element | None = None
+        self.begun = 0
         self.silence: Silence | None = None
 
     def flush(self) -> None:
@@ -71,25 +110,34 @@ class _Leaves(HTMLParser):
             if text:
                 yield Block(text, path, min(1.0, sum(len(data.strip()) for data, linked in stay if linked) / len(text)))
 
+    def last(self, tags: frozenset[str]) -> int:
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=-1)
+
     def pop(self, at: int) -> None:
         for tag, _, silence in reversed(self.open[at:]):
-            self.links -= tag == "a"
+            self.places[tag].pop()
             if silence is not None:
                 self.silence = silence.around
         del self.open[at:]
 
+    def close_open(self, ends: frozenset[str], scope: frozenset[str]) -> None:
+        """End the outermost open element of ``ends`` that stands inside the innermost one of ``scope`` (or is it), and all in it."""
+        inside = self.last(scope - ends)
+        found = [at[k] for t in ends if (at := self.places.get(t)) and (k := bisect.bisect_right(at, inside)) < len(at)]
+        if found:
+            for _, _, silence in self.open[min(found) :]:
+                if silence is not None and self.open[min(found)][0] == "option":
+                    silence.ended = True
+            self.pop(min(found))
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.flush()
-            ends = _CLOSES.get(tag, set()) | {"p"}
-            for at in range(len(self.open) - 1, -1, -1):
-                if self.open[at][0] in ends:
-                    self.pop(at)
-                    break
-                if self.open[at][0] in _SCOPES:
-                    break
+            self.close_open(*_PARAGRAPH)
         elif tag == "br":
             self.parts.append((" ", self.silence, False))
+        if tag in _CLOSES:
+            self.close_open(*_CLOSES[tag])
         if tag in VOID:
             return
         named = " ".join(v.lower() for k, v in attrs if k in ("class", "id", "role", "aria-label", "itemprop") and v)
@@ -97,8 +145,9 @@ class _Leaves(HTMLParser):
         silence = None
         if tag in SILENT:
             silence = self.silence = Silence(self.silence)
-        self.open.append((tag, " ".join([tag, *(["hidden"] if hidden else []), *_TOKENS.findall(named)]), silence))
-        self.links += tag == "a"
+        self.places.setdefault(tag, []).append(len(self.open))
+        names = " ".join([tag, *(["hidden"] if hidden else []), *_TOKENS.findall(named)])
+        self.open.append((tag, Element(names, self.open[-1][1] if self.open else None), silence))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -108,12 +157,10 @@ class _Leaves(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                if self.open[at][2] is not None:
-                    self.open[at][2].ended = True
-                self.pop(at)
-                break
+        if at := self.places.get(tag):
+            if self.open[at[-1]][2] is not None:
+                self.open[at[-1]][2].ended = True
+            self.pop(at[-1])
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """A marked section of unknown name is a comment up to the next '>', and the page goes on."""
@@ -126,8 +173,8 @@ class _Leaves(HTMLParser):
         # A block's path is that of its first text, of its first outside of silent elements if there is any.
         state = 1 if self.silence is not None else 2
         if self.begun < state and not data.isspace():
-            self.path, self.begun = [x for _, x, _ in self.open], state
-        self.parts.append((data, self.silence, self.links > 0))
+            self.path, self.begun = self.open[-1][1] if self.open else None, state
+        self.parts.append((data, self.silence, bool(self.places.get("a"))))
 
 
 def leaf_blocks(html: str | None) -> list[Block]:
@@ -153,6 +200,8 @@ OTHER_NAMES = frozenset(
     "search comment comments reply replies discussion disqus social share sharing related recommended breadcrumb breadcrumbs pagination pager toolbar widget copyright legal hidden navigation contentinfo complementary".split()
 )
 PATH_DIM, WORD_DIM, PLAIN_DIM = 96, 32, 10
+#: Elements around a block whose other names count.
+INNERMOST = 24
 
 
 @lru_cache(1 << 18)
@@ -160,6 +209,22 @@ def _bucket(token: str, dim: int) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) % dim
 
 
+_NAMED = {t: i for i, t in enumerate(sorted(MAIN_NAMES | OTHER_NAMES | {"h1", "h2", "p", "li", "a", "td", "pre", "blockquote"}))}
+
+
+@lru_cache(1 << 16)
+def _telling(element: str) -> tuple[int, int | None]:
+    """An element's known names as bits, and 1 main or 0 other if it has a telling name; boilerplate names win."""
+    tokens = set(element.split())
+    label = 0 if tokens & OTHER_NAMES else 1 if tokens & (MAIN_NAMES - {"body", "text"}) or "body" in tokens - {element.split()[0]} else None
+    return sum(1 << _NAMED[t] for t in tokens if t in _NAMED), label
+
+
+@lru_cache(1 << 16)
+def _places(bits: int) -> list[int]:
+    return [k for k in range(len(_NAMED)) if bits >> k & 1]
+
+
 @lru_cache(1 << 16)
 def _named_places(element: str) -> tuple[tuple[int, bool], ...]:
     """Places of an element's names: one each for names that are known from training, buckets for the rest."""
@@ -172,18 +237,27 @@ def block_vectors(blocks: list[Block], first: int = 0, among: int | None = None)
     out = np.zeros((len(blocks), PATH_DIM + WORD_DIM + PLAIN_DIM), np.float32)
     rows, places, values, plain = [], [], [], []
     for i, b in enumerate(blocks):
-        for depth, element in enumerate(reversed(b.path)):
-            for place, known in _named_places(element):
+        element = b.path
+        for depth in range(INNERMOST):
+            if element is None:
+                break
+            for place, known in _named_places(element.names):
                 rows.append(i)
                 places.append(place)
                 values.append(1.0 if known else 0.3 / (1 + depth))
+            element = element.around
+        if element is not None:  # further out, known names count as much
+            far = _places(element.known)
+            rows += [i] * len(far)
+            places += far
+            values += [1.0] * len(far)
         words = b.text.lower().split()
         counts = np.bincount([_bucket(w, WORD_DIM) for w in words], minlength=WORD_DIM)
         out[i, PATH_DIM : PATH_DIM + WORD_DIM] = counts / max(1.0, float(np.sqrt(counts @ counts)))
         n, at = len(b.text), (first + i + 0.5) / among
         plain.append(
             (min(np.log1p(len(words)) / 5, 2), b.linked, at, (at - 0.5) ** 2 * 4, b.text[-1] in ".!?…。", sum(b.text.count(c) for c in ",;.") / (n + 1) * 10,
-             sum(map(str.isupper, b.text)) / n, len(words) <= 3, any(c in b.text for c in "©|·»"), len(b.path) / 10)
+             sum(map(str.isupper, b.text)) / n, len(words) <= 3, any(c in b.text for c in "©|·»"), min(b.path.depth if b.path else 0, INNERMOST) / 10)
         )
     if blocks:
         out[rows, places] = values
@@ -191,18 +265,9 @@ def block_vectors(blocks: list[Block], first: int = 0, among: int | None = None)
     return out
 
 
-_NAMED = {t: i for i, t in enumerate(sorted(MAIN_NAMES | OTHER_NAMES | {"h1", "h2", "p", "li", "a", "td", "pre", "blockquote"}))}
-
-
 def marked(block: Block) -> int | None:
     """1 main, 0 other, by the innermost element with a telling name; boilerplate names win within one element."""
-    for element in reversed(block.path):
-        tokens = set(element.split())
-        if tokens & OTHER_NAMES:
-            return 0
-        if tokens & (MAIN_NAMES - {"body", "text"}) or "body" in tokens - {element.split()[0]}:
-            return 1
-    return None
+    return block.path.label if block.path else None
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -246,25 +311,31 @@ class BlockLabeller:
         """Of each page's blocks to be main text. Features of ``span`` steps at a time, so a page of any length needs little beside its blocks."""
         h, w = self.hidden, {k: v.astype(np.float32) for k, v in self.weights.items()}
         lengths = np.array([len(p) for p in pages])
-        steps = int(lengths.max())
+        steps, shortest = int(lengths.max()), int(lengths.min())
         odds = np.full((steps, len(pages)), w["d"][0], np.float32)
         whole = [block_vectors(p) for p in pages] if steps <= span else None
+        twice = np.repeat(np.array([1, 1, 1, 2], np.float32), h)  # tanh(x) is 2 sigmoid(2 x) - 1, so all gates are one sigmoid
         for way, part in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
             state = cell = np.zeros((len(pages), h), np.float32)
+            w_in, w_on, bias = w[f"x{way}"] * twice, w[f"h{way}"] * twice, w[f"c{way}"] * twice
             starts = range(0, steps, span)
             for lo in starts if way == "f" else reversed(starts):
                 hi = min(lo + span, steps)
                 x = np.zeros((hi - lo, len(pages), 4 * h), np.float32)
                 for k, page in enumerate(pages):
                     own = whole[k] if whole else block_vectors(page[lo:hi], lo, len(page))
-                    x[: len(own), k] = own @ w[f"x{way}"] + w[f"c{way}"]
+                    x[: len(own), k] = own @ w_in + bias
+                states = np.empty((hi - lo, len(pages), h), np.float32)
                 for t in range(hi - lo) if way == "f" else range(hi - lo - 1, -1, -1):
-                    z = x[t] + state @ w[f"h{way}"]
-                    gates, fresh = _sigmoid(z[:, : 3 * h]), np.tanh(z[:, 3 * h :])
-                    there = (lo + t < lengths)[:, None]
-                    new = gates[:, h : 2 * h] * cell + gates[:, :h] * fresh
-                    state, cell = np.where(there, gates[:, 2 * h :] * np.tanh(new), state), np.where(there, new, cell)
-                    odds[lo + t] += state @ w["o"][part]
+                    gates = 1 / (1 + np.exp(np.minimum(-(x[t] + state @ w_on), 60)))
+                    new = gates[:, h : 2 * h] * cell + gates[:, :h] * (2 * gates[:, 3 * h :] - 1)
+                    out = gates[:, 2 * h : 3 * h] * np.tanh(new)
+                    if lo + t >= shortest:  # pages that have ended keep their state
+                        there = (lo + t < lengths)[:, None]
+                        out, new = np.where(there, out, state), np.where(there, new, cell)
+                    state, cell = out, new
+                    states[t] = state
+                odds[lo:hi] += states @ w["o"][part]
         return [_sigmoid(odds[:n, k]) for k, n in enumerate(lengths)]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -322,11 +393,11 @@ def training_pages(pages: list[str | None], rng: np.random.Generator, variants:
 
     def other(long: bool, inside: tuple[str, ...] = ()) -> list[Block]:
         kinds = _LONG_OTHER if long else _OTHER_PATHS
-        path = ["html", "body", *inside, kinds[rng.integers(len(kinds))]]
+        path = nested("html", "body", *inside, kinds[rng.integers(len(kinds))])
         source = mains if long and mains else others or mains
         picked = [source[rng.integers(len(source))] for _ in range(rng.integers(1, 5))]
         leaf = [[], ["p"], ["ul", "li"], ["div"]][rng.integers(4)]
-        return [Block(b.text, path + leaf, b.linked if not long else 0.0) for b in picked]
+        return [Block(b.text, nested(*leaf, inside=path), b.linked if not long else 0.0) for b in picked]
 
     if mains:
         for blocks, labels in own * variants:
@@ -338,16 +409,17 @@ def training_pages(pages: list[str | None], rng: np.random.Generator, variants:
             for _ in range(rng.integers(1, 4)):
                 made += [(b, 0) for b in other(rng.random() < 0.2)]
             for b in body:
-                own_leaf = b.path[-1].split()[0] if b.path and b.path[-1].split()[0] not in ("article", "main", "div", "section") else "p"
+                tag = b.path.names.split()[0] if b.path else "p"
+                own_leaf = "p" if tag in ("article", "main", "div", "section") else tag
                 leaf = [own_leaf] if rng.random() < 0.6 else list(_MAIN_LEAVES[rng.integers(len(_MAIN_LEAVES))])
-                made.append((Block(b.text, ["html", "body", *container, *leaf], b.linked), 1))
+                made.append((Block(b.text, nested("html", "body", *container, *leaf), b.linked), 1))
                 if rng.random() < 0.25:  # a heading or a list of short items, inside the article
                     short = list(_MAIN_LEAVES[rng.integers(len(_MAIN_LEAVES))])
                     for _ in range(rng.integers(1, 5) if short[-1] in ("li", "td", "dd") else 1):
                         words = mains[rng.integers(len(mains))].text.split()
                         begin = rng.integers(len(words))
                         cut = " ".join(words[begin : begin + rng.integers(2, 12)])
-                        made.append((Block(cut, ["html", "body", *container, *short], 0.0), 1))
+                        made.append((Block(cut, nested("html", "body", *container, *short), 0.0), 1))
                 if rng.random() < 0.12:
                     made += [(o, 0) for o in other(rng.random() < 0.5, tuple(container))]
             for _ in range(rng.integers(1, 5)):

@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -117,6 +118,31 @@ def test_nothing_but_silent_elements_is_dropped():
     assert texts("&#" + "9" * 5000 + ";<p>b &#233; &amp;</p>") == ["\ufffd", "b é &"]
 
 
+def test_end_tags_may_be_left_out():
+    """Options, rows and cells end where the next one starts, and what they hold is as deep as if they were ended."""
+    assert texts("<p>a <select>" + "<option>no" * 5000 + "</select> b</p>") == ["a b"]
+    assert texts("<select><optgroup><option>x<optgroup><option>y</select><p>z") == ["z"]
+    rows = leaf_blocks("<table><tbody>" + "<tr><td>one<p>two<td>three" * 500 + "<tbody><tr><td><table><tr><td>inner<tr><td>more</table>after</table>last")
+    assert [b.text for b in rows[-4:]] == ["inner", "more", "after", "last"] and len(rows) == 1504
+    assert {b.path.depth for b in rows[:1500]} == {4, 5} and rows[-1].path is None
+    items = leaf_blocks("<ul>" + "<li><p>one" * 100 + "</ul>")
+    assert len(items) == 100 and {b.path.depth for b in items} == {3}
+
+
+def test_what_is_left_open_costs_time_and_memory_in_proportion(spark):
+    """Valid and faulty pages of a hundred thousand open elements, beside normal ones, on Spark; and telling names count however far out they stand."""
+    deep = '<div class="footer">' + "<div>" * 200 + "away</div>"
+    odd = ["<select>" + "<option>x" * 100_000, "<div>x" * 30_000, "<table>" + "<tr><td>a<td>b" * 20_000, "<button>x" * 50_000, "<p><div>" + "<b>" * 30_000 + "<hr>x" * 5_000, "<span>" * 100_000]
+    assert leaf_blocks(deep)[0].path.label == 0
+    began = time.time()
+    blocks = [leaf_blocks(h) for h in odd]
+    assert time.time() - began < 60 and [len(b) for b in blocks] == [1, 30_000, 40_000, 1, 5_000, 0]
+    pages = [PAGE.format(tag="article", end="article", n=n) for n in range(30)]
+    df = spark.createDataFrame(list(enumerate([*pages, *odd])), "page_id long, html string")
+    got = {r["page_id"]: r["text"] for r in extract_main_text(df, fit(pages, rounds=5)).collect()}
+    assert len(got) == 36 and all(got[n].startswith(f"The {n} story") for n in range(30))
+
+
 def test_any_bytes_are_read_to_their_end():
     rng = random.Random(5)
     bits = ["<", ">", "</", "<!", "<![", "]]>", "<!--", "-->", "<p", "<p>", "</p>", "<button>", "</button>", "<svg>", "</svg>", "<a href='", "'", '"', "&", "&#", "&#x", ";", "text", " ", "<?", "<!doctype ", "/", "=", "\x00", "[", "é", "<title>", "</div>", "<li>"]
