@@ -118,6 +118,32 @@ def test_one_id_and_equal_rows_fill_no_bucket(documents, monkeypatch):
         assert sorted((r["shard"], r["slot"], r["text"]) for r in got) == sorted((r["shard"], r["slot"], r["text"]) for r in again)
 
 
+def test_buckets_are_bounded_by_bytes(documents):
+    """Equal rows too few to be many, but large together, are dealt out; a text larger than a bucket is alone in one."""
+    rows = [(1, "same " * 1000)] * 300 + [(k, f"text {k}") for k in range(300)] + [(-1, "huge " * 100_000), (-2, "vast " * 200_000)]
+    placed, _, _ = sharding.scattered(documents(rows), text="text", bucket_bytes=100_000, seed=11)
+    buckets: dict[int, list[int]] = {}
+    for r in placed.collect():
+        buckets.setdefault(r["__bucket"], []).append(len(r["text"]))
+    assert max(sum(b) for b in buckets.values() if len(b) > 1) < 250_000
+    assert sorted(b for b in buckets.values() if max(b) > 50_000) == [[500_000], [1_000_000]]
+
+
+def test_several_buckets_by_brute_force(documents):
+    """Buckets in the order of their numbers, each its sorted records in the order of the seeded permutation."""
+    rows = [(d, f"text {d}" * (d % 9)) for d in range(300)] + [(7, "text 7" * 7)] * 3 + [(None, None)]
+    buckets: dict[int, list[tuple]] = {}
+    for r in sharding.scattered(documents(rows), text="text", bucket_bytes=1500, seed=11)[0].collect():
+        buckets.setdefault(r["__bucket"], []).append((r["doc_id"], r["text"], r["__row"], r["__copy"]))
+    assert len(buckets) > 5
+    want = []
+    for b in sorted(buckets):
+        own = sorted(buckets[b], key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "", r[2], r[3]))
+        want += [own[k][:2] for k in sharding.fisher_yates(len(own), 11, b)]
+    got = sharding.external_shuffle(documents(rows), 24, bucket_bytes=1500).collect()
+    assert [(r["doc_id"], r["text"]) for r in sorted(got, key=lambda r: r["slot"] * 24 + r["shard"])] == want
+
+
 def test_written_shards_hold_every_row_once(documents, spark, tmp_path):
     rows = [(d, f"text {d}") for d in range(300)] + [(5, "text 5"), (None, None)]
     sharding.write_shards(sharding.external_shuffle(documents(rows), 4, bucket_bytes=600), f"file://{tmp_path}/out")
