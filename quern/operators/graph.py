@@ -129,6 +129,53 @@ def pagerank(vertices: DataFrame, edges: DataFrame, seeds: DataFrame | None = No
     return ranks.join(F.broadcast(whole)).select("id", (F.col("rank") / F.col("whole")).alias("rank"))  # one row
 
 
+def linked(edges: DataFrame) -> DataFrame:
+    """(a, b, degree, b_degree): the undirected links with the degrees of both ends; what ``push_ranks`` reads."""
+    pairs = settled(undirected(edges), "pairs")
+    degree = pairs.groupBy("a").agg(F.count("*").cast("int").alias("degree"))
+    return pairs.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("degree").alias("b_degree")), "b").select("a", "b", "degree", "b_degree")
+
+
+def push_ranks(links: DataFrame, seeds: DataFrame, *, alpha: float = 0.85, error: float = 1e-5) -> DataFrame:
+    """(id, rank): personalised PageRank around ``seeds`` (id, weight), by pushing residues on from the seeds; ranks above 0 only.
+
+    ``links`` is ``linked(edges)``. A rank is at most ``error`` times the node's degree (1 for nodes without links) below the exact one, and never above. A node keeps
+    1 - alpha of its residue and passes the rest to its neighbours, as long as it holds ``error`` for each link or more. Residues add up to 1 at most, so at most
+    ``1 / ((1 - alpha) * error)`` links are ever fetched, however large the graph is: the links of the nodes that push for the first time, a
+    query for each step away from the seeds, which keeps links where they are. Negative weights count as 0; without a positive one there are no ranks.
+    """
+    spark = links.sparkSession
+    given: dict[str, float] = {}
+    for r in seeds.select("id", "weight").collect():  # the seeds of a search
+        given[r["id"]] = given.get(r["id"], 0.0) + max(r["weight"] or 0.0, 0.0)
+    total = sum(given.values())
+    start = {k: w / total for k, w in given.items() if w > 0} if total else {}
+    ranks: dict[str, float] = {}
+    residue: dict[str, float] = dict(start)
+    near: dict[str, list[str]] = {}
+    degrees = {r["a"]: r["degree"] for r in _links_of(links, list(start)).select("a", "degree").distinct().collect()} if start else {}
+    while True:
+        push = [u for u, r in residue.items() if r >= error * max(degrees.get(u, 1), 1)]
+        if not push:
+            break
+        fresh = [u for u in push if u not in near]
+        if fresh:
+            near |= {u: [] for u in fresh}
+            for r in _links_of(links, fresh).orderBy("a", "b").collect():
+                near[r["a"]].append(r["b"])
+                degrees[r["b"]] = r["b_degree"]
+        for u in push:
+            r = residue.pop(u)
+            ranks[u] = ranks.get(u, 0.0) + (1 - alpha) * r
+            for v, part in ((v, alpha * r / len(near[u])) for v in near[u]) if near[u] else ((v, alpha * r * w) for v, w in start.items()):
+                residue[v] = residue.get(v, 0.0) + part
+    return spark.createDataFrame(sorted(ranks.items()), "id string, rank double")
+
+
+def _links_of(links: DataFrame, ids: list[str]) -> DataFrame:
+    return links.join(F.broadcast(links.sparkSession.createDataFrame([(i,) for i in ids], "a string")), "a")  # 1 / error ids at most
+
+
 def hubs(concepts: DataFrame, edges: DataFrame, top_k: int, **kwargs: object) -> DataFrame:
     ranks = pagerank(vertices_of(concepts, edges), edges, **kwargs)
     named = ranks.join(concepts.select("id", "name", "type"), "id", "left").join(degrees(edges).select("id", "degree"), "id", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.embed import embeddings
 from ..functions.text import file_key, workspace_slug
 from ..operators import fusion, graph, keyword, rawsearch, vector
-from ..schema import CONCEPT, EDGE, LENGTH, POSTING, QUERY_LOG, RAW_DOCUMENT, SEARCH_RESULT, VECTOR, WORKSPACE
+from ..schema import BATCH, CONCEPT, EDGE, LENGTH, LINK, POSTING, QUERY_LOG, RAW_DOCUMENT, SEARCH_RESULT, VECTOR, WORKSPACE
 from ..sources import readers, snapshots
 from ..sources.scratch import settled
 from ..sources.snapshots import Table
@@ -70,6 +70,7 @@ class Engine:
         self.tables = {name: Table(spark, f"{path}/{name}", schema) for name, schema in made.items()}
         self.vectors = Table(spark, f"{path}/vectors", VECTOR)
         self.postings, self.lengths = Table(spark, f"{path}/postings", POSTING, sorted_by="term"), Table(spark, f"{path}/lengths", LENGTH)
+        self.links, self.batches = Table(spark, f"{path}/links", LINK, sorted_by="a"), Table(spark, f"{path}/batches", BATCH)
 
     def concepts(self, workspace: str | None = None) -> DataFrame:
         rows, ws = self.tables["concepts"].read(), self.resolve(workspace)
@@ -86,6 +87,15 @@ class Engine:
     def edges(self) -> DataFrame:
         return self.tables["edges"].read()
 
+    def linked(self) -> DataFrame:
+        """The undirected links with their degrees, sorted by their first end: made by the first search after a change of the edges, and kept."""
+        stamp = self.tables["edges"].stamp()
+        kept = self.links.read()
+        if kept.where(F.col("stamp") == stamp).isEmpty():
+            self.links.write(graph.linked(self.edges()).withColumn("stamp", F.lit(stamp)))
+            kept = self.links.read()
+        return kept.drop("stamp")
+
     def raw(self, workspace: str | None = None) -> DataFrame:
         rows, ws = self.tables["raw_documents"].read(), self.resolve(workspace)
         return rows if ws is None else rows.where(F.col("workspace_id") == ws)
@@ -189,12 +199,21 @@ class Engine:
         self.tables["concepts"].write(snapshots.without_members(self.tables["concepts"].read(), gone, "sources"))
 
     def export_graph(self, path: str, workspace: str | None = None) -> None:
-        """Nodes and edges of a workspace (all without one) as JSON lines, a folder each: what a display of the graph reads."""
-        nodes = self.concepts(workspace).select("id", "name", "type", F.coalesce("summary", F.lit("")).alias("summary"), "tags", "workspace")
+        """Nodes and edges of a workspace (all without one) as JSON lines, a folder each: what a display of the graph reads.
+
+        Nodes have the number of their sources, at least 1. Those without any edge there are tied to their most similar node, one after the other in the
+        order of ids; such edges are marked as inferred and shown only.
+        """
+        summary = F.coalesce("summary", F.lit(""))
+        nodes = self.concepts(workspace).select("id", "name", "type", summary.alias("summary"), "tags", "workspace", F.greatest(F.size(F.coalesce("sources", F.array())), F.lit(1)).alias("sources_count"))
+        nodes = settled(nodes, "shown-nodes")
         ids = nodes.select("id")
-        links = snapshots.only_ids(snapshots.only_ids(graph.collapsed_edges(self.edges()), ids, "source_id"), ids, "target_id")
+        links = settled(snapshots.only_ids(snapshots.only_ids(graph.collapsed_edges(self.edges()), ids, "source_id"), ids, "target_id"), "shown-edges")
+        texts = nodes.select("id", F.concat_ws(" ", "name", "summary", F.concat_ws(" ", "tags")).alias("text"))
+        inferred = graph.inferred_edges(texts, links).select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.col("relation_type").alias("type"), F.lit("similar content").alias("reason"), F.lit(True).alias("inferred"))
         nodes.write.mode("overwrite").json(f"{path}/nodes")
-        links.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.col("relation_type").alias("type"), "reason").write.mode("overwrite").json(f"{path}/edges")
+        shown = links.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.col("relation_type").alias("type"), "reason", F.lit(False).alias("inferred"))
+        shown.unionByName(inferred).write.mode("overwrite").json(f"{path}/edges")
 
     def _query_vector(self, query: str) -> DataFrame:
         asked = self.spark.createDataFrame([("q", query.strip())], "id string, text string")
@@ -245,8 +264,8 @@ class Engine:
             if mode in ("graph", "hipporag", "network"):
                 how = "hipporag"
                 seeds = hits.orderBy(F.desc("score"), "concept_id").limit(max(2 * limit, 8)).select(F.col("concept_id").alias("id"), F.greatest("score", F.lit(0.1)).alias("weight"))
-                seeds, edges = settled(seeds, "seeds"), self.edges()
-                ranks = graph.pagerank(graph.vertices_of(self.tables["concepts"].read(), edges), edges, seeds)
+                seeds = settled(seeds, "seeds")
+                ranks = graph.push_ranks(self.linked(), seeds)
                 top = ranks.agg(F.max("rank").alias("top"))
                 scored = ranks.join(F.broadcast(top)).join(seeds, "id", "left").select(F.col("id").alias("concept_id"), fusion.graph_score(F.coalesce("weight", F.lit(0.0)), F.col("rank"), F.col("top")).alias("score"))
                 hits = scored.where("score > 0")

@@ -22,6 +22,8 @@ RAW_DOCUMENT = _struct(id=S, title=S, source_uri=S, content=S, char_count=L, wor
 VECTOR = _struct(concept_id=S, model_name=S, dim=I, vector=T.ArrayType(D), workspace_id=S, updated_at=S)
 POSTING = _struct(id=S, field=S, term=S, positions=T.ArrayType(I))
 LENGTH = _struct(id=S, length=L)
+LINK = _struct(a=S, b=S, degree=I, b_degree=I, stamp=S)
+BATCH = _struct(stream=S, number=L)
 QUERY_LOG = _struct(id=L, timestamp=S, caller=S, action=S, query=S, details_json=S, result_count=I, workspace_id=S)
 SEARCH_RESULT = _struct(concept_id=S, name=S, type=S, summary=S, tags=STRINGS, score=D, matched_by=S, workspace=S)
 PAGE = _struct(title=S, text=S, source=S, source_type=S, links=T.ArrayType(_struct(url=S, text=S)))

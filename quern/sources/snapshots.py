@@ -27,6 +27,14 @@ class Table:
         done = [n for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
         return sorted(int(n[1:]) for n in done)
 
+    def stamp(self) -> str:
+        """Changes with every write and every append."""
+        versions = self._versions()
+        if not versions:
+            return ""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{versions[-1]}")
+        return f"{versions[-1]}-{len(folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder))}"
+
     def read(self) -> DataFrame:
         versions = self._versions()
         if not versions:

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import document_id
-from ..operators.distill import heuristic_concepts
+from ..plans.engine import Engine
+from ..plans.ingest import ingest_pages
 from ..schema import QUERY_LOG
 from ..sources.scratch import settled
-from ..sources.snapshots import Table, upsert
 
 PAGE_STREAM = "title string, text string, source string"
 EVENT = "event string, source string, name string, count long, at timestamp"
@@ -23,42 +22,27 @@ def page_stream(spark: SparkSession, path: str, per_batch: int = 64) -> DataFram
     return spark.readStream.schema(PAGE_STREAM).option("maxFilesPerTrigger", per_batch).json(path)
 
 
-def archived(pages: DataFrame, workspace: str = "default") -> DataFrame:
-    """Pages as raw documents; of pages with the same id in one batch the last title stays."""
-    rows = pages.where(F.col("source").isNotNull()).select(
-        document_id(F.col("source"), F.coalesce("text", F.lit(""))).alias("id"), "title", F.col("source").alias("source_uri"), F.coalesce("text", F.lit("")).alias("content")
-    )
-    last = rows.groupBy("id").agg(F.max(F.struct("title", "source_uri", "content")).alias("x")).select("id", "x.*")
-    return last.select(
-        "id", "title", "source_uri", "content", F.char_length("content").cast("long").alias("char_count"), F.lit(workspace).alias("workspace_id"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("created_at")
-    )
+def start_ingest(pages: DataFrame, engine: Engine, events_path: str, checkpoint: str, *, name: str = "ingest", workspace: str = "default", generate: Callable[[str], str] | None = None) -> StreamingQuery:
+    """Take each micro-batch of pages into the store: archived, distilled, deduplicated against what is known, with vectors, edges, index entries and centroids.
 
-
-def start_ingest(
-    pages: DataFrame, raw: Table, concepts: Table, events_path: str, checkpoint: str, *, workspace: str = "default", extract: Callable[[DataFrame], DataFrame] = heuristic_concepts
-) -> StreamingQuery:
-    """Archive each micro-batch, distil it, and append its events as NDJSON.
-
-    New documents and concepts are appended as files; only a batch that changes known concepts makes a new version of their table. An
-    id is a digest of source and text, so a document that is there already stays, and a batch that runs again adds nothing.
+    Known concepts are merged, so they keep their sources, tags and relations, and what a batch brings can be found by all searches once it is done. The number of a
+    finished batch is kept under the stream's ``name``: a batch that comes again after that is skipped, and one that broke off before is repeated, which gives
+    the same store, since every step is an upsert, a union of lists or an addition of what is absent. Its events are NDJSON files of the batch's own.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        docs = archived(df, workspace).persist()
-        raw.append(settled(docs.join(raw.read().select("id"), "id", "left_anti"), "new-raw"))
-        made = extract(docs)
-        first = made.groupBy("id").agg(F.min_by(F.struct(*made.columns), "name").alias("row")).select("row.*").persist()
-        if first.join(concepts.read().select("id"), "id", "left_semi").isEmpty():
-            concepts.append(first)
-        else:
-            concepts.write(upsert(concepts.read(), first, "id"))
-        crawled = docs.select(F.lit("page_crawled").alias("event"), F.col("source_uri").alias("source"), F.col("title").alias("name"), F.lit(1).cast("long").alias("count"))
-        created = first.select(F.lit("concept_created").alias("event"), F.element_at("sources", -1).alias("source"), "name", F.lit(1).cast("long").alias("count"))
-        done = docs.agg(F.count("*").alias("count")).select(F.lit("completed").alias("event"), F.lit(None).cast("string").alias("source"), F.lit(f"batch {number}").alias("name"), "count")
-        events = crawled.unionByName(created).unionByName(done).withColumn("at", F.current_timestamp())
+        done = engine.batches.read().where((F.col("stream") == name) & (F.col("number") == number))
+        if not done.isEmpty():
+            return
+        given = settled(df.where(F.col("source").isNotNull()), "stream-pages")
+        actions = settled(ingest_pages(engine, given, workspace, generate), "stream-actions")
+        crawled = given.select(F.lit("page_crawled").alias("event"), "source", F.col("title").alias("name"), F.lit(1).cast("long").alias("count"))
+        made = F.when(F.col("target").isNull(), F.lit("concept_created")).otherwise(F.lit("concept_merged"))
+        changed = actions.select(made.alias("event"), F.lit(None).cast("string").alias("source"), F.coalesce("target", "id").alias("name"), F.lit(1).cast("long").alias("count"))
+        finished = given.agg(F.count("*").alias("count")).select(F.lit("completed").alias("event"), F.lit(None).cast("string").alias("source"), F.lit(f"batch {number}").alias("name"), "count")
+        events = crawled.unionByName(changed).unionByName(finished).withColumn("at", F.current_timestamp())
         events.write.mode("overwrite").json(f"{events_path}/batch={number}")
-        docs.unpersist()
-        first.unpersist()
+        engine.batches.append(engine.spark.createDataFrame([(name, number)], "stream string, number long"))
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -103,6 +103,11 @@ def test_index_export_and_lookups(spark, tmp_path):
     assert e.concept("A b").first()["name"] == "Alpha Beta" and "Alpha Beta" in e.markdown("a_b").first()["markdown"] and e.raw_text("none") == ""
     e.export_graph(f"file://{tmp_path}/graph")
     assert spark.read.json(f"file://{tmp_path}/graph/nodes").count() == 2 and spark.read.json(f"file://{tmp_path}/graph/edges").first()["type"] == "last"
+    e.save_concepts(spark.createDataFrame([concept("d", "Gamma rays", summary="gpu memory", sources=["x", "y"])], CONCEPT))
+    e.export_graph(f"file://{tmp_path}/graph")
+    shown = {(r["source"], r["target"], r["inferred"]) for r in spark.read.json(f"file://{tmp_path}/graph/edges").collect()}
+    assert shown == {("a_b", "c", False), ("d", "c", True)}
+    assert {r["id"]: r["sources_count"] for r in spark.read.json(f"file://{tmp_path}/graph/nodes").collect()} == {"a_b": 1, "c": 1, "d": 2}
 
 
 def test_nearest_of_many_queries_is_exact(spark, monkeypatch):
@@ -332,16 +337,35 @@ def test_equal_new_concepts_of_a_batch_become_one(spark, tmp_path):
 
 
 def test_streaming(spark, tmp_path):
+    """Streamed concepts are found by all searches, known ones keep what they had, and batches that come again change nothing."""
+    e = Engine(spark, str(tmp_path / "store"))
+    e.save_concepts(spark.createDataFrame([concept("topic_0", "Topic 0", tags=["kept"], relations=[("uses", "alpha_beta", "r")], summary="known before", sources=["old"])], CONCEPT))
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"title": f"Topic {i}", "text": "A long enough line.\n**Alpha Beta** is here.", "source": f"http://x/{i}"}) for i in range(3)))
-    raw, concepts = Table(spark, str(tmp_path / "raw"), RAW_DOCUMENT), Table(spark, str(tmp_path / "c"), CONCEPT)
-    for _ in range(2):  # a second run has nothing new to do
-        ingest.start_ingest(ingest.page_stream(spark, str(tmp_path / "in")), raw, concepts, str(tmp_path / "ev"), str(tmp_path / "cp")).awaitTermination()
-    assert raw.read().count() == 3 and {r["id"] for r in concepts.read().collect()} == {"topic_0", "topic_1", "topic_2", "alpha_beta"}
+    lines = [{"title": f"Topic {i}", "text": f"A long enough line about zebra number {i}.\n**Alpha Beta** is here.", "source": f"http://x/{i}"} for i in range(3)]
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, lines)))
+
+    def run(checkpoint):
+        ingest.start_ingest(ingest.page_stream(spark, str(tmp_path / "in")), e, str(tmp_path / "ev"), str(tmp_path / checkpoint)).awaitTermination()
+
+    def state():
+        tables = {**e.tables, "vectors": e.vectors, "postings": e.postings, "lengths": e.lengths}
+        return {n: sorted(map(str, t.read().drop("created_at", "updated_at", "seq").collect())) for n, t in tables.items()}
+
+    run("cp")
+    first = state()
+    assert e.raw().count() == 3 and {r["id"] for r in e.concepts().collect()} == {"topic_0", "topic_1", "topic_2", "alpha_beta"}
+    kept = e.concept("topic_0").first()
+    assert "kept" in kept["tags"] and kept["summary"] == "known before" and kept["sources"][0] == "old" and len(kept["sources"]) == 3
+    for mode in ("keyword", "vector", "graph", "hybrid"):
+        assert "topic_1" in {r["concept_id"] for r in e.search("topic zebra number 1", mode=mode, limit=4).collect()}, mode
+    run("another")  # the same batch number of the same stream again, as after a failure behind its end
+    e.batches.write(e.batches.read().where("false"))
+    run("third")  # a batch that broke off before its end
+    assert state() == first
     events = spark.read.json(str(tmp_path / "ev"))
     assert events.where("event = 'page_crawled'").count() == 3 and events.where("event = 'completed'").first()["count"] == 3
-    lines = spark.createDataFrame([('noise {"event": "error", "source": "s"} tail',), ("none",)], "value string")
-    assert [r["event"] for r in ingest.salvaged_events(lines).collect()] == ["error"]
+    noise = spark.createDataFrame([('noise {"event": "error", "source": "s"} tail',), ("none",)], "value string")
+    assert [r["event"] for r in ingest.salvaged_events(noise).collect()] == ["error"]
 
 
 def test_ingest_dedup_dive(spark, tmp_path):
