@@ -40,15 +40,18 @@ _PARAGRAPH = (frozenset({"p"}), _SCOPES)
 class Element:
     """An open element by its names (its tag, then words of its class, id and role), with the one around it: paths share what they have in common."""
 
-    __slots__ = ("names", "around", "depth", "known", "label")
+    __slots__ = ("names", "around", "depth", "known", "label", "buckets")
 
     def __init__(self, names: str, around: Element | None = None) -> None:
         self.names, self.around = names, around
-        self.depth = 1 if around is None else around.depth + 1
-        places, label = _telling(names)
-        #: The known names of the element and all around it, as bits, and what the innermost telling one says: 1 main, 0 other.
-        self.known = places if around is None else places | around.known
-        self.label = label if label is not None or around is None else around.label
+        #: The known names of the element and all around it, as bits, what the innermost telling one says (1 main, 0 other), and the buckets of its own other names.
+        self.known, self.label, self.buckets = _telling(names)
+        self.depth = 1
+        if around is not None:
+            self.depth += around.depth
+            self.known |= around.known
+            if self.label is None:
+                self.label = around.label
 
 
 def nested(*names: str, inside: Element | None = None) -> Element | None:
@@ -122,8 +125,11 @@ class _Leaves(HTMLParser):
 
     def close_open(self, ends: frozenset[str], scope: frozenset[str]) -> None:
         """End the outermost open element of ``ends`` that stands inside the innermost one of ``scope`` (or is it), and all in it."""
+        there = [at for t in ends if (at := self.places.get(t))]
+        if not there:
+            return
         inside = self.last(scope - ends)
-        found = [at[k] for t in ends if (at := self.places.get(t)) and (k := bisect.bisect_right(at, inside)) < len(at)]
+        found = [at[k] for at in there if (k := bisect.bisect_right(at, inside)) < len(at)]
         if found:
             for _, _, silence in self.open[min(found) :]:
                 if silence is not None and self.open[min(found)][0] == "option":
@@ -213,11 +219,12 @@ _NAMED = {t: i for i, t in enumerate(sorted(MAIN_NAMES | OTHER_NAMES | {"h1", "h
 
 
 @lru_cache(1 << 16)
-def _telling(element: str) -> tuple[int, int | None]:
-    """An element's known names as bits, and 1 main or 0 other if it has a telling name; boilerplate names win."""
-    tokens = set(element.split())
-    label = 0 if tokens & OTHER_NAMES else 1 if tokens & (MAIN_NAMES - {"body", "text"}) or "body" in tokens - {element.split()[0]} else None
-    return sum(1 << _NAMED[t] for t in tokens if t in _NAMED), label
+def _telling(element: str) -> tuple[int, int | None, tuple[int, ...]]:
+    """An element's known names as bits, 1 main or 0 other if it has a telling name, boilerplate names first, and the places of its other names."""
+    names = element.split()
+    tokens = set(names)
+    label = 0 if tokens & OTHER_NAMES else 1 if tokens & (MAIN_NAMES - {"body", "text"}) or "body" in tokens - {names[0]} else None
+    return sum(1 << _NAMED[t] for t in tokens if t in _NAMED), label, tuple(len(_NAMED) + _bucket(t, PATH_DIM - len(_NAMED)) for t in names if t not in _NAMED)
 
 
 @lru_cache(1 << 16)
@@ -225,32 +232,24 @@ def _places(bits: int) -> list[int]:
     return [k for k in range(len(_NAMED)) if bits >> k & 1]
 
 
-@lru_cache(1 << 16)
-def _named_places(element: str) -> tuple[tuple[int, bool], ...]:
-    """Places of an element's names: one each for names that are known from training, buckets for the rest."""
-    return tuple((_NAMED[t], True) if t in _NAMED else (len(_NAMED) + _bucket(t, PATH_DIM - len(_NAMED)), False) for t in element.split())
-
-
 def block_vectors(blocks: list[Block], first: int = 0, among: int | None = None) -> np.ndarray:
     """Tag-path, hashed-word and plain features of blocks, which are those from ``first`` on of the ``among`` blocks of a page. All of a block's text counts."""
     among = len(blocks) if among is None else among
     out = np.zeros((len(blocks), PATH_DIM + WORD_DIM + PLAIN_DIM), np.float32)
     rows, places, values, plain = [], [], [], []
     for i, b in enumerate(blocks):
-        element = b.path
-        for depth in range(INNERMOST):
-            if element is None:
-                break
-            for place, known in _named_places(element.names):
+        element, depth = b.path, 0
+        if element is not None:
+            known = _places(element.known)
+            rows += [i] * len(known)
+            places += known
+            values += [1.0] * len(known)
+        while element is not None and depth < INNERMOST:
+            for place in element.buckets:
                 rows.append(i)
                 places.append(place)
-                values.append(1.0 if known else 0.3 / (1 + depth))
-            element = element.around
-        if element is not None:  # further out, known names count as much
-            far = _places(element.known)
-            rows += [i] * len(far)
-            places += far
-            values += [1.0] * len(far)
+                values.append(0.3 / (1 + depth))
+            element, depth = element.around, depth + 1
         words = b.text.lower().split()
         counts = np.bincount([_bucket(w, WORD_DIM) for w in words], minlength=WORD_DIM)
         out[i, PATH_DIM : PATH_DIM + WORD_DIM] = counts / max(1.0, float(np.sqrt(counts @ counts)))
@@ -314,7 +313,7 @@ class BlockLabeller:
         steps, shortest = int(lengths.max()), int(lengths.min())
         odds = np.full((steps, len(pages)), w["d"][0], np.float32)
         whole = [block_vectors(p) for p in pages] if steps <= span else None
-        twice = np.repeat(np.array([1, 1, 1, 2], np.float32), h)  # tanh(x) is 2 sigmoid(2 x) - 1, so all gates are one sigmoid
+        twice = -np.repeat(np.array([1, 1, 1, 2], np.float32), h)  # tanh(x) is 2 sigmoid(2 x) - 1, so all gates are one sigmoid, of the opposite
         for way, part in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
             state = cell = np.zeros((len(pages), h), np.float32)
             w_in, w_on, bias = w[f"x{way}"] * twice, w[f"h{way}"] * twice, w[f"c{way}"] * twice
@@ -327,7 +326,11 @@ class BlockLabeller:
                     x[: len(own), k] = own @ w_in + bias
                 states = np.empty((hi - lo, len(pages), h), np.float32)
                 for t in range(hi - lo) if way == "f" else range(hi - lo - 1, -1, -1):
-                    gates = 1 / (1 + np.exp(np.minimum(-(x[t] + state @ w_on), 60)))
+                    gates = state @ w_on
+                    gates += x[t]
+                    np.exp(np.minimum(gates, 60, out=gates), out=gates)
+                    gates += 1
+                    np.reciprocal(gates, out=gates)
                     new = gates[:, h : 2 * h] * cell + gates[:, :h] * (2 * gates[:, 3 * h :] - 1)
                     out = gates[:, 2 * h : 3 * h] * np.tanh(new)
                     if lo + t >= shortest:  # pages that have ended keep their state
