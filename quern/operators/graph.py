@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import graph_tokens
-from ..sources.scratch import settled
+from ..sources.scratch import dealt, settled
 
 
 def collapsed_edges(edges: DataFrame) -> DataFrame:
@@ -94,12 +94,13 @@ def pagerank(vertices: DataFrame, edges: DataFrame, seeds: DataFrame | None = No
 
     ``seeds`` (id, weight) personalise the restart and take the dangling mass; negative weights count as 0, unknown ids
     are dropped, and without any valid seed the restart is uniform. Stops once ``STRIDE`` rounds change the ranks by less than
-    nodes * tolerance, or after ``rounds``. A round is a join of the links with the ranks and a sum; nodes without links get restarts only, so
+    nodes * tolerance, or after ``rounds``. A round is a join of the links with the ranks and a sum; links and nodes are dealt out once, so only the
+    partial sums move. Nodes without links get restarts only, so
     their mass follows from that of the round before and needs no pass. Ranks are rescaled to 1 at the end.
     """
     pairs = undirected(edges)
     degree = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
-    pairs = settled(pairs.join(degree.withColumnRenamed("id", "b").withColumnRenamed("degree", "d"), "b"), "links")
+    pairs = dealt(pairs.join(degree.withColumnRenamed("id", "b").withColumnRenamed("degree", "d"), "b"), "b")
     start = vertices.select("id").join(degree, "id", "left")
     if seeds is not None:
         valid = seeds.join(vertices.select("id"), "id", "left_semi").groupBy("id").agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("weight"))
@@ -110,7 +111,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, seeds: DataFrame | None = No
         start = start.join(seeds, "id", "left").withColumn("p", F.coalesce("weight", F.lit(0.0)) / total)
     else:
         start = start.withColumn("p", F.lit(1.0 / max(n, 1)))
-    base = settled(start.select("id", "degree", "p"), "rank-base")
+    base = dealt(start.select("id", "degree", "p"), "id")
     alone, restart = base.where("degree IS NULL").agg(F.count("*"), F.coalesce(F.sum("p"), F.lit(0.0))).first()
     ranks, dangling, done = base.select("id", F.lit(1.0 / max(n, 1)).alias("rank")), alone / max(n, 1), 0
     while done < (rounds or most_rounds):
@@ -120,7 +121,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, seeds: DataFrame | None = No
             kept = 1 - alpha + alpha * dangling
             ranks = base.select("id", "p").join(inflow, "id", "left").select("id", (F.coalesce("inflow", F.lit(0.0)) * alpha + F.col("p") * kept).alias("rank"))
             dangling, done = restart * kept, done + 1
-        ranks = settled(ranks, "ranks")
+        ranks = dealt(ranks, "id")
         if rounds is None:
             change = ranks.join(before.withColumnRenamed("rank", "old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
             if change is None or change < n * tolerance:

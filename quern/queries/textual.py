@@ -39,9 +39,7 @@ b AS (SELECT doc_id, bucket::INT AS bucket, sum(w) AS w FROM s JOIN h USING (g)
 SELECT doc_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM b""")
 def hash_embed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = embed.hash_embedding_buckets(docs, "doc_id", "text").groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "weight")).alias("b"))  # DIM buckets at most
-    length = F.sqrt(F.aggregate("b", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]))
-    return found.select("doc_id", length.alias("length"), F.explode("b").alias("x")).select("doc_id", "x.bucket", F.round(F.col("x.weight") / F.col("length"), 6).alias("weight"))
+    return embed.hash_embedding_buckets(docs, "doc_id", "text", unit=True).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
 @query(r"""SELECT page_id, CASE WHEN length(slug) BETWEEN 1 AND 29 THEN slug || '_' || left(d, 8) ELSE 'doc_' || left(d, 16) END AS id FROM (

@@ -24,3 +24,11 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, column: str) -> DataFrame:
+    """Written once in buckets by ``column``, sorted by it: joins and sums on it move the other side only, as often as they are made."""
+    spark, name = df.sparkSession, f"dealt_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name, format="parquet")
+    return spark.table(name)
