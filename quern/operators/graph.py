@@ -273,44 +273,78 @@ def betweenness(vertices: DataFrame, edges: DataFrame, *, sources: int = 4096) -
     return total.select("id", (F.col("part") / ((n - 1) * (n - 2))).alias("score"))
 
 
-def communities(vertices: DataFrame, edges: DataFrame, *, patience: int = 3, rise: float = 2e-3) -> DataFrame:
-    """(id, community): modularity communities by rounds of local moves, each round one join and two sums.
+def _moved(pairs: DataFrame, state: DataFrame, m2: float, *, patience: int, rise: float) -> tuple[DataFrame, float]:
+    """The labelling (id, degree, community) of the highest modularity that rounds of local moves find from ``state`` on, and how much higher it is.
 
-    Every node may move to the neighbouring community of the highest gain in modularity, the least label on ties; only
-    moves to a smaller label in even and a larger one in odd rounds take effect, so that neighbours do not swap.
-    Rounds end when none moves in either, or when ``patience`` of them have not raised the modularity by ``rise`` over the highest before (moves of
-    one round may undo each other); the labelling of the highest is the answer, a partition of all vertices.
+    ``pairs`` (a, b, w) stand both ways; ``m2`` is the sum of all degrees, in which a node's links to itself count. A round is one join and two sums: every node
+    may move to the neighbouring community of the highest gain, the least label on ties; only moves to a smaller label in even and a larger one in odd
+    rounds take effect, so that neighbours do not swap. After a round without a rise only a half, then a quarter of the nodes may move, by a hash, so that fewer get in each
+    other's way; the rounds end when in both directions none gains by a move, or after ``patience`` of them that did not bring ``rise`` together.
     """
-    pairs = settled(undirected(edges), "pairs")
-    m2 = pairs.count()
-    state = vertices.select("id").join(pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree")), "id", "left")
-    state = settled(state.select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.col("id").alias("community")), "communities")
-    best, highest, bar, since, quiet, k = state, None, 0.0, 0, 0, 0
-    while m2 and quiet < 2 and since <= patience:
+    best, highest, bar, first, since, quiet, k = state, None, 0.0, 0.0, 0, 0, 0
+    while quiet < 2 and since <= patience:
         sizes = state.groupBy("community").agg(F.sum("degree").alias("volume"))
-        links = pairs.join(state.select(F.col("id").alias("b"), "community"), "b").groupBy("a", "community").agg(F.count("*").alias("links"))
+        links = pairs.join(state.select(F.col("id").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("links"))
         own = state.select(F.col("id").alias("a"), "degree", F.col("community").alias("home"))
-        rows = links.join(own.select("a", "degree", "home"), "a").join(sizes, "community")
+        rows = links.join(own, "a").join(sizes, "community")
         here = F.col("community") == F.col("home")
         gain = F.col("links") - F.col("degree") * (F.col("volume") - F.when(here, F.col("degree")).otherwise(0)) / m2
-        first = F.min(F.struct((-gain).alias("loss"), (~here).alias("away"), F.col("community")))
-        chosen = rows.groupBy("a").agg(first.alias("x"), F.max(F.when(here, gain)).alias("stay"), F.max(F.when(here, F.col("links"))).alias("inner"))
-        # Leaving a home without neighbours in it gains its own volume term back: 0 links, and no less than 0.
-        allowed = F.col("x.community") < F.col("home") if k % 2 == 0 else F.col("x.community") > F.col("home")
-        better = F.coalesce(-F.col("x.loss") > F.coalesce("stay", F.lit(0.0)), F.lit(False)) & allowed
-        new = own.join(chosen, "a", "left").select(F.col("a").alias("id"), "degree", "home", "inner", F.when(better, F.col("x.community")).otherwise(F.col("home")).alias("community"), better.alias("moved"))
+        best_move = F.min(F.struct((-gain).alias("loss"), (~here).alias("away"), F.col("community")))
+        chosen = rows.groupBy("a").agg(best_move.alias("x"), F.max(F.when(here, gain)).alias("stay"), F.max(F.when(here, F.col("links"))).alias("inner"))
+        # A node without neighbours at home loses the others' volume there; none is better than one of its own.
+        home = sizes.select(F.col("community").alias("home"), F.col("volume").alias("home_volume"))
+        turn = own.join(chosen, "a", "left").join(home, "home")
+        stay = F.coalesce("stay", -F.col("degree") * (F.col("home_volume") - F.col("degree")) / m2)
+        gains = F.coalesce(-F.col("x.loss") > stay + 1e-9, F.lit(False)) & (F.col("x.community") < F.col("home") if k % 2 == 0 else F.col("x.community") > F.col("home"))
+        turns = F.lit(True) if since == 0 else F.pmod(F.xxhash64("a", F.lit(k // 2)), F.lit(2 ** min(since, 3))) == 0
+        new = turn.select(F.col("a").alias("id"), "degree", "home", "inner", F.when(gains & turns, F.col("x.community")).otherwise(F.col("home")).alias("community"), gains.alias("gains"))
         new = settled(new, "communities")
-        # Of the labels before this round, and whether any moved.
-        by_home = new.groupBy("home").agg(F.sum("degree").alias("volume"), F.coalesce(F.sum("inner"), F.lit(0)).alias("inner"), F.count_if("moved").alias("moved"))
-        squares, inner, moved = by_home.agg(F.sum((F.col("volume") / m2) ** 2), F.sum("inner"), F.sum("moved")).first()
+        # Of the labels before this round, and whether any gains.
+        by_home = new.groupBy("home").agg(F.sum("degree").alias("volume"), F.coalesce(F.sum("inner"), F.lit(0)).alias("inner"), F.count_if("gains").alias("gains"))
+        squares, inner, moving = by_home.agg(F.sum((F.col("volume") / m2) ** 2), F.sum("inner"), F.sum("gains")).first()
         quality = inner / m2 - squares
-        if highest is None or quality > highest:
+        first = quality if k == 0 else first
+        if highest is None or quality > highest + 1e-12:
             best, highest = state, quality
-        since = since + 1 if k and quality < bar + rise else 0
-        bar = quality if since == 0 else bar
-        quiet = quiet + 1 if not moved else 0
+        if k == 0 or quality > bar + rise:
+            bar, since = quality, 0
+        else:
+            since += 1
+        quiet = quiet + 1 if not moving else 0
         state, k = new.select("id", "degree", "community"), k + 1
-    return best.select("id", "community")
+    return best, (highest or 0.0) - first
+
+
+def communities(vertices: DataFrame, edges: DataFrame, *, patience: int = 3, rise: float = 1e-3) -> DataFrame:
+    """(id, community): modularity communities, level by level; a partition of all vertices, each community named by one of its members.
+
+    Local moves of nodes (``_moved``) go on to their end. Then each community becomes a node, its links summed, and communities move in the same way, until no level
+    brings a rise. From there nodes move again, which refines the borders, and as long as that brings a rise, so on. What counts as a rise of
+    the modularity is ``rise``; with 0 all goes on to the last gain, in many more rounds. All levels are joins and sums.
+    """
+    pairs = settled(undirected(edges).select("a", "b", F.lit(1.0).alias("w")), "pairs")
+    m2 = float(pairs.count())
+    state = vertices.select("id").join(pairs.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("degree")), "id", "left")
+    state = settled(state.select("id", F.coalesce("degree", F.lit(0.0)).alias("degree"), F.col("id").alias("community")), "communities")
+    if not m2:
+        return state.select("id", "community")
+    labels, _ = _moved(pairs, state, m2, patience=patience, rise=rise)
+    risen = True
+    while risen:
+        risen = False
+        while True:  # contract, and move communities as nodes
+            whole = labels.groupBy(F.col("community").alias("id")).agg(F.sum("degree").alias("degree")).withColumn("community", F.col("id"))
+            names = [labels.select(F.col("id").alias(x), F.col("community").alias(f"c{x}")) for x in ("a", "b")]
+            between = pairs.join(names[0], "a").join(names[1], "b").where("ca != cb").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w"))
+            merged, more = _moved(settled(between, "contracted"), settled(whole, "contracted-nodes"), m2, patience=patience, rise=rise)
+            if more <= rise:
+                break
+            renamed = merged.select(F.col("id").alias("community"), F.col("community").alias("into"))
+            labels, risen = settled(labels.join(renamed, "community").select("id", "degree", F.col("into").alias("community")), "communities"), True
+        if risen:
+            labels, more = _moved(pairs, labels, m2, patience=patience, rise=rise)
+            risen = more > rise
+    return labels.select("id", "community")
 
 
 def numbered_communities(vertices: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
