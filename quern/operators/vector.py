@@ -54,6 +54,7 @@ def most_similar(queries: DataFrame, vectors: DataFrame, k: int, *, key: str = "
     Exact: every query meets every vector, a block of each in a task, which keeps k rows a query; of those the best are taken. Pairs of the same id count only
     with ``same_id``, and with ``before`` those of smaller ids only. Vectors of other dimensions, without length or null are similar to none.
     """
+    queries, vectors = (df.where(F.col(key).isNotNull()) for df in (queries, vectors))  # so that pandas keeps integer keys as they are
     down, across = (max(1, -(-df.count() // BLOCK)) for df in (queries, vectors))
 
     def place(blocks: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import crawl, distill, vector
+from ..operators import crawl, distill, vector, vector_index
 from ..sources.readers import parse_pages
 from .model import VECTORS, concepts, table, vectors
 from .registry import query
@@ -20,6 +20,15 @@ def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("concept_id", F.col("other").alias("neighbour"), "score", F.col("rank").cast("int").alias("rank"))
 
 
+@query()
+def knn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``knn_edges`` from an index over all vectors: cells, codes and exact re-ranking. The tests hold its recall against the exact way."""
+    v = vectors(spark, sf_dir)
+    index = vector_index.build_index(v, 64, key="concept_id")
+    found = vector_index.search_index(index, v.where("concept_id % 100 = 0"), 3)
+    return found.select("concept_id", F.col("other").alias("neighbour"), "score", F.col("rank").cast("int").alias("rank"))
+
+
 @query(r"""WITH p AS (SELECT regexp_extract(url, '://([^/:]+)', 1) AS host, page_id, regexp_extract_all(html, '<a href="/([^"]*)">', 1) AS words FROM pages),
 w AS (SELECT DISTINCT host, page_id, unnest(words) AS word FROM p), f AS (SELECT host, word, min(page_id) AS first FROM w GROUP BY host, word)
 SELECT w.page_id AS source_id, f.first AS target_id, min(w.word) AS reason, 'references' AS relation_type FROM w JOIN f ON f.host = w.host AND f.word = w.word WHERE w.page_id <> f.first GROUP BY w.page_id, f.first""")

@@ -1,7 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import fusion, keyword, rawsearch, vector
+from quern.operators import fusion, keyword, rawsearch, vector, vector_index
 from quern.plans.engine import tiered
 
 TOY = [
@@ -66,3 +67,27 @@ def test_tiers(spark):
     a = spark.createDataFrame([("x", 0.1)], "concept_id string, score double")
     b = spark.createDataFrame([("raw:1", 0.9), ("x", 0.8), ("raw:2", 0.7)], "concept_id string, score double")
     assert [r["concept_id"] for r in tiered(a, b, 2).collect()] == ["x", "raw:1"]
+
+
+@pytest.mark.parametrize("kind", ["groups", "none"])
+def test_index_reaches_nine_tenths_of_the_nearest(spark, monkeypatch, kind):
+    """Against the exact way, with odd rows among the vectors and blocks smaller than cells; scores are exact, and grouped vectors need few cells."""
+    monkeypatch.setattr(vector_index, "BLOCK", 100)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 16)) * (0.3 if kind == "groups" else 1)
+    if kind == "groups":
+        x += 3 * rng.normal(size=(40, 16))[rng.integers(0, 40, len(x))]
+    rows = [(2**53 + k, v.tolist()) for k, v in enumerate(x)] + [(1, None), (2, [1.0]), (3, [0.0] * 16), (4, [None] * 16), (None, [1.0] * 16)] + [(k, x[0].tolist()) for k in range(10, 15)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    q = v.where("id % 20 = 0")
+    exact, index = {}, vector_index.build_index(v, 16)
+    for r in vector.most_similar(q, v, 5).collect():
+        exact[r["id"], r["other"]] = r["score"]
+    got = {(r["id"], r["other"]): r["score"] for r in vector_index.search_index(index, q, 5).collect()}
+    assert index.lists.count() == 1205 and len(got) == len(exact)
+    assert sum(p in got for p in exact) >= 0.9 * len(exact)
+    assert all(got[p] == pytest.approx(exact[p], abs=1e-6) for p in exact if p in got)
+    assert index.coder.probes <= (3 if kind == "groups" else len(index.coder.centres))
+    if kind == "none":
+        nothing = vector_index.build_index(v.where("false"), 16)
+        assert vector_index.search_index(nothing, q, 5).count() == 0
