@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.embed import hash_embeddings
-from ..functions.text import document_id
+from ..functions.text import document_id, strip_web_noise
 from ..functions.web import seed_urls
 from ..operators import crawl, distill
 from ..schema import CONCEPT
@@ -56,7 +56,8 @@ def save_with_dedup(engine: Engine, new: DataFrame) -> DataFrame:
 def ingest_pages(engine: Engine, pages: DataFrame, workspace: str = "default", generate: Callable[[str], str] | None = None) -> DataFrame:
     """Archive pages (title, text, source[, links]), distil them, save the concepts and link pages' concepts as their pages link.
 
-    With ``generate``, a language model's concepts are used where it gives any. Returns the actions.
+    With ``generate``, a language model's concepts are used where it gives any, with their mechanisms and relations; it is told of concepts that the store has, and where it
+    fails or gives none the rules stand in. Returns the actions.
     """
     docs = pages.select(document_id(F.col("source"), F.coalesce("text", F.lit(""))).alias("id"), "title", F.col("source").alias("source_uri"), F.coalesce("text", F.lit("")).alias("content"))
     docs = docs.dropDuplicates(["id"]).select("*", F.char_length("content").cast("long").alias("char_count"), F.lit(workspace).alias("workspace_id"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("created_at"))
@@ -64,14 +65,12 @@ def ingest_pages(engine: Engine, pages: DataFrame, workspace: str = "default", g
     engine.save_raw(docs)
     made = distill.heuristic_concepts(docs)
     if generate is not None:
-        named = settled(distill.model_concepts(docs, generate), "model-concepts")
+        known = [r["id"] for r in engine.concepts().select("id").orderBy("id").limit(distill.MOST_KNOWN).collect()]
+        named = settled(distill.model_concepts(docs.withColumn("content", strip_web_noise(F.col("content"))), generate, known=known), "model-concepts")
         by_rule = distill.heuristic_concepts(docs.join(named.select(F.col("doc").alias("id")).distinct(), "id", "left_anti"))
-        empty = {f.name: F.lit(None).cast(f.dataType) for f in CONCEPT.fields} | {c: F.array().cast("array<string>") for c in ("aliases", "mechanisms", "formulas_or_code")}
-        own = empty | {
-            "id": F.col("id"), "name": F.col("name"), "type": F.col("type"), "summary": F.col("summary"), "tags": F.col("tags"), "relations": F.array().cast(CONCEPT["relations"].dataType),
-            "sources": F.array(F.concat(F.lit("raw:"), F.col("doc"))), "workspace": F.lit(workspace),
-        }
-        made = by_rule.unionByName(named.where("id != ''").select(*[own[f.name].alias(f.name) for f in CONCEPT.fields]))
+        own = named.join(docs.select(F.col("id").alias("doc"), "source_uri", "created_at"), "doc")
+        given = {"sources": F.array(F.concat(F.lit("raw:"), F.col("doc")), F.col("source_uri")), "workspace": F.lit(workspace), "created_at": F.col("created_at"), "updated_at": F.col("created_at")}
+        made = by_rule.unionByName(own.select(*[given.get(f.name, F.col(f.name)).alias(f.name) for f in CONCEPT.fields]))
     actions = save_with_dedup(engine, made)
     if "links" in pages.columns:
         primary = distill.primary_concepts(docs).join(docs.select(F.col("id").alias("doc"), F.col("source_uri").alias("url")), "doc").select("url", F.col("id").alias("concept"))

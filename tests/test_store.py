@@ -240,7 +240,7 @@ def test_distill(spark):
     assert got["my_topic"]["type"] == "architecture" and got["plain"]["type"] == "concept"
     assert {r["target"] for r in got["my_topic"]["relations"]} == {"alpha_beta", "gamma"} and got["gamma"]["relations"][0]["target"] == "my_topic"
     assert got["my_topic"]["summary"].startswith("First long line here. Second")
-    made = distill.model_concepts(docs, lambda chunk: '```json\n{"concepts": [{"id": "A b-c", "name": "N"}]}\n```' if chunk else "no").collect()
+    made = distill.model_concepts(docs, lambda chunk: '```json\n{"concepts": [{"id": "A b-c", "name": "N"}]}\n```' if "First" in chunk else "no").collect()
     assert [(r["doc"], r["id"]) for r in made] == [("d1", "a_b_c")]
     text = "\n# A\n" + "x" * 50 + "\n# B\n" + "y" * 120 + "\n\n" + "z" * 40
     assert all(len(c) <= 130 for c in distill.chunk_text(text, 100)) and distill.chunk_text("s", 100) == ["s"]
@@ -368,6 +368,38 @@ def test_streaming(spark, tmp_path):
     assert [r["event"] for r in ingest.salvaged_events(noise).collect()] == ["error"]
 
 
+def test_a_language_model_is_told_of_known_concepts_and_may_fail(spark, tmp_path):
+    """Its mechanisms and relations are kept, a failure is tried again, and documents for which it gives nothing go by the rules."""
+    from quern.plans import ingest as plan
+
+    e = Engine(spark, str(tmp_path / "store"))
+    e.save_concepts(spark.createDataFrame([concept("attention", "Attention")], CONCEPT))
+    answer = {"concepts": [{"id": "Flash-X", "name": "Flash X", "mechanisms": ["tiles"], "tradeoffs": {"pros": ["fast"]}, "relations": [{"type": "improves", "target": "Attention", "reason": "io"}, "no", {"type": "x"}]}, {"name": "none"}, {"id": "odd", "tags": "one", "relations": "none", "mechanisms": [None, 3]}]}
+    failed = tmp_path / "failed"
+
+    def generate(prompt):
+        if "Bad page" in prompt:
+            raise OSError("down")
+        if not failed.exists():
+            failed.touch()
+            raise OSError("once")
+        assert "Known concepts: attention" in prompt and "Source: http://x.org/1" in prompt
+        return "Sure:\n" + json.dumps(answer)
+
+    monkey = pytest.MonkeyPatch()
+    pages = spark.createDataFrame([("Good page", "Some text about tiles.", "http://x.org/1"), ("Bad page", "Another line of the text here.", "http://x.org/2")], "title string, text string, source string")
+    original = distill.model_concepts
+    monkey.setattr(distill, "model_concepts", lambda *a, **k: original(*a, **k, wait=0.01))
+    try:
+        plan.ingest_pages(e, pages, generate=generate)
+    finally:
+        monkey.undo()
+    got = {r["id"]: r for r in e.concepts().collect()}
+    assert set(got) == {"attention", "flash_x", "odd", "bad_page"}
+    assert got["flash_x"]["mechanisms"] == ["tiles"] and got["flash_x"]["tradeoffs"]["pros"] == ["fast"] and got["odd"]["mechanisms"] == ["3"] and got["odd"]["tags"] == ["one"]
+    assert got["flash_x"]["sources"][1] == "http://x.org/1" and e.edges().where("source_id = 'flash_x' AND relation_type = 'improves' AND target_id = 'attention'").count() == 1
+
+
 def test_ingest_dedup_dive(spark, tmp_path):
     from quern.plans import ingest as plan
 
