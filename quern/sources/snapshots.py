@@ -11,11 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+class ChangedTableError(RuntimeError):
+    """Another writer was faster."""
+
+
 class Table:
-    """``sorted_by`` deals the rows of a version by ranges of a column, so that reads of a few of its values skip the other files."""
+    """``sorted_by`` deals the rows of a version by ranges of a column, so that reads of a few of its values skip the other files.
+
+    A new version must follow from what was read last: if another writer has made a version or added rows since, or is about to make the same version, ``write`` raises and
+    leaves the table as it is, so that no rows are lost in silence. Read again, and make the change anew.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, sorted_by: str | None = None) -> None:
         self.spark, self.path, self.schema, self.sorted_by = spark, path.rstrip("/"), schema, sorted_by
+        self.seen: str | None = None
 
     def _versions(self) -> list[int]:
         jvm = self.spark._jvm
@@ -37,6 +46,7 @@ class Table:
 
     def read(self) -> DataFrame:
         versions = self._versions()
+        self.seen = self.stamp()
         if not versions:
             return self.spark.createDataFrame([], self.schema)
         return with_defaults(self.spark.read.parquet(f"{self.path}/v{versions[-1]}"), self.schema)
@@ -46,8 +56,20 @@ class Table:
         return rows.repartitionByRange(self.sorted_by).sortWithinPartitions(self.sorted_by) if self.sorted_by else rows
 
     def write(self, df: DataFrame) -> None:
-        versions = self._versions()
-        self._shaped(df).write.mode("overwrite").parquet(f"{self.path}/v{(versions[-1] if versions else 0) + 1}")
+        versions, jvm = self._versions(), self.spark._jvm
+        number = (versions[-1] if versions else 0) + 1
+        claim = jvm.org.apache.hadoop.fs.Path(f"{self.path}/claim-v{number}")
+        fs = claim.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(claim.getParent())
+        if not fs.createNewFile(claim):
+            raise ChangedTableError(f"another writer makes version {number} of {self.path}; if it is gone, delete {claim.toString()}")
+        try:
+            if self.seen is not None and self.seen != self.stamp():
+                raise ChangedTableError(f"{self.path} has changed since it was read")
+            self._shaped(df).write.mode("overwrite").parquet(f"{self.path}/v{number}")
+            self.seen = self.stamp()
+        finally:
+            fs.delete(claim, False)
 
     def append(self, df: DataFrame) -> None:
         """Rows beside those of the newest version, as files of their own: nothing is read or rewritten, and writers don't meet."""

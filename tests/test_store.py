@@ -155,6 +155,28 @@ def test_tables_keep_versions(spark, tmp_path):
     assert t.read().count() == 2
 
 
+def test_two_writers_lose_no_rows(spark, tmp_path):
+    """Of two that read the same version the later one is refused, also after rows were added or while the other still writes."""
+    a, b = (Table(spark, f"file://{tmp_path}/t", EDGE) for _ in range(2))
+    rows = spark.createDataFrame([("x", "r", "y", "", "card", 1)], EDGE)
+    a.write(rows)
+    mine, other = a.read(), b.read()
+    a.write(mine.union(rows))
+    with pytest.raises(snapshots.ChangedTableError):
+        b.write(other)
+    assert b.read().count() == 2
+    a.append(rows)
+    with pytest.raises(snapshots.ChangedTableError):
+        b.write(other)
+    again = b.read()
+    (tmp_path / "t" / "claim-v3").touch()
+    with pytest.raises(snapshots.ChangedTableError):
+        b.write(again)
+    (tmp_path / "t" / "claim-v3").unlink()
+    b.write(again)
+    assert a.read().count() == 3
+
+
 def test_migration(spark):
     old = spark.createDataFrame([("a",)], "id string")
     assert snapshots.with_defaults(old, RAW_DOCUMENT).first()["workspace_id"] == "default"
