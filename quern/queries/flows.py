@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import crawl, distill, vector, vector_index
 from ..sources.readers import parse_pages
+from ..sources.scratch import settled
 from .model import VECTORS, concepts, table, vectors
 from .registry import query
 
@@ -71,12 +72,12 @@ def crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A greedy crawl inside the archive of pages, where each menu entry leads to the next page of its site."""
     pages = parse_pages(table(spark, sf_dir, "pages"))
     site = F.regexp_extract("source", "^([a-zA-Z]+://[^/?#]+)", 1)
-    ordered = pages.groupBy(site.alias("site")).agg(F.sort_array(F.collect_list("source")).alias("all"))
-    linked = pages.withColumn("site", site).join(ordered, "site")
-    at = F.array_position("all", F.col("source")).cast("int")
-    following = F.transform(F.slice("all", at + 1, 3), lambda u: F.struct(u.alias("url"), F.lit("next").alias("text")))
-    graph = linked.select("title", "text", "source", "source_type", following.alias("links"))
-    start = ordered.orderBy(F.desc(F.size("all")), "site").select(F.col("all")[0]).first()[0]
+    places = pages.select(site.alias("site"), "source").distinct()
+    order = Window.partitionBy("site").orderBy("source")
+    following = F.filter(F.array(*[F.struct(F.lead("source", k).over(order).alias("url"), F.lit("next").alias("text")) for k in (1, 2, 3)]), lambda x: x["url"].isNotNull())
+    graph = pages.drop("links").join(places.select("source", following.alias("links")), "source").select("title", "text", "source", "source_type", "links")
+    graph = settled(graph, "archive")  # read at every level
+    start = places.groupBy("site").agg(F.count("*").alias("n"), F.min("source").alias("first")).orderBy(F.desc("n"), "site").first()["first"]
     found = crawl.archive_crawl(graph, start, depth=8, max_pages=60)
     return found.select("source", "crawl_depth", "parent_url")
 

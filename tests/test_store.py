@@ -390,6 +390,18 @@ def test_streaming(spark, tmp_path):
     assert [r["event"] for r in ingest.salvaged_events(noise).collect()] == ["error"]
 
 
+def test_links_keep_their_longest_anchor(spark):
+    """Links in the order of their first place, each with its longest text, the first of equally long ones; thousands of them cost no more than sorting."""
+    anchors = [("/b", "x"), ("/a", "first"), ("/b", "longer"), ("/a", "other"), ("/c", ""), ("/b", "length")]
+    page = "".join(f'<a href="{h}">{t}</a>' for h, t in anchors) + "".join(f'<a href="/n{k % 3000}">{"w" * (k % 7)}</a>' for k in range(9000))
+    links = readers.parse_pages(spark.createDataFrame([("https://x.org/p", page)], "url string, html string")).first()["links"]
+    want = {}
+    for h, t in [*anchors, *[(f"/n{k % 3000}", "w" * (k % 7)) for k in range(9000)]]:
+        if h not in want or len(t) > len(want[h]):
+            want[h] = t
+    assert [(x["url"].removeprefix("https://x.org"), x["text"]) for x in links] == list(want.items())
+
+
 def test_a_language_model_is_told_of_known_concepts_and_may_fail(spark, tmp_path):
     """Its mechanisms and relations are kept, a failure is tried again, and documents for which it gives nothing go by the rules."""
     from quern.plans import ingest as plan
