@@ -14,26 +14,31 @@ URL_RULES = [("com", "/", False), ("example.com", "/en/", True), ("www.example.c
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines cut from all documents."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document, by its least id."""
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     pages = read_table(spark, sf_dir, "pages")
     return html_blocks.extract_main_text(pages, html_blocks.train(pages)).select("page_id", "url", "text", "n_chars")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learnt from labelled rows that aren't held out."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in a seeded random order over ``N_SHARDS`` shards, counts at most one apart."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.external_shuffle(docs, N_SHARDS).select(
         "doc_id",
@@ -47,25 +52,30 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as an image, read back, with its tile and difference hash."""
     found = media.text_media(read_table(spark, sf_dir, "documents"), keep_media=False)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "format", "width", "height", "tile_npy")
 
 
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the capped mixture of sources takes of every document."""
     return mixture.mixed_sizes(read_table(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from labelled rows that aren't held out."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs)
     return langid.predict_languages(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as piece ids and back."""
     return pieces.round_trip(read_table(spark, sf_dir, "documents"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and perplexity bands over all documents."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = perplexity.quality_rules(docs)
     return found.select("doc_id", *perplexity.BASE, "base_failed", "kept", "log_ppl", "low", "high")
