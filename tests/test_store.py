@@ -1,6 +1,7 @@
 import json
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -390,6 +391,42 @@ def test_streaming(spark, tmp_path):
     assert [r["event"] for r in ingest.salvaged_events(noise).collect()] == ["error"]
 
 
+def test_pdf_pages_follow_the_page_tree():
+    """Objects in any order, nested and circular trees, pages in compressed object streams, and objects that were written again."""
+
+    def content(text):
+        return b"<< >>\nstream\nBT (" + text + b") Tj ET\nendstream"
+
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [7 0 R 3 0 R 2 0 R] >>", 3: b"<< /Type /Page /Contents 4 0 R >>", 4: content(b"last page"),
+        5: b"<< /Type /Page /Contents [6 0 R] >>", 6: content(b"first page"), 7: b"<< /Type /Pages /Kids [5 0 R 8 0 R] >>", 8: b"<< /Type /Page /Contents 9 0 R >>", 9: content(b"middle page"),
+    }
+    want = "--- Page 1 ---\nfirst page\n\n--- Page 2 ---\nmiddle page\n\n--- Page 3 ---\nlast page"
+
+    def written(numbers, more=b""):
+        return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%b\nendobj\n" % (n, objects[n]) for n in numbers) + more + b"trailer << /Root 1 0 R >>"
+
+    rng = random.Random(1)
+    for _ in range(5):
+        assert readers.pdf_text(written(rng.sample(sorted(objects), 9))) == want
+    packed, head, body = [1, 2, 3, 5, 7, 8], b"", b""
+    for n in packed:
+        head += b"%d %d " % (n, len(body))
+        body += objects[n] + b" "
+    stream = zlib.compress(head + body)
+    inside = b"20 0 obj\n<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n%b\nendstream\nendobj\n" % (len(packed), len(head), len(stream), stream)
+    assert readers.pdf_text(written([9, 4, 6], inside)) == want
+    again = b"4 0 obj\n" + content(b"changed page") + b"\nendobj\n"
+    assert readers.pdf_text(written(sorted(objects), again)) == want.replace("last page", "changed page")
+    assert readers.pdf_text(b"nothing") == "" and "first page" in readers.pdf_text(written([6, 4]))
+
+
+def test_pdf_titles():
+    good = ["Attention Is All You Need", "주의 메커니즘의 이해와 응용", "GPU memory paging for large language model serving"]
+    bad = ["Vol 12 2019 pp. 112-118 a b c d E", "a b c d Examples here", "PROCEEDINGS OF ICML", "arXiv 1234 something", "12 34 56 78 90", "Word", "Journal 2021 article 123456"]
+    assert [readers.looks_like_title(x) for x in good + bad] == [True] * 3 + [False] * 7
+
+
 def test_links_keep_their_longest_anchor(spark):
     """Links in the order of their first place, each with its longest text, the first of equally long ones; thousands of them cost no more than sorting."""
     anchors = [("/b", "x"), ("/a", "first"), ("/b", "longer"), ("/a", "other"), ("/c", ""), ("/b", "length")]
