@@ -61,15 +61,18 @@ def searched_fields(concepts: DataFrame) -> DataFrame:
 class Engine:
     """Tables under one folder: concepts, edges, raw documents, workspaces, vectors, the keyword index and the log. Results are DataFrames.
 
-    ``embed`` is an embedder of texts, called in the tasks; the hashing one stands in where it fails or none is given.
+    ``embed`` is an embedder of texts, called in the tasks; the hashing one stands in where it fails or none is given. The large tables are dealt into ``parts``
+    by their ids, the index by its documents', and a change rewrites the parts of what it changes.
     """
 
-    def __init__(self, spark: SparkSession, path: str, embed: Callable[[list[str]], list[list[float]]] | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str, embed: Callable[[list[str]], list[list[float]]] | None = None, *, parts: int = 16) -> None:
         self.spark, self.embed = spark, embed
         made = {"concepts": CONCEPT, "edges": EDGE, "raw_documents": RAW_DOCUMENT, "workspaces": WORKSPACE, "query_logs": QUERY_LOG}
-        self.tables = {name: Table(spark, f"{path}/{name}", schema) for name, schema in made.items()}
-        self.vectors = Table(spark, f"{path}/vectors", VECTOR)
-        self.postings, self.lengths = Table(spark, f"{path}/postings", POSTING, sorted_by="term"), Table(spark, f"{path}/lengths", LENGTH)
+        keys = {"concepts": "id", "edges": "source_id", "raw_documents": "id"}
+        self.tables = {name: Table(spark, f"{path}/{name}", schema, key=keys.get(name), parts=parts) for name, schema in made.items()}
+        self.vectors = Table(spark, f"{path}/vectors", VECTOR, key="concept_id", parts=parts)
+        self.postings = Table(spark, f"{path}/postings", POSTING, sorted_by="term", key="id", parts=parts)
+        self.lengths = Table(spark, f"{path}/lengths", LENGTH, key="id", parts=parts)
         self.links, self.batches = Table(spark, f"{path}/links", LINK, sorted_by="a"), Table(spark, f"{path}/batches", BATCH)
 
     def concepts(self, workspace: str | None = None) -> DataFrame:
@@ -128,9 +131,8 @@ class Engine:
         if ws_id == "default":
             return False
         self.tables["workspaces"].write(self.tables["workspaces"].read().where(F.col("id") != ws_id))
-        self.tables["concepts"].write(snapshots.moved_to_default(self.tables["concepts"].read(), ws_id, "workspace"))
-        for t in (self.tables["raw_documents"], self.vectors):
-            t.write(snapshots.moved_to_default(t.read(), ws_id))
+        for t, column in ((self.tables["concepts"], "workspace"), (self.tables["raw_documents"], "workspace_id"), (self.vectors, "workspace_id")):
+            t.change(t.read().where(F.col(column) == ws_id).select(t.key), lambda old, column=column: snapshots.moved_to_default(old, ws_id, column))
         self.sync_centroids(self.spark.createDataFrame([("default",)], "id string"))
         return True
 
@@ -154,29 +156,31 @@ class Engine:
 
     def save_concepts(self, new: DataFrame) -> None:
         """Replace concepts by id, with their own edges, vectors and index entries, and sync their workspaces' centroids; edges that the engine added stay."""
-        old_edges, ids, first = self.edges(), new.select("id"), self._save_number()
+        ids, first = settled(new.select("id").distinct(), "saved-ids"), self._save_number()
         own = new.select(F.col("id").alias("source_id"), F.posexplode("relations").alias("nth", "r")).select("source_id", F.col("r.type").alias("relation_type"), F.col("r.target").alias("target_id"), F.col("r.reason").alias("reason"), "nth")
         own = own.where((F.col("target_id") != "") & (F.col("target_id") != F.col("source_id"))).select("*", F.lit("card").alias("origin"), (F.lit(first) + F.col("nth")).alias("seq")).drop("nth")
-        kept = old_edges.where("origin = 'auto'").unionByName(snapshots.without_ids(old_edges.where("origin = 'card'"), ids, "source_id"))
         indexed = embeddings(new.select("id", card_text().alias("text")), "id", "text", self.embed)
         rows = indexed.join(new.select("id", "workspace", "updated_at"), "id").select(F.col("id").alias("concept_id"), "model_name", F.size("vector").alias("dim"), "vector", F.col("workspace").alias("workspace_id"), "updated_at")
         fields = list(keyword.FIELD_WEIGHTS)
         tokens = settled(keyword.tokenized(searched_fields(new), "id", fields, stem=True), "tokens")
-        self.postings.write(snapshots.replace_children(self.postings.read(), keyword.postings(tokens, "id", fields), "id", ids))
-        self.lengths.write(snapshots.upsert(self.lengths.read(), keyword.lengths(tokens, "id", fields), "id"))
-        self.vectors.write(snapshots.upsert(self.vectors.read(), rows, "concept_id"))
-        self.tables["edges"].write(kept.unionByName(own))
-        self.tables["concepts"].write(snapshots.upsert(self.tables["concepts"].read(), new, "id"))
+        self.postings.change(ids, lambda old: snapshots.replace_children(old, keyword.postings(tokens, "id", fields), "id", ids))
+        self.lengths.change(ids, lambda old: snapshots.upsert(old, keyword.lengths(tokens, "id", fields), "id"))
+        self.vectors.change(ids, lambda old: snapshots.upsert(old, rows, "concept_id"))
+        self.tables["edges"].change(ids, lambda old: old.where("origin = 'auto'").unionByName(snapshots.without_ids(old.where("origin = 'card'"), ids, "source_id")).unionByName(own))
+        self.tables["concepts"].change(ids, lambda old: snapshots.upsert(old, new, "id"))
         self.sync_centroids(new.select(F.col("workspace").alias("id")).distinct())
 
     def delete_concepts(self, ids: DataFrame) -> None:
         """Without the concepts, their edges, vectors and index entries, and without others' relations to them."""
         ids = settled(ids.select(F.col(ids.columns[0]).alias("id")), "deleted")
-        self.tables["edges"].write(snapshots.without_ids(snapshots.without_ids(self.edges(), ids, "source_id"), ids, "target_id"))
-        self.vectors.write(snapshots.without_ids(self.vectors.read(), ids, "concept_id"))
+        into = snapshots.only_ids(self.edges(), ids, "target_id").select(F.col("source_id").alias("id"))
+        self.tables["edges"].change(settled(ids.union(into).distinct(), "edge-ids"), lambda old: snapshots.without_ids(snapshots.without_ids(old, ids, "source_id"), ids, "target_id"))
+        self.vectors.change(ids, lambda old: snapshots.without_ids(old, ids, "concept_id"))
         for t in (self.postings, self.lengths):
-            t.write(snapshots.without_ids(t.read(), ids, "id"))
-        self.tables["concepts"].write(snapshots.without_members(snapshots.without_ids(self.tables["concepts"].read(), ids, "id"), ids, "relations", "target"))
+            t.change(ids, lambda old: snapshots.without_ids(old, ids, "id"))
+        related = self.tables["concepts"].read().select("id", F.explode("relations").alias("r")).select("id", F.col("r.target").alias("target"))
+        changed = settled(ids.union(snapshots.only_ids(related, ids, "target").select("id")).distinct(), "changed-ids")
+        self.tables["concepts"].change(changed, lambda old: snapshots.without_members(snapshots.without_ids(old, ids, "id"), ids, "relations", "target"))
 
     def prune(self, valid: DataFrame) -> None:
         stale = self.tables["concepts"].read().select("id").join(valid.select(F.col(valid.columns[0]).alias("id")), "id", "left_anti")
@@ -189,14 +193,16 @@ class Engine:
         self.tables["edges"].append(settled(snapshots.add_edges_if_absent(self.edges(), made), "new-edges"))
 
     def save_raw(self, docs: DataFrame) -> None:
-        self.tables["raw_documents"].write(snapshots.upsert(self.tables["raw_documents"].read(), docs, "id"))
+        self.tables["raw_documents"].change(docs.select("id"), lambda old: snapshots.upsert(old, docs, "id"))
 
     def delete_raw(self, ids: DataFrame) -> None:
         """Without the documents, and without concepts' references to them."""
         ids = settled(ids.select(F.col(ids.columns[0]).alias("id")), "deleted")
-        self.tables["raw_documents"].write(snapshots.without_ids(self.tables["raw_documents"].read(), ids, "id"))
+        self.tables["raw_documents"].change(ids, lambda old: snapshots.without_ids(old, ids, "id"))
         gone = ids.select(F.concat(F.lit("raw:"), "id").alias("source"))
-        self.tables["concepts"].write(snapshots.without_members(self.tables["concepts"].read(), gone, "sources"))
+        cited = self.tables["concepts"].read().select("id", F.explode("sources").alias("source"))
+        changed = settled(snapshots.only_ids(cited, gone, "source").select("id").distinct(), "changed-ids")
+        self.tables["concepts"].change(changed, lambda old: snapshots.without_members(old, gone, "sources"))
 
     def export_graph(self, path: str, workspace: str | None = None) -> None:
         """Nodes and edges of a workspace (all without one) as JSON lines, a folder each: what a display of the graph reads.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import crawl, distill
 from quern.plans.engine import Engine
-from quern.schema import CONCEPT, EDGE, RAW_DOCUMENT
+from quern.schema import CONCEPT, EDGE, LENGTH, RAW_DOCUMENT
 from quern.sources import readers, snapshots
 from quern.sources.snapshots import Table
 from quern.streaming import ingest
@@ -178,6 +178,116 @@ def test_two_writers_lose_no_rows(spark, tmp_path):
     assert a.read().count() == 3
 
 
+def held(t):
+    return sorted(map(tuple, t.read().collect()))
+
+
+def marks(path, version):
+    return sorted(x.name for x in (path / f"v{version}").iterdir() if "=" in x.name)
+
+
+def test_parts_change_alone(spark, tmp_path):
+    """Random changes, deletions and additions give the rows of a dict, and write the parts of their keys only."""
+    rng, want, path = random.Random(3), {}, tmp_path / "t"
+    t = Table(spark, f"file://{path}", LENGTH, key="id", parts=8, merge_after=12)
+
+    def rows(keys, n):
+        return spark.createDataFrame([(k, n) for k in keys], LENGTH)
+
+    part = {r["id"]: r["p"] for r in spark.range(60).select(F.concat(F.lit("k"), "id").alias("id")).withColumn("p", F.pmod(F.xxhash64("id"), F.lit(8))).collect()}
+    t.change(rows(["k0"], 0), lambda old: snapshots.upsert(old, rows(["k0"], 0), "id"))
+    want["k0"] = 0
+    assert len([m for m in marks(path, 1) if m.startswith("gone")]) == 8
+    for n in range(1, 16):
+        keys = rng.sample(sorted(part), rng.choice([1, 2, 20]))
+        if n % 4 == 0:  # also a part that is emptied
+            keys = [k for k in part if part[k] == n % 8]
+            t.change(rows(keys, n), lambda old, keys=keys: snapshots.without_ids(old, rows(keys, 0), "id"))
+            want = {k: v for k, v in want.items() if k not in keys}
+        elif n % 4 == 3:
+            keys = [f"k{60 + n}", *(k for k in keys if k not in want)]
+            t.append(rows(keys, n))
+            want |= dict.fromkeys(keys, n)
+        else:
+            t.change(rows(keys, n), lambda old, keys=keys, n=n: snapshots.upsert(old, rows(keys, n), "id"))
+            want |= dict.fromkeys(keys, n)
+        assert held(t) == sorted(want.items()), n
+        gone = {int(m.split("=")[1]) for m in marks(path, t._newest()) if m.startswith("gone8=")}
+        assert gone == (set() if n % 4 == 3 else {part[k] for k in keys}) or (n > 11 and len(gone) == 8), n
+    before = t.stamp()
+    t.change(rows([], 0), lambda old: old.where("false"))
+    t.append(rows([], 0))
+    assert t.stamp() == before
+    (path / "v99" / "gone8=0").mkdir(parents=True)  # a change that never ended
+    assert held(t) == sorted(want.items())
+
+
+def test_parts_of_another_number_and_of_older_tables(spark, tmp_path):
+    def rows(n, v=0):
+        return spark.createDataFrame([(f"k{i}", v) for i in range(n)], LENGTH)
+
+    path = f"file://{tmp_path}/t"
+    Table(spark, path, LENGTH).write(rows(5))  # not dealt into parts
+    t = Table(spark, path, LENGTH, key="id", parts=4)
+    t.append(spark.createDataFrame([("more", 1)], LENGTH))
+    assert t.read().count() == 6
+    t.change(rows(1), lambda old: snapshots.upsert(old, rows(1, 7), "id"))
+    assert t.read().count() == 6 and len([m for m in marks(tmp_path / "t", 3) if m.startswith("gone4=")]) == 4
+    other = Table(spark, path, LENGTH, key="id", parts=3)
+    assert held(other) == held(t)
+    other.change(rows(1), lambda old: snapshots.upsert(old, rows(1, 8), "id"))
+    assert held(other) == sorted([("k0", 8), *((f"k{i}", 0) for i in range(1, 5)), ("more", 1)])
+    assert len([m for m in marks(tmp_path / "t", 4) if m.startswith("gone3=")]) == 3
+
+
+def test_two_writers_of_parts(spark, tmp_path):
+    """The later of two is refused, whether it changes or adds; a change starts from what is there."""
+    a, b = (Table(spark, f"file://{tmp_path}/t", LENGTH, key="id", parts=4) for _ in range(2))
+
+    def row(k, n=0):
+        return spark.createDataFrame([(k, n)], LENGTH)
+
+    a.write(row("x"))
+    b.read()
+    a.append(row("y"))
+    with pytest.raises(snapshots.ChangedTableError):
+        b.append(row("z"))
+    with pytest.raises(snapshots.ChangedTableError):
+        b.write(row("z"))
+
+    def meanwhile(old):
+        a.append(row("w"))
+        return old
+
+    with pytest.raises(snapshots.ChangedTableError):
+        b.change(row("x"), meanwhile)
+    b.change(row("x"), lambda old: snapshots.upsert(old, row("x", 5), "id"))
+    assert held(a) == [("w", 0), ("x", 5), ("y", 0)]
+
+
+def test_a_save_rewrites_one_part_of_each_table(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), parts=8)
+    many = [concept(f"c{i}", f"Name {i}", relations=[("uses", f"c{(i + 1) % 40}", "r")], summary=f"word{i} common", sources=[f"raw:r{i}"]) for i in range(40)]
+    e.save_concepts(spark.createDataFrame(many, CONCEPT))
+    e.save_raw(spark.createDataFrame([(f"r{i}", "t", "u", "x", 1, "default", "now") for i in range(40)], RAW_DOCUMENT))
+    tables = {"concepts": e.tables["concepts"], "edges": e.tables["edges"], "vectors": e.vectors, "postings": e.postings, "lengths": e.lengths}
+
+    def touched(name):
+        t = tables[name]
+        return [m for m in marks(tmp_path / "s" / name, t._newest()) if m.startswith("gone8=")]
+
+    e.save_concepts(spark.createDataFrame([concept("c3", "Renamed", relations=[("uses", "c9", "r")], summary="zebra")], CONCEPT))
+    assert {n: len(touched(n)) for n in tables} == dict.fromkeys(tables, 1)
+    assert e.concepts().count() == 40 and e.lengths.read().count() == 40 and e.vectors.read().count() == 40 and e.edges().count() == 40
+    assert ids(e.search("zebra", mode="keyword", limit=3)) == ["c3"] and ids(e.search("word3", mode="keyword", limit=50))[0] != "c3"
+    e.delete_concepts(spark.createDataFrame([("c9",)], "id string"))
+    assert e.concepts().count() == 39 and e.edges().where("target_id = 'c9' OR source_id = 'c9'").isEmpty() and e.edges().count() == 37
+    assert len(touched("lengths")) == 1 and len(touched("concepts")) <= 3 and len(touched("edges")) <= 3
+    assert e.concept("c3").first()["relations"] == [] and e.concept("c8").first()["relations"] == []
+    e.delete_raw(spark.createDataFrame([("r5",)], "id string"))
+    assert e.raw().count() == 39 and e.concept("c5").first()["sources"] == [] and e.concept("c6").first()["sources"] == ["raw:r6"] and len(touched("concepts")) == 1
+
+
 def test_migration(spark):
     old = spark.createDataFrame([("a",)], "id string")
     assert snapshots.with_defaults(old, RAW_DOCUMENT).first()["workspace_id"] == "default"
