@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.engine import Engine
 from ..plans.ingest import ingest_pages
 from ..schema import QUERY_LOG
+from ..sources import ndjson
 from ..sources.scratch import settled
 
 PAGE_STREAM = "title string, text string, source string"
@@ -52,6 +53,18 @@ def append_log(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.select(*[F.col(f.name).cast(f.dataType) for f in QUERY_LOG.fields]).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def event_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """The events of NDJSON logs as they grow: a line that is cut off waits for its rest (see ``GrowingLines`` for the options)."""
+    ndjson.register(spark)
+    return salvaged_events(spark.readStream.format(ndjson.GrowingLines.name()).options(**options).load(path))
+
+
+def read_events(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """The events that stand in NDJSON logs now; with ``closed`` the last line needs no end."""
+    ndjson.register(spark)
+    return salvaged_events(spark.read.format(ndjson.GrowingLines.name()).options(**options).load(path))
+
+
 def salvaged_events(lines: DataFrame) -> DataFrame:
     """Events of a column ``value`` of NDJSON lines, with the chatter before and after each object cut off; lines without one go."""
     body = F.regexp_substr("value", F.lit(r"\{.*\}"))
