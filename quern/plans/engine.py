@@ -289,6 +289,10 @@ class Engine:
     def logs(self, limit: int = 50) -> DataFrame:
         return self.tables["query_logs"].read().orderBy(F.desc("id")).limit(limit)
 
+    def forget(self) -> int:
+        """Delete what no table needs any more, and say how many versions went; nobody may be searching or writing meanwhile."""
+        return sum(t.forget() for t in (*self.tables.values(), self.vectors, self.postings, self.lengths, self.links, self.batches))
+
     def workspaces(self) -> DataFrame:
         return workspace_list(self.tables["workspaces"].read(), self.tables["concepts"].read(), self.tables["raw_documents"].read())
 

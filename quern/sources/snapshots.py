@@ -142,6 +142,14 @@ class Table:
         elif not df.isEmpty():
             self._commit(df, (), "plus")
 
+    def forget(self) -> int:
+        """Delete the versions that hold nothing of the content any more, and say how many; nobody may be reading them still."""
+        needed, fs = self._places()[3], self._fs()
+        old = [n for n, _ in self._versions()][needed:]
+        for n in old:
+            fs.delete(self._path(f"v{n}"), True)
+        return len(old)
+
 
 def with_defaults(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | None = None) -> DataFrame:
     """Columns that an older table lacks, with their defaults."""

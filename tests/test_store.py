@@ -154,6 +154,7 @@ def test_tables_keep_versions(spark, tmp_path):
     t.write(t.read().unionByName(row))
     (tmp_path / "t" / "v9").mkdir()  # a write that never ended
     assert t.read().count() == 2
+    assert t.forget() == 1 and t.read().count() == 2
 
 
 def test_two_writers_lose_no_rows(spark, tmp_path):
@@ -220,6 +221,7 @@ def test_parts_change_alone(spark, tmp_path):
     assert t.stamp() == before
     (path / "v99" / "gone8=0").mkdir(parents=True)  # a change that never ended
     assert held(t) == sorted(want.items())
+    assert t.forget() > 0 and held(t) == sorted(want.items()) and t.forget() == 0
 
 
 def test_parts_of_another_number_and_of_older_tables(spark, tmp_path):
