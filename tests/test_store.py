@@ -3,12 +3,13 @@ import random
 import re
 import zlib
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import crawl, distill
 from quern.plans.engine import Engine
-from quern.schema import CONCEPT, EDGE, LENGTH, RAW_DOCUMENT
+from quern.schema import CONCEPT, EDGE, LENGTH, POSTING, RAW_DOCUMENT
 from quern.sources import readers, snapshots
 from quern.sources.snapshots import Table
 from quern.streaming import ingest
@@ -242,6 +243,25 @@ def test_parts_of_another_number_and_of_older_tables(spark, tmp_path):
     assert len([m for m in marks(tmp_path / "t", 4) if m.startswith("gone3=")]) == 3
 
 
+def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
+    """Each of its files is sorted, and a search for terms is pushed to them."""
+    t = Table(spark, str(tmp_path / "t"), POSTING, sorted_by="term", key="id", parts=2)
+    rows = spark.range(60000).select(F.concat(F.lit("d"), F.col("id") % 50).alias("id"), F.lit("name").alias("field"), F.md5(F.col("id").cast("string")).alias("term"), F.array(F.lit(1)).alias("positions"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    try:
+        t.write(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    for part in range(2):
+        files = list((tmp_path / "t" / "v1" / f"of2={part}").glob("*.parquet"))
+        assert len(files) > 1
+        for f in files:
+            terms = pq.read_table(f, partitioning=None)["term"].to_pylist()
+            assert terms == sorted(terms)
+    found = t.read().where(F.col("term").startswith("ab"))
+    assert found.count() == rows.where(F.col("term").startswith("ab")).count() and "StringStartsWith(term,ab)" in found._jdf.queryExecution().toString()
+
+
 def test_two_writers_of_parts(spark, tmp_path):
     """The later of two is refused, whether it changes or adds; a change starts from what is there."""
     a, b = (Table(spark, f"file://{tmp_path}/t", LENGTH, key="id", parts=4) for _ in range(2))
