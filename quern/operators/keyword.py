@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stem import porter
-from ..sources.scratch import settled
+from ..sources.scratch import settled, small_batches
 
 #: Effective weights of name, aliases, tags, summary, body.
 FIELD_WEIGHTS = {"name": 5.0, "aliases": 3.0, "tags": 2.0, "summary": 1.0, "body": 1.0}
@@ -29,22 +29,33 @@ def fold(token: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", token.lower()) if not unicodedata.combining(c))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stemmed(tokens: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
+#: Stems that a worker keeps over its batches.
+MOST_STEMS = 1 << 18
+_stems: dict[str, str] = {}
+
 
-    def stem(t: str) -> str:
-        if t not in known:
-            known[t] = porter(fold(t))
-        return known[t]
+def _stemmed(tokens: list[str]) -> list[str]:
+    if len(_stems) > MOST_STEMS:
+        _stems.clear()
+    out = []
+    for t in tokens:
+        if (s := _stems.get(t)) is None:
+            s = _stems[t] = porter(fold(t))
+        out.append(s)
+    return out
 
-    return pd.Series([None if x is None else [stem(t) for t in x] for x in tokens])
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stemmed(tokens: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else _stemmed(x) for x in tokens])
 
 
 def tokenized(docs: DataFrame, key: str, fields: list[str], stem: bool = False) -> DataFrame:
     """(key, a token array for each field)."""
     columns = [plain_tokens(F.concat_ws(" ", F.col(f)) if dict(docs.dtypes)[f].startswith("array") else F.col(f)).alias(f) for f in fields]
     tokens = docs.select(key, *columns)
+    if stem:
+        small_batches(docs.sparkSession)
     return tokens.select(key, *[stemmed(F.col(f)).alias(f) for f in fields]) if stem else tokens
 
 

@@ -213,7 +213,7 @@ def heuristic_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(distill.chunks(F.col("text"))).alias("chunk", "text"))
+    d = distill.chunked(table(spark, sf_dir, "documents"), "doc_id", "text")
     return d.select("doc_id", "chunk", F.char_length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

@@ -165,3 +165,17 @@ def test_words_after_the_cut_are_not_embedded(spark):
     assert given[1] == ("given", 2)
     failing = embed.embeddings(df, "id", "text", lambda texts: 1 / 0).collect()
     assert {r["model_name"] for r in failing} == {"hash"} and len(failing[0]["vector"]) == embed.DIM
+
+
+@pytest.mark.parametrize("kind", ["html_text", "html_links", "chunks", "bm25_stemmed", "markdown_roundtrip"])
+def test_long_texts_go_to_workers_in_small_batches(spark, kind):
+    """A worker's memory is that of a few hundred texts (10,000 before), however many there are."""
+    from quern.queries import QUERIES
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "10000")
+    try:
+        QUERIES[kind](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(name)) <= 256
+    finally:
+        spark.conf.unset(name)
