@@ -44,8 +44,13 @@ def route(groups: DataFrame, query: DataFrame, k: int = 3, *, group: str = "work
     return nearest(groups, query, k, key=group)
 
 
-#: Vectors of a block when vectors are compared.
-BLOCK = 1024
+#: Vectors of a block when vectors are compared: a side is cut into ``GRID`` blocks, but none of fewer than the first or more than the second. Every vector is sent to each block
+#: of the other side, so a grid of fixed size moves data in proportion to the vectors. Scores are made for ``STRIP`` of them at once.
+BLOCK, MOST_BLOCK, GRID, STRIP = 1024, 16384, 12, 256
+
+
+def _blocks(rows: int) -> int:
+    return max(1, -(-rows // min(MOST_BLOCK, max(BLOCK, -(-rows // GRID)))))
 
 
 def most_similar(queries: DataFrame, vectors: DataFrame, k: int, *, key: str = "id", vector: str = "vector", least: float = -1.0, same_id: bool = False, before: bool = False) -> DataFrame:
@@ -55,7 +60,7 @@ def most_similar(queries: DataFrame, vectors: DataFrame, k: int, *, key: str = "
     with ``same_id``, and with ``before`` those of smaller ids only. Vectors of other dimensions, without length or null are similar to none.
     """
     queries, vectors = (df.where(F.col(key).isNotNull()) for df in (queries, vectors))  # so that pandas keeps integer keys as they are
-    down, across = (max(1, -(-df.count() // BLOCK)) for df in (queries, vectors))
+    down, across = (_blocks(df.count()) for df in (queries, vectors))
 
     def place(blocks: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
@@ -77,9 +82,11 @@ def most_similar(queries: DataFrame, vectors: DataFrame, k: int, *, key: str = "
             if size and len(there):
                 others = there["q"].to_numpy()
                 (x, x_long), (y, y_long) = unit(own["v"]), unit(there["v"])
-                scores = np.round(x @ y.T, 6)
-                scores[~x_long] = scores[:, ~y_long] = -np.inf
-                for q, row in zip(own["q"], scores, strict=True):
+                for n, q in enumerate(own["q"]):
+                    if n % STRIP == 0:
+                        scores = np.round(x[n : n + STRIP] @ y.T, 6)
+                        scores[~x_long[n : n + STRIP]] = scores[:, ~y_long] = -np.inf
+                    row = scores[n % STRIP]
                     row = np.where(others >= q, -np.inf, row) if before else row if same_id else np.where(others == q, -np.inf, row)
                     at = np.flatnonzero(row >= least)
                     if len(at) > k:  # all that reach the k-th highest, ties included

@@ -91,3 +91,22 @@ def test_index_reaches_nine_tenths_of_the_nearest(spark, monkeypatch, kind):
     if kind == "none":
         nothing = vector_index.build_index(v.where("false"), 16)
         assert vector_index.search_index(nothing, q, 5).count() == 0
+
+
+def test_blocks_of_vectors_grow_with_them(spark, monkeypatch):
+    """A side of 170,000 vectors is 12 blocks (167 before), and one block of several strips gives the same pairs as small blocks."""
+    import numpy as np
+
+    from quern.operators import vector
+
+    assert vector._blocks(170_000) == vector.GRID and vector._blocks(900) == 1
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5))
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, vector array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 6)
+    np.fill_diagonal(scores, -2)
+    want = {(i, int(j), k) for i, row in enumerate(scores) for k, j in enumerate(np.lexsort((np.arange(300), -row))[:2], 1)}
+    for block in (1024, 20):
+        monkeypatch.setattr(vector, "BLOCK", block)
+        assert {(r["id"], r["other"], r["rank"]) for r in vector.most_similar(v, v, 2).collect()} == want
