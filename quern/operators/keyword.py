@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,10 +64,33 @@ def tokenized(docs: DataFrame, key: str, fields: list[str], stem: bool = False)
 
 
 def postings(tokens: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """The inverted index (key, field, term, positions), one row for each term of a field; write it sorted by term, so that a search reads its terms only."""
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("t")) for f in fields])
-    rows = tokens.select(key, F.explode(each).alias("x")).select(key, "x.field", F.posexplode("x.t").alias("pos", "term"))
-    return rows.groupBy(key, "field", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """The inverted index (key, field, term, positions), one row for each term of a field; write it sorted by term, so that a search reads its terms only.
+
+    A row's terms are all in the row, so they are grouped where it stands and nothing is shuffled; rows of one key have postings of their own each.
+    """
+    small_batches(tokens.sparkSession)
+    schema = T.StructType([tokens.schema[key], *(T.StructField(n, t) for n, t in (("field", T.StringType()), ("term", T.StringType()), ("positions", T.ArrayType(T.IntegerType()))))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f in fields:
+                column = batch.column(f)
+                sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = pc.dictionary_encode(column.flatten(), null_encoding="encode")
+                if not len(coded):
+                    continue
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                pos = (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+                of = row * len(coded.dictionary) + code
+                order = np.argsort(of, kind="stable")
+                starts = np.flatnonzero(np.diff(of[order], prepend=-1))
+                first = order[starts]
+                places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)).astype(np.int32)), pa.array(pos[order]))
+                found = [batch.column(key).take(pa.array(row[first])), pa.array([f] * len(first), pa.string()), coded.dictionary.take(pa.array(code[first])), places]
+                yield pa.RecordBatch.from_arrays(found, names=[key, "field", "term", "positions"])
+
+    return tokens.select(key, *fields).mapInArrow(rows, schema)
 
 
 def lengths(tokens: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -110,3 +110,20 @@ def test_blocks_of_vectors_grow_with_them(spark, monkeypatch):
     for block in (1024, 20):
         monkeypatch.setattr(vector, "BLOCK", block)
         assert {(r["id"], r["other"], r["rank"]) for r in vector.most_similar(v, v, 2).collect()} == want
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    """The terms of a row are grouped where it stands (a shuffle of every word's place before), with nulls, empty and repeated words."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, " ".join(f"w{(k * j) % 7}" for j in range(k % 40)), None if k % 3 else "Zoë x-x x") for k in range(700)]
+    tokens = keyword.tokenized(spark.createDataFrame(rows, "id int, name string, body string"), "id", ["name", "body"])
+    made = keyword.postings(tokens, "id", ["name", "body"])
+    assert "Exchange" not in made._jdf.queryExecution().toString()
+    want = {}
+    for r in tokens.collect():
+        for f in ("name", "body"):
+            for pos, t in enumerate(r[f]):
+                want.setdefault((r["id"], f, t), []).append(pos)
+    got = {(r["id"], r["field"], r["term"]): r["positions"] for r in made.collect()}
+    assert got == want and made.select(F.sum(F.size("positions"))).first()[0] == sum(map(len, want.values()))
